@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, urls
+from lodestone.llm import mixing, simhash, urls
 from lodestone.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op7_mix_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_redirects, op7_mix_sampling)}
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_redirects, op7_mix_sampling, op9_simhash_gray)}
 SQL = {"op3_url_redirects": urls.SQL, "op7_mix_sampling": mixing.SQL}
