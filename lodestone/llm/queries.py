@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, simhash, urls
+from lodestone.llm import mixing, simhash, substrings, urls
 from lodestone.llm.common import table
 
 
@@ -12,6 +13,11 @@ def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.removed(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mix_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -20,5 +26,5 @@ def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_redirects, op7_mix_sampling, op9_simhash_gray)}
+QUERIES = {f.__name__: f for f in (op3_url_redirects, op5_substring_superkmer, op7_mix_sampling, op9_simhash_gray)}
 SQL = {"op3_url_redirects": urls.SQL, "op7_mix_sampling": mixing.SQL}
