@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, simhash, substrings, urls
+from lodestone.llm import bpe, mixing, simhash, substrings, urls
 from lodestone.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op5_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_mix_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,5 +31,5 @@ def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_redirects, op5_substring_superkmer, op7_mix_sampling, op9_simhash_gray)}
+QUERIES = {f.__name__: f for f in (op3_url_redirects, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op9_simhash_gray)}
 SQL = {"op3_url_redirects": urls.SQL, "op7_mix_sampling": mixing.SQL}
