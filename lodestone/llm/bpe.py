@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import batches_of
+
 #: Words of more bytes contract all occurrences at once where that is safe.
 LONG = 96
 #: A worker forgets its pieces beyond this number.
@@ -247,15 +249,6 @@ def lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int64()), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that their column holds about limit bytes at most."""
-    for batch in batches:
-        size = max(1, batch.column(column).nbytes)
-        rows = max(1, batch.num_rows * limit // size)
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids) of every document; ids as the rank file's library would give without special tokens."""
     path = path or default_path()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are no longer referred to, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,6 +46,15 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their column holds about limit bytes at most."""
+    for batch in batches:
+        size = max(1, batch.column(column).nbytes)
+        rows = max(1, batch.num_rows * limit // size)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """mapInArrow's function for one that takes a batch."""
 

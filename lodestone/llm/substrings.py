@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import cut, text_bytes
+from lodestone.llm.common import batches_of, cut, release, text_bytes
 
 #: Odd, so it has an inverse modulo 2^64: byte hashes of stretches come from one running sum.
 BASE = 0x9E3779B97F4A7C15
@@ -149,7 +149,7 @@ class Windows:
                 held.clear()
                 return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
-            for batch in batches:
+            for batch in batches_of(batches, "text"):
                 texts = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))]
                 for raw, _, _, _, start, end, least in self.super_kmers(texts):
                     for a, b, k in zip(start.tolist(), end.tolist(), (least % np.uint64(buckets)).tolist(), strict=True):
@@ -162,7 +162,7 @@ class Windows:
                         else:
                             own[s] = False
                             size += b - a + 120
-                    if size > 64 << 20:
+                    if size > 48 << 20:
                         yield flush()
                         size = 0
             if held:
@@ -217,7 +217,7 @@ class Windows:
 
     def refer(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """mapInArrow: (row, text) -> (h, row, at) of every super-k-mer."""
-        for batch in batches:
+        for batch in batches_of(batches, "text"):
             texts, rows = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))], batch.column("row")
             for raw, text, at, _, start, end, _ in self.super_kmers(texts):
                 digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -248,9 +248,11 @@ def covered(docs: DataFrame, method: Windows = Windows()) -> DataFrame:
     sent = docs.select("text").mapInArrow(method.send(buckets), "bucket int, packed binary")
     # the buckets are as large as they should be: each is dealt to a partition of its own number
     known = cut(sent.groupBy("bucket").applyInArrow(lambda rows: method.count(rows), "h binary, bits binary"))
+    del sent
+    release(docs.sparkSession)  # the packed strings are the largest shuffle by far
     own = docs.select(row_key().alias("row"), "text").mapInArrow(lambda batches: method.refer(batches), "h binary, row long, at int")
     found = own.join(known, "h").select("row", "at", "bits").mapInArrow(lambda batches: method.stretches(batches), "row long, lo int, hi int")
-    # array_sort: equal rows bring equal stretches more than once; a set keeps one
+    # equal rows bring equal stretches more than once; a set keeps one
     return cut(found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("stretches")))
 
 
