@@ -36,9 +36,9 @@ from lodestone.llm.common import batches_of
 #: Words of more bytes contract all occurrences at once where that is safe.
 LONG = 96
 #: A worker forgets its pieces beyond this number.
-PIECES = 600_000
+PIECES = 400_000
 #: Rows for one query: bytes of words, ids to decode.
-STEP_ROWS = 300_000
+STEP_ROWS = 400_000
 
 # pos counts bytes over all words; next is the place of the token that follows, -1 after a word's last one
 CONTRACT = """
@@ -49,7 +49,7 @@ WITH RECURSIVE t(w, pos, next, tok, step) AS (
   FROM t JOIN (SELECT l.w, min((m.ab::BIGINT << 32) | l.pos) AS best, arg_min(r.pos, (m.ab::BIGINT << 32) | l.pos) AS gone, arg_min(r.next, (m.ab::BIGINT << 32) | l.pos) AS next
                FROM t l JOIN t r ON l.next = r.pos JOIN merges m ON m.a = l.tok AND m.b = r.tok GROUP BY l.w) b ON t.w = b.w
   WHERE t.pos <> b.gone)
-SELECT w, tok FROM (SELECT w, pos, tok FROM t QUALIFY step = max(step) OVER (PARTITION BY w)) ORDER BY pos
+SELECT t.w, t.tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY pos
 """
 
 # hit: the pair at pos has the word's minimum rank; run: neighbouring hits (they overlap), of which every other one is
@@ -79,14 +79,12 @@ SELECT w, tok, step FROM (SELECT w, pos, tok, step FROM t QUALIFY step = max(ste
 DECODE = "SELECT d, string_agg(piece, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
 
 
-def taken(lists: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """lists[p] for each p in places, one after the other, and their lengths."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    if not len(places):
-        return NOTHING, np.zeros(0, np.int64)
-    flat, begin, n = np.concatenate(lists), np.cumsum(sizes) - sizes, sizes[places]
+def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[begin[p] : begin[p] + size[p]] for each p in places, one after the other, and their lengths."""
+    n = size[places]
     ends = np.cumsum(n)
-    return flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1])], n
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begin[places] - (ends - n), n) + np.arange(total)], n
 
 
 class Codec:
@@ -114,7 +112,19 @@ class Codec:
         self.later: dict[str, int] = {}  # pieces that follow a space
         self.first: dict[str, int] = {}  # pieces at the start of a text
         # the ids of piece k are flat[begin[k] : begin[k + 1]]
-        self.flat, self.begin = NOTHING, np.zeros(1, np.int64)
+        self.flat, self.begin, self.uses = NOTHING, np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the pieces used more than once since they were learnt or last counted, at most half of the bound."""
+        keep = np.flatnonzero(self.uses > 1)
+        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: PIECES // 2]])
+        place = np.full(len(self.uses), -1)
+        place[keep] = np.arange(len(keep))
+        new = place.tolist()
+        self.later = {p: new[k] for p, k in self.later.items() if new[k] >= 0}
+        self.first = {p: new[k] for p, k in self.first.items() if new[k] >= 0}
+        self.flat, sizes = taken(self.flat, self.begin, np.diff(self.begin), keep)
+        self.begin, self.uses = np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(keep), np.int64)
 
     def query(self, sql: str, table: pa.Table) -> pa.Table:
         self.db.register("given", table)
@@ -123,76 +133,77 @@ class Codec:
         finally:
             self.db.unregister("given")
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list = [None] * len(words)
-        at, short = 0, [i for i, w in enumerate(words) if len(w) <= LONG]
-        while at < len(short):
-            rows, part = 0, []
-            while at < len(short) and (not part or rows + len(words[short[at]]) <= STEP_ROWS):
-                part.append(short[at])
-                rows += len(words[short[at]])
-                at += 1
-            given = self.rows(np.frombuffer(b"".join(words[i] for i in part), np.uint8), [len(words[i]) for i in part])
-            found = self.query(CONTRACT, given)
-            ends = np.cumsum(np.bincount(found.column("w").to_numpy(), minlength=len(part)))
-            for i, ids in zip(part, np.split(found.column("tok").to_numpy(), ends[:-1]), strict=True):
-                out[i] = ids
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                found = self.query(CONTRACT_LONG, self.rows(np.frombuffer(w, np.uint8), [len(w)]))
-                while (found.column("step")[0].as_py()) == 40:  # as many steps as one query takes
-                    found = self.query(CONTRACT_LONG, self.rows(found.column("tok").to_numpy(), [len(found)], True))
-                out[i] = found.column("tok").to_numpy()
-        return out
-
-    def rows(self, tokens: np.ndarray, lengths: list[int], ids: bool = False) -> pa.Table:
-        """(w, pos, tok) of words whose bytes (or ids) stand one after the other."""
-        n = np.array(lengths)
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words, in some order of the words: which word, how many ids, and the ids one after the other."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")  # a query takes as many steps as its longest word
+        order, long = order[lengths[order] <= LONG], order[lengths[order] > LONG]
+        before = np.concatenate(([0], np.cumsum(lengths[order])))
+        at, flat, counts = 0, [NOTHING], [np.zeros(0, np.int64)]
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + STEP_ROWS, side="right")) - 1)
+            found = self.query(CONTRACT, self.rows(np.frombuffer(b"".join([words[i] for i in order[at:to].tolist()]), np.uint8), lengths[order[at:to]]))
+            flat.append(found.column("tok").to_numpy())
+            counts.append(np.bincount(found.column("w").to_numpy(), minlength=to - at))
+            at = to
+        for i in long.tolist():
+            found = self.query(CONTRACT_LONG, self.rows(np.frombuffer(words[i], np.uint8), lengths[[i]]))
+            while (found.column("step")[0].as_py()) == 40:  # as many steps as one query takes
+                found = self.query(CONTRACT_LONG, self.rows(found.column("tok").to_numpy(), np.array([len(found)]), True))
+            flat.append(found.column("tok").to_numpy())
+            counts.append(np.array([len(found)]))
+        return np.concatenate((order, long)), np.concatenate(counts), np.concatenate(flat)
+
+    def rows(self, tokens: np.ndarray, n: np.ndarray, ids: bool = False) -> pa.Table:
+        """(w, pos, tok) of words whose n bytes (or ids) stand one after the other."""
         return pa.table({"w": pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)), "pos": pa.array(np.arange(len(tokens))), "tok": pa.array(tokens if ids else self.byte_id[tokens])})
 
     def learn(self, pieces: list[str]) -> None:
         """Appends the ids of each piece, by way of its words."""
         words: dict[str, int] = {}
         parts, counts = [], []
+        findall, place = self.pattern.findall, words.setdefault
         for p in pieces:
-            found = self.pattern.findall(p)
+            found = findall(p)
             counts.append(len(found))
-            parts += [words.setdefault(w, len(words)) for w in found]
+            for w in found:
+                parts.append(place(w, len(words)))
         raw = [w.encode() for w in words]
-        ids = [self.ranks.get(w) for w in raw]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        own = [NOTHING if x is None else np.array([x], np.int32) for x in ids]
-        for i, found in zip(rest, self.contract([raw[i] for i in rest]), strict=True):
-            own[i] = found
-        flat, sizes = taken(own, np.array(parts, np.int64))
+        whole = np.array([self.ranks.get(w, -1) for w in raw], np.int32)
+        rest = np.flatnonzero(whole < 0)
+        which, sizes, flat = self.contract([raw[i] for i in rest.tolist()])
+        size, begin = np.ones(len(raw), np.int64), np.arange(len(raw))
+        size[rest[which]], begin[rest[which]] = sizes, len(raw) + np.cumsum(sizes) - sizes
+        flat, sizes = taken(np.concatenate((whole, flat)), begin, size, np.array(parts, np.int64))
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
         self.flat, self.begin = np.concatenate((self.flat, flat)), np.concatenate((self.begin, self.begin[-1] + ends))
+        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), np.int64)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the number of ids of each text."""
-        if len(self.begin) > PIECES:
-            self.forget()
+        if len(self.uses) > PIECES:
+            self.forget_rare()
         later, first = self.later, self.first
         new: dict[str, int] = {}
-        known = len(self.begin) - 1
+        known = len(self.uses)
         places, counts = [], []
         for text in texts:
             if not text:
                 counts.append(0)
                 continue
             pieces = BEFORE_WORD.split(text) if SPACES.search(text) else text.split(" ")
+            own = list(map(later.get, pieces))
             head = pieces[0]
-            k = first.get(head)
-            if k is None:
-                k = first[head] = new.setdefault(head, known + len(new))
-            own = [k]
-            for p in pieces[1:]:
-                k = later.get(p)
-                if k is None:
-                    k = later[p] = new.setdefault(" " + p, known + len(new))
-                own.append(k)
-            places.append(np.array(own, np.int64))
+            own[0] = first.get(head)
+            if own[0] is None:
+                own[0] = first[head] = new.setdefault(head, known + len(new))
+            if None in own:
+                for i, k in enumerate(own):
+                    if k is None:
+                        p = pieces[i]
+                        k = later.get(p)
+                        own[i] = later[p] = new.setdefault(" " + p, known + len(new)) if k is None else k
+            places += own
             counts.append(len(own))
         if new:
             try:
@@ -200,13 +211,10 @@ class Codec:
             except BaseException:
                 self.forget()
                 raise
-        if not places:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        places = np.concatenate(places)
-        n = self.begin[places + 1] - self.begin[places]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.begin[places] - (ends - n), n) + np.arange(ends[-1])]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        places = np.array(places, np.int64)
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        ids, n = taken(self.flat, self.begin, np.diff(self.begin), places)
+        edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
         return ids, np.diff(edges)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -262,6 +270,20 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, ids, decoded) of every document, decoded from the ids: encode and decode in one worker, which holds the tables once."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches_of(batches, "text"):
+            ids, counts = own.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts), pa.array(own.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids) -> (doc_id, ids, decoded), decoded being binary."""
     path = path or default_path()

@@ -19,7 +19,7 @@ def op5_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    done = bpe.round_trip(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
