@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, simhash, substrings, urls
-from lodestone.llm.common import table
+from lodestone.llm import bpe, embeddings, mixing, quality, secrets, simhash, substrings, tokens, topk, urls
+from lodestone.llm.common import cut, table
+
+
+def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = cut(quality.described(table(spark, sf_dir, "documents")))
+    model = quality.learnt(docs, quality.taught(table(spark, sf_dir, "labels")))
+    return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = secrets.found(docs, secrets.learnt(docs))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.removed(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,9 +43,18 @@ def op7_mix_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.limits(tokens.histogram(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_redirects, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op9_simhash_gray)}
-SQL = {"op3_url_redirects": urls.SQL, "op7_mix_sampling": mixing.SQL}
+def op10_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.TopK().search(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_grammar, op3_url_redirects, op4_embedding_pq, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op8_token_histogram, op9_simhash_gray, op10_kdtree_topk)}
+SQL = {"op3_url_redirects": urls.SQL, "op4_embedding_pq": embeddings.SQL, "op7_mix_sampling": mixing.SQL, "op10_kdtree_topk": topk.SQL}
