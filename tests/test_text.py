@@ -1,0 +1,97 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import text
+from lodestone.functions.chunking import split_pages, windows
+
+
+def one(spark, value, column, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+def test_clean_text_collapses_every_white_space(spark):
+    assert one(spark, "  a\t\n b  c\x1cd ", text.clean_text) == "a b c d"
+    assert one(spark, " \n ", text.clean_text) == ""
+
+
+def test_tokens_keep_one_hyphen_joint_and_repeats(spark):
+    assert one(spark, "Self-RAG-x, RAG rag Straße é1", text.tokens) == ["self-rag", "x", "rag", "rag", "strasse", "1"]
+
+
+def test_entities_of_the_three_kinds(spark):
+    found = one(spark, "Self-RAG and CRAG by Jane Doe. Introduction RAG. Self-RAG again; Related Work", text.entities)
+    assert found == ["self-rag", "crag", "jane doe", "rag"]
+
+
+def test_entity_inside_a_word_is_none(spark):
+    assert one(spark, "xCRAG CRAGx éCRAG", text.entities) == []
+
+
+def test_stop_entities_and_repeats_leave_the_limit_alone(spark):
+    names = [f"A{chr(65 + i)}" for i in range(25)]
+    found = one(spark, "Related Work, " + ", ".join(n for x in names for n in (x, x)), text.entities)
+    assert found == [n.lower() for n in names][:20]
+
+
+@pytest.mark.parametrize(
+    ("target", "page", "expected"),
+    [("CRAG", "we use crag here", True), ("CRAG", "Self-CRAG only", False), ("RAG", "GraphRAG", False), ("Self RAG", "the self-rag way", True), ("RAG", "RAG-based", False), ("RAG", "(RAG)", True), ("—", "anything —", False), ("a.b", "a b", True)],
+)
+def test_target_is_matched_as_a_whole_name(spark, target, page, expected):
+    df = spark.createDataFrame([(target, page)], "t string, x string")
+    assert df.select(text.target_matches(F.col("t"), F.col("x"))).first()[0] is expected
+
+
+def test_unique_strings(spark):
+    assert one(spark, [" a ", "", "a", None, "A", "b", "c"], lambda c: text.unique_strings(c, 3), "array<string>") == ["a", "A", "b"]
+
+
+def brute_windows(t, size, overlap):
+    """Chunks by trying every cut from the right."""
+    out, at = [], 0
+    while at < len(t):
+        stop = min(at + size, len(t))
+        if stop < len(t):
+            for k in range(stop - 1, at + size // 2 - 1, -1):
+                if t[k] == " " and k > at:
+                    stop = k
+                    break
+        if t[at:stop].strip():
+            out.append(t[at:stop].strip())
+        if stop == len(t):
+            break
+        nxt = max(stop - overlap, at + 1)
+        while nxt < stop and t[nxt] == " ":
+            nxt += 1
+        at = nxt
+    return out
+
+
+def test_windows_equal_brute_force():
+    draw = random.Random(1)
+    for _ in range(400):
+        t = " ".join("x" * draw.randint(1, 9) for _ in range(draw.randint(0, 60)))
+        size = draw.randint(2, 50)
+        overlap = draw.randint(0, size - 1)
+        assert list(windows(t, size, overlap)) == brute_windows(t, size, overlap)
+
+
+def test_bad_parameters_matter_only_for_text():
+    assert list(windows("", 0, 5)) == []
+    with pytest.raises(ValueError):
+        list(windows("a", 5, 5))
+
+
+def test_chunks_stay_on_their_page_and_have_stable_ids(spark):
+    rows = [("a.pdf", 1, "word " * 400), ("a.pdf", 2, "  "), ("a.pdf", 3, None), ("a.pdf", 4, "y" * 1200)]
+    pages = spark.createDataFrame(rows, "paper string, page int, text string")
+    got = sorted((r.page, r.position, len(r.text), r.chunk_id) for r in split_pages(pages).collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (4, 0)]
+    assert all(n <= 1200 for _, _, n, _ in got)
+    import hashlib
+
+    first = split_pages(pages).where("page = 4").first()
+    assert first.chunk_id == hashlib.sha1(f"a.pdf\0{4}\0{0}\0{first.text}".encode()).hexdigest()[:16]
+    assert len({g[3] for g in got}) == 3
