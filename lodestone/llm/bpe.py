@@ -37,8 +37,10 @@ from lodestone.llm.common import batches_of
 LONG = 96
 #: A worker forgets its pieces beyond this number.
 PIECES = 400_000
+#: Bytes of texts worked on at a time.
+TEXT_BYTES = 4 << 20
 #: Rows for one query: bytes of words, ids to decode.
-STEP_ROWS = 400_000
+STEP_ROWS = 150_000
 
 # pos counts bytes over all words; next is the place of the token that follows, -1 after a word's last one
 CONTRACT = """
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", TEXT_BYTES):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts)], names=["doc_id", "ids"])
 
@@ -276,7 +278,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", TEXT_BYTES):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts), pa.array(own.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -290,7 +292,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "ids"):
+        for batch in batches_of(batches, "ids", TEXT_BYTES):
             given = batch.column("ids")
             counts = np.array([x or 0 for x in pa.compute.list_value_length(given).to_pylist()], np.int64)
             decoded = own.decode(given.flatten().to_numpy(zero_copy_only=False), counts)
