@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lodestone.llm.common import components, cut, per_batch, text_bytes
+from lodestone.llm.common import components, cut, per_batch, shuffles, text_bytes
 
 FAN_OUT = 16
 
@@ -74,6 +74,14 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bits_first(x: np.ndarray, mask: int) -> np.ndarray:
+    """The same codes with the mask's bits moved to the top; differences stay as many."""
+    out = np.zeros(len(x), np.uint64)
+    for bit in sorted(range(64), key=lambda b: (mask >> b & 1, b)):  # the lowest place first
+        out = (out >> np.uint64(1)) | ((x >> np.uint64(bit) & np.uint64(1)) << np.uint64(63))
+    return out
+
+
 class GrayIndex:
     """Levels of (own mask, pattern) from the top down; the last level is the fingerprints themselves."""
 
@@ -158,19 +166,23 @@ class SimHash:
         counts = sent.groupBy("mask", "bucket").agg(F.ceil(F.count("*") / self.bucket_limit).cast("int").alias("subs"))
         sent = sent.join(counts, ["mask", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("subs")).cast("int"))
         sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        # as many partitions as buckets, up to a bound: rows are few, work per row is not
+        sent = sent.repartition(max(shuffles(fps.sparkSession), min(spread * len(masks), 4096)), "mask", "bucket", F.least("sub", "other"), F.greatest("sub", "other"))
         sent = sent.select("mask", "bucket", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "fp")
-        distance = self.distance
+        distance, all_masks = self.distance, block_masks(n, self.distance)
 
         def link(table: pa.Table) -> pa.Table:
             fp = table.column("fp").to_numpy().view(np.uint64)
+            # what a bucket's values differ in comes first in the order, so that upper nodes tell the values apart
+            moved = bits_first(fp, all_masks[table.column("mask")[0].as_py()])
             sub, i, j = table.column("sub").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
             left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
             parent = np.arange(len(fp))
             if left.size and right.size:
-                for a, b in GrayIndex(fp[left]).search(fp[right], distance):
+                for a, b in GrayIndex(moved[left]).search(moved[right], distance):
                     parent = merge(parent, right[a], left[b])
-            moved = np.flatnonzero(parent != np.arange(len(fp)))
-            return pa.table({"u": fp[moved].view(np.int64), "v": fp[parent[moved]].view(np.int64)})
+            joined = np.flatnonzero(parent != np.arange(len(fp)))
+            return pa.table({"u": fp[joined].view(np.int64), "v": fp[parent[joined]].view(np.int64)})
 
         return sent.groupBy("mask", "bucket", "i", "j").applyInArrow(link, "u long, v long")
 
