@@ -134,7 +134,7 @@ def fit(good: np.ndarray, bad: np.ndarray, shrink: float = 0.15, ridge: float =
     factor, logdet = [], []
     for c in own:
         c = (1 - shrink) * c + shrink * pooled
-        c = (1 - ridge) * c + ridge * np.trace(c) / d * np.eye(d)
+        c = (1 - ridge) * c + ridge * (np.trace(c) / d + 1e-3) * np.eye(d)  # positive even if all rows of a class are alike
         lower = np.linalg.cholesky(c)
         factor.append(np.linalg.inv(lower))
         logdet.append(2 * np.log(np.diag(lower)).sum())
