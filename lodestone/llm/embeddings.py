@@ -96,6 +96,9 @@ class NearVectors:
     cosine: float = 0.9
     sample: int = 8192
     subspaces: int = 8
+    #: None: probe every list that can hold a partner. A number: probe as far as that many standard deviations of a random
+    #: direction's share of the linking distance, which skips most lists of unclustered vectors and may lose links.
+    sigmas: float | None = None
     list_rows: int = 2048
     max_lists: int = 1024
     block: int = 4096
@@ -104,13 +107,14 @@ class NearVectors:
         """(rep, degree, root) from tasks. vectors: distinct ones, columns rep, copies, embedding of length dim."""
         reach, cosine = math.sqrt(max(0.0, 2 - 2 * self.cosine)), self.cosine
         rows = vectors.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(self.sample).toArrow().column(0).combine_chunks()
+        far = reach if self.sigmas is None else min(reach, self.sigmas * reach / math.sqrt(dim))
         quantiser = Quantiser(units(rows, dim), min(self.max_lists, max(1, n // self.list_rows)), self.subspaces)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = units(batch.column("embedding"), dim)
                 own, codes, error = quantiser.assign(x)
-                probes = [np.flatnonzero(p).tolist() for p in quantiser.probes(x, own, reach)]
+                probes = [np.flatnonzero(p).tolist() for p in quantiser.probes(x, own, far)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=[*batch.schema.names, "own", "code", "error", "probes"])
 
         kind = vectors.schema["embedding"].dataType.simpleString()

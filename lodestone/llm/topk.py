@@ -11,7 +11,8 @@ smaller id. The shards' lists meet in a top-k per query. Blocks bound what is se
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows with a null vec_id, take no part,
 neither as queries nor as candidates; vectors of different lengths don't meet; a query's own row is no candidate, nor are
 rows of its vec_id; rows of equal vec_id and embedding are candidates as often as they occur, queries once; fewer candidates
-than k give fewer rows; an empty table gives no rows; extra columns are ignored.
+than k give fewer rows; scores are exact within 64 bits (larger ones wrap, as Spark's long does without ANSI checks); an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
