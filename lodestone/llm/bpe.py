@@ -36,9 +36,7 @@ from lodestone.llm.common import batches_of
 #: Words of more bytes contract all occurrences at once where that is safe.
 LONG = 96
 #: A worker forgets its pieces beyond this number.
-PIECES = 400_000
-#: Bytes of texts worked on at a time.
-TEXT_BYTES = 4 << 20
+PIECES = 300_000
 #: Rows for one query: bytes of words, ids to decode.
 STEP_ROWS = 150_000
 
@@ -265,7 +263,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text", TEXT_BYTES):
+        for batch in batches_of(batches, "text"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts)], names=["doc_id", "ids"])
 
@@ -278,7 +276,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text", TEXT_BYTES):
+        for batch in batches_of(batches, "text"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts), pa.array(own.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -292,7 +290,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "ids", TEXT_BYTES):
+        for batch in batches_of(batches, "ids"):
             given = batch.column("ids")
             counts = np.array([x or 0 for x in pa.compute.list_value_length(given).to_pylist()], np.int64)
             decoded = own.decode(given.flatten().to_numpy(zero_copy_only=False), counts)

@@ -49,7 +49,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that their column holds about limit bytes at most."""
     for batch in batches:
         size = max(1, batch.column(column).nbytes)
@@ -58,14 +58,12 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <<
             yield batch.slice(at, rows)
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """mapInArrow's function for one that takes a batch."""
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Callable:
+    """mapInArrow's function for one that takes a batch; a batch's column holds about limit bytes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+        for batch in batches_of(batches, column, limit):
+            yield fn(batch)
 
     return run
 

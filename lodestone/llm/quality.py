@@ -186,7 +186,7 @@ def scored(statistics_of: DataFrame, model: Qda) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
     kind = T.StructType([statistics_of.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    return statistics_of.select("doc_id", "statistics").mapInArrow(per_batch(run), kind)
+    return statistics_of.select("doc_id", "statistics").mapInArrow(per_batch(run, "statistics"), kind)
 
 
 def accepted(docs: DataFrame, model: Qda, threshold: float = 0.7) -> DataFrame:
