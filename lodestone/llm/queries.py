@@ -57,4 +57,4 @@ def op10_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_grammar, op3_url_redirects, op4_embedding_pq, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op8_token_histogram, op9_simhash_gray, op10_kdtree_topk)}
-SQL = {"op3_url_redirects": urls.SQL, "op4_embedding_pq": embeddings.SQL, "op7_mix_sampling": mixing.SQL, "op10_kdtree_topk": topk.SQL}
+SQL = {"op3_url_redirects": urls.SQL, "op4_embedding_pq": embeddings.SQL, "op5_substring_superkmer": substrings.SQL, "op7_mix_sampling": mixing.SQL, "op10_kdtree_topk": topk.SQL}

@@ -280,3 +280,12 @@ def removed(docs: DataFrame, method: Windows = Windows()) -> DataFrame:
 
     return rows.mapInArrow(run, T.StructType([kind, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
 
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, i + k AS i FROM windows SEMI JOIN repeated USING (s), unnest(range(0, 35)) AS u(k)),
+kept AS (SELECT r, string_agg(w[i], ' ' ORDER BY i) AS text, count(*) AS n FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) x ANTI JOIN hit USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
