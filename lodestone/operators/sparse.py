@@ -1,11 +1,16 @@
-"""Sparse retrieval: Okapi BM25 over postings."""
+"""Sparse retrieval: Okapi BM25."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import best_first, top_k
@@ -21,10 +26,14 @@ class Okapi:
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, chunk_id, tf), lengths(chunk_id, paper, page, position, dl), terms(term, df, idf), corpus: one row (n, avgdl)."""
+    """forward(chunk_id, paper, page, position, words, dl), terms(term, df, idf), corpus: one row (n, avgdl).
 
-    postings: DataFrame
-    lengths: DataFrame
+    A search sends a bounded block of weighted queries to the forward index; each partition scores its chunks against the
+    whole block at once and passes on only its best chunks of each query, so what is shuffled doesn't grow with the words
+    that queries and chunks share.
+    """
+
+    forward: DataFrame
     terms: DataFrame
     corpus: DataFrame
     okapi: Okapi = Okapi()
@@ -32,36 +41,95 @@ class SparseIndex:
     @classmethod
     def build(cls, chunks: DataFrame, okapi: Okapi = Okapi()) -> SparseIndex:
         words = chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words"))
-        lengths = words.select("chunk_id", *ORDER, F.size("words").alias("dl"))
-        postings = words.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-        corpus = lengths.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-        return cls(postings, lengths, weigh(postings, corpus, okapi), corpus, okapi)
+        forward = words.withColumn("dl", F.size("words"))
+        corpus = forward.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+        return cls(forward, weigh(forward, corpus, okapi), corpus, okapi)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, tf)"""
+        return self.forward.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """queries (qid, text) -> (qid, rank, chunk_id, score): the k best chunks of positive score per query."""
-        return top_k(self.scores(queries), ["qid"], [best_first(), *map(F.col, ORDER)], k).select("qid", "rank", "chunk_id", "score")
+        found = self.candidates(queries.select(F.col("qid").alias("q"), "text"), k)
+        return top_k(found, ["q"], [best_first(), *map(F.col, ORDER)], k).select(F.col("q").alias("qid"), "rank", "chunk_id", "score")
 
     def search_max(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        """queries (qid, query_no, text), several per qid -> (qid, rank, chunk_id, score): a chunk's score is its best query's."""
-        single = queries.select(F.struct("qid", "query_no").alias("qid"), "text")
-        best = self.scores(single).groupBy(F.col("qid.qid").alias("qid"), "chunk_id", *ORDER).agg(F.max("score").alias("score"))
+        """queries (qid, query_no, text), several per qid -> (qid, rank, chunk_id, score): a chunk's score is its best query's.
+        A chunk among the k best of all is among the k best of the query that it scores best for."""
+        found = self.candidates(queries.select(F.struct("qid", "query_no").alias("q"), "text"), k)
+        best = found.groupBy(F.col("q.qid").alias("qid"), "chunk_id", *ORDER).agg(F.max("score").alias("score"))
         return top_k(best, ["qid"], [best_first(), *map(F.col, ORDER)], k).select("qid", "rank", "chunk_id", "score")
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(qid, chunk_id, paper, page, position, score) of every chunk of positive score. A repeated query word counts repeatedly."""
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
+        """(q, chunk_id, paper, page, position, score): of each partition the k best chunks of positive score per query (q, text),
+        more where scores tie. A repeated query word counts repeatedly."""
         o = self.okapi
-        asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        weighted = asked.join(self.terms, "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
-        lengths = self.lengths.crossJoin(F.broadcast(self.corpus.select("avgdl")))  # one row
-        norm = F.lit(o.k1) * (F.lit(1 - o.b) + F.lit(o.b) * F.col("dl") / F.col("avgdl"))
-        hits = self.postings.join(weighted, "term").join(lengths, "chunk_id")
-        part = F.col("weight") * F.col("tf") * F.lit(o.k1 + 1) / (F.col("tf") + norm)
-        return hits.groupBy("qid", "chunk_id", *ORDER).agg(F.sum(part).alias("score")).where(F.round("score", 9) > 0)
+        asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
+        weighted = asked.join(self.terms, "term").groupBy("q").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("terms"))
+        size = weighted.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+        blocks = max(1, -(-size["queries"] // BLOCK_QUERIES), -(-size["terms"] // BLOCK_TERMS))
+        spark = queries.sparkSession
+        names = ("chunk_id", *ORDER)
+        kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), *(self.forward.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+        average = self.corpus.first()["avgdl"] if size["queries"] else None
+        out = spark.createDataFrame([], kind)
+        for b in range(blocks if size["queries"] else 0):
+            own = weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow().combine_chunks()
+            if len(own):
+                block = Block(own.column("q").combine_chunks(), own.column("terms").to_pylist(), k, o, average)
+                out = out.union(self.forward.select(*names, "words", "dl").mapInArrow(block.run, kind))
+        return out
+
+
+#: A block of queries has about so many queries and weighted words at most; its dense weights stay below 100 MB.
+BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
+#: Cells of the dense matrix of one step: chunks times words of the block.
+CELLS = 2_000_000
+
+
+class Block:
+    """Queries as weighted words, to be scored against partitions of the forward index."""
+
+    def __init__(self, names: pa.Array, terms: list[list[dict]], k: int, okapi: Okapi, average: float):
+        self.names, self.k, self.okapi, self.average = names, k, okapi, average
+        vocabulary: dict[str, int] = {}
+        self.cells = [(vocabulary.setdefault(t["term"], len(vocabulary)), q, t["weight"]) for q, own in enumerate(terms) for t in own]
+        self.vocabulary = pa.array(list(vocabulary))
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(self.vocabulary)
+        term, query, weight = (np.array(x) for x in zip(*self.cells, strict=True))
+        weights = np.zeros((width, len(self.names)))
+        weights[term, query] = weight
+        step = max(16, CELLS // width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                yield self.best(whole.slice(at, step), weights)
+
+    def best(self, batch: pa.RecordBatch, weights: np.ndarray) -> pa.RecordBatch:
+        words, o = batch.column("words"), self.okapi
+        known = pc.index_in(words.flatten(), value_set=self.vocabulary)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        here = pc.is_valid(known).to_numpy(zero_copy_only=False)
+        cell, tf = np.unique(row[here] * weights.shape[0] + pc.fill_null(known, 0).to_numpy()[here].astype(np.int64), return_counts=True)
+        row, term = np.divmod(cell, weights.shape[0])
+        norm = o.k1 * (1 - o.b + o.b * batch.column("dl").to_numpy(zero_copy_only=False) / self.average) if self.average else np.ones(batch.num_rows)
+        impact = np.zeros((batch.num_rows, weights.shape[0]))
+        impact[row, term] = tf * (o.k1 + 1) / (tf + norm[row])
+        rounded = np.round((scores := impact @ weights), 9).T
+        keep = rounded > 0
+        if rounded.shape[1] > self.k:
+            keep &= rounded >= np.partition(rounded, -self.k, axis=1)[:, -self.k][:, None]
+        q, i = np.nonzero(keep)
+        at = pa.array(i)
+        return pa.RecordBatch.from_arrays([self.names.take(pa.array(q)), *(batch.column(c).take(at) for c in ("chunk_id", *ORDER)), pa.array(scores.T[q, i])], names=["q", "chunk_id", *ORDER, "score"])
 
 
-def weigh(postings: DataFrame, corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
+def weigh(forward: DataFrame, corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     """(term, df, idf). Negative idf becomes epsilon times the mean of all idf before the replacement."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = forward.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * okapi.epsilon).otherwise(F.col("raw")).alias("idf"))

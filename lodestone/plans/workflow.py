@@ -21,7 +21,7 @@ from lodestone.plans.answering import allowed_ids, write
 from lodestone.plans.coverage import route_after_research, route_after_verification, verify
 from lodestone.plans.planning import RETRIEVERS, plan_questions
 from lodestone.schema import EVIDENCE, ORDER, PLAN, VERIFICATION
-from lodestone.session import Settings
+from lodestone.session import Settings, cut
 from lodestone.sources.providers import Completer, Encoder, ModelUnavailableError, Scorer
 from lodestone.sources.store import Indexes
 
@@ -137,29 +137,20 @@ def ask(questions: DataFrame, engine: RetrievalEngine, settings: Settings, compl
     if scorer is None:
         raise ModelUnavailableError(f"no scorer given for {settings.reranker_model!r}")
     states = answered(initial_states(questions).drop("plan"), completer, "planner", 0, prompts.planner(F.col("question")))
-    active = checked(_cut(plan_questions(states)), "plan_error")
+    active = checked(cut(plan_questions(states)), "plan_error")
     done = None
     for turn in range(settings.max_retries + 1):
-        active = _cut(research(active, engine, settings, scorer))
+        active = cut(research(active, engine, settings, scorer))
         to_writer = route_after_research(F.col("stop_reason")) == "writer"
         ready, rest = active.where(to_writer), active.where(~to_writer)
         verified = verify(answered(rest, completer, "verifier", turn, prompts.verifier(rest)))
-        verified = checked(_cut(verified), "verify_error")
+        verified = checked(cut(verified), "verify_error")
         route = route_after_verification(F.col("verification.status"), F.col("verification.corrective_query"), F.col("retry_count"), settings.max_retries)
         ready = ready.unionByName(verified.where(route == "writer"))
         done = ready if done is None else done.unionByName(ready)
         active = verified.where(route == "researcher")
         if active.isEmpty():
             break
-    written = write(answered(_cut(done), completer, "writer", 0, prompts.writer(F.col("verification"), allowed_ids(F.col("verification.covered")))))
-    return checked(_cut(written), "write_error").drop("summary")
+    written = write(answered(cut(done), completer, "writer", 0, prompts.writer(F.col("verification"), allowed_ids(F.col("verification.covered")))))
+    return checked(cut(written), "write_error").drop("summary")
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows, written once: rounds read their predecessor several times and would repeat its work and its model calls."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()

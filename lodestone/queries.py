@@ -19,7 +19,7 @@ from lodestone.operators.graph import EntityGraph
 from lodestone.operators.select import select_evidence
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans import answering, coverage, planning, workflow
-from lodestone.session import Settings
+from lodestone.session import Settings, cut
 from lodestone.sources.store import Indexes, invalid, summary
 
 QUERIES: dict = {}
@@ -302,15 +302,15 @@ def dense_normalise(spark, sf):
 # ---------------------------------------------------------------- fusion and reranking
 
 
-def rank_lists_of(spark, sf) -> DataFrame:
-    c = chunks(spark, sf)
+def rank_lists_of(spark, sf, c: DataFrame | None = None) -> DataFrame:
+    c = c or cut(chunks(spark, sf))
     sparse = SparseIndex.build(c).search(questions(spark, sf)).select("qid", F.lit("sparse").alias("retriever"), F.lit(0).alias("list_ord"), "rank", "chunk_id", "score")
     graph = EntityGraph.build(c).search(names(spark, sf)).select("qid", F.lit("graph").alias("retriever"), F.lit(2000).alias("list_ord"), "rank", "chunk_id", "score")
     return sparse.unionByName(graph).where(F.col("rank") <= workflow.PER_QUERY)
 
 
-def fused_of(spark, sf) -> DataFrame:
-    return reciprocal_rank_fusion(rank_lists_of(spark, sf))
+def fused_of(spark, sf, c: DataFrame | None = None) -> DataFrame:
+    return reciprocal_rank_fusion(rank_lists_of(spark, sf, c))
 
 
 def asked_of(spark, sf) -> DataFrame:
@@ -323,9 +323,17 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)).cast("double") / F.size(q))
 
 
-def reranked_of(spark, sf) -> DataFrame:
-    top = fused_of(spark, sf).where(F.col("fused_rank") <= workflow.MAX_CANDIDATES).select("qid", "fused_rank", "chunk_id")
-    return rerank(asked_of(spark, sf), top.join(chunks(spark, sf).select("chunk_id", "paper", "page", "text"), "chunk_id"), overlap)
+def reranked_of(spark, sf, fused: DataFrame | None = None, c: DataFrame | None = None) -> DataFrame:
+    c = c or cut(chunks(spark, sf))
+    top = (fused or fused_of(spark, sf, c)).where(F.col("fused_rank") <= workflow.MAX_CANDIDATES).select("qid", "fused_rank", "chunk_id")
+    return rerank(asked_of(spark, sf), top.join(c.select("chunk_id", "paper", "page", "text"), "chunk_id"), overlap)
+
+
+def two_rounds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The ten best fused candidates, and the ten best reranked ones."""
+    c = cut(chunks(spark, sf))
+    fused = cut(fused_of(spark, sf, c))
+    return fused.where(F.col("fused_rank") <= 10), reranked_of(spark, sf, fused, c).where(F.col("rank") <= 10)
 
 
 @register(with_(LISTS, "SELECT qid, retriever, list_ord, rank, chunk_id, round(score, 6) AS score FROM lists"))
@@ -354,9 +362,9 @@ def rerank_threshold(spark, sf):
 
 
 def merged_of(spark, sf) -> DataFrame:
-    old = fused_of(spark, sf).where(F.col("fused_rank") <= 10).select("qid", "chunk_id", F.col("fused_rank").alias("slot"), F.round(F.col("rrf") * 20, 9).alias("score"))
-    new = reranked_of(spark, sf).where(F.col("rank") <= 10).select("qid", "chunk_id", F.col("rank").alias("slot"), "score")
-    return merge_evidence(old, new)
+    fused, again = two_rounds(spark, sf)
+    old = fused.select("qid", "chunk_id", F.col("fused_rank").alias("slot"), F.round(F.col("rrf") * 20, 9).alias("score"))
+    return merge_evidence(old, again.select("qid", "chunk_id", F.col("rank").alias("slot"), "score"))
 
 
 @register(with_(MERGED, "SELECT qid, chunk_id, merged_slot, round(score, 6) AS score FROM merged"))
@@ -366,7 +374,7 @@ def evidence_merge(spark, sf):
 
 @register(with_(MERGED, "SELECT qid, list_sort(list(chunk_id) FILTER (round = 0)) = list_sort(list(chunk_id) FILTER (round = 1)) AS no_new FROM evidence_ GROUP BY qid"))
 def retry_no_new(spark, sf):
-    fused, again = fused_of(spark, sf).where(F.col("fused_rank") <= 10), reranked_of(spark, sf).where(F.col("rank") <= 10)
+    fused, again = two_rounds(spark, sf)
     pack = lambda df, n: df.groupBy("qid").agg(F.collect_list(F.struct("chunk_id")).alias(n))
     states = pack(fused, "evidence").join(pack(again, "_new"), "qid")
     states = states.withColumns({"verification": F.struct(F.lit("again").alias("corrective_query")), "retry_count": F.lit(0)})
@@ -581,7 +589,7 @@ def hybrid_search(spark, sf):
 
 
 def _engine(spark, sf) -> workflow.RetrievalEngine:
-    c = workflow._cut(chunks(spark, sf))
+    c = cut(chunks(spark, sf))
     none = spark.createDataFrame([], "id string, embedding array<float>")
     return workflow.RetrievalEngine(c, Indexes(SparseIndex.build(c), none, EntityGraph.build(c)))
 

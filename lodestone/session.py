@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import tempfile
 from dataclasses import dataclass, fields
 from pathlib import PurePosixPath
 
@@ -66,3 +67,12 @@ def read_dotenv(path: str | None) -> dict[str, str]:
 def session(name: str = "lodestone") -> SparkSession:
     """The active session, or one with adaptive execution on; cluster and sizes come from spark-submit."""
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder of spark.checkpoint.dir and read from there: what follows reads them several times, or
+    would repeat a model's calls. Only where no folder is set (tests) a temporary one is made."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()

@@ -21,7 +21,7 @@ def test_tokens_keep_one_hyphen_joint_and_repeats(spark):
 
 
 def test_entities_of_the_three_kinds(spark):
-    found = one(spark, "Self-RAG and CRAG by Jane Doe. Introduction RAG. Self-RAG again; Related Work", text.entities)
+    found = one(spark, "Self-RAG and CRAG by Jane Doe. Introduction. RAG. Self-RAG again; Related Work", text.entities)
     assert found == ["self-rag", "crag", "jane doe", "rag"]
 
 
