@@ -208,9 +208,11 @@ def deduplicated(docs: DataFrame, method: SimHash = SimHash()) -> DataFrame:
     marked = cut(fingerprints(named, method.shingle, ("doc_id", "_row")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     fps = cut(marked.groupBy("fp").agg(first.alias("first")))
-    kept = method.groups(fps.select("fp")).join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._row")
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row")).alias("w")
-    same = F.col("w._row").eqNullSafe(F.col("k._row")) & F.col("w._id").eqNullSafe(F.col("k.doc_id"))
-    out = whole.join(kept.alias("k"), same, "left_semi")
-    one = F.row_number().over(W.partitionBy("_row", "_id").orderBy(F.lit(1)))
+    kept = method.groups(fps.select("fp")).join(fps, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # keys without nulls: the join and the window then need one and the same shuffle of the texts
+    keys = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_row"]
+    kept = kept.select(F.col("first.doc_id").alias("_id"), "first._row").select(*keys)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row")).select("_doc", *keys)
+    out = whole.join(kept, ["_none", "_id", "_row"], "left_semi")
+    one = F.row_number().over(W.partitionBy("_none", "_id", "_row").orderBy(F.lit(1)))
     return out.withColumn("_n", one).where("_n = 1").select("_doc.*")
