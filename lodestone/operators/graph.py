@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import compact_form, entities, word_form
 from lodestone.operators.ranking import top_k
+from lodestone.session import cut
 
 #: Compact names of fewer characters are not searched for as parts.
 LEAST_PART = 5
@@ -26,7 +27,8 @@ class EntityGraph:
 
     @classmethod
     def build(cls, chunks: DataFrame) -> EntityGraph:
-        named = chunks.select("chunk_id", entities(F.col("text")).alias("names"))
+        """Names are found once; they are written to the checkpoint folder."""
+        named = cut(chunks.select("chunk_id", entities(F.col("text")).alias("names")))
         members = named.select(F.explode("names").alias("entity"), "chunk_id")
         e = F.col("entity")
         nodes = members.select("entity").distinct().select("entity", word_form(e).alias("word_form"), compact_form(e).alias("compact"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import best_first, top_k
 from lodestone.schema import ORDER
+from lodestone.session import cut
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,11 @@ class SparseIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, okapi: Okapi = Okapi()) -> SparseIndex:
+        """Chunks are tokenised once; the tables are written to the checkpoint folder."""
         words = chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words"))
-        forward = words.withColumn("dl", F.size("words"))
-        corpus = forward.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-        return cls(forward, weigh(forward, corpus, okapi), corpus, okapi)
+        forward = cut(words.withColumn("dl", F.size("words")))
+        corpus = cut(forward.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")))
+        return cls(forward, cut(weigh(forward, corpus, okapi)), corpus, okapi)
 
     @property
     def postings(self) -> DataFrame:
@@ -68,6 +71,7 @@ class SparseIndex:
         o = self.okapi
         asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
         weighted = asked.join(self.terms, "term").groupBy("q").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("terms"))
+        weighted = cut(weighted)
         size = weighted.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
         blocks = max(1, -(-size["queries"] // BLOCK_QUERIES), -(-size["terms"] // BLOCK_TERMS))
         spark = queries.sparkSession
@@ -83,10 +87,12 @@ class SparseIndex:
         return out
 
 
-#: A block of queries has about so many queries and weighted words at most; its dense weights stay below 100 MB.
+#: A block of queries has about so many queries and weighted words at most.
 BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
-#: Cells of the dense matrix of one step: chunks times words of the block.
-CELLS = 2_000_000
+#: Words of at least so many queries are scored by a matrix product, the others one by one.
+COMMON = 8
+#: Chunks scored at a time.
+STEP = 512
 
 
 class Block:
@@ -94,31 +100,41 @@ class Block:
 
     def __init__(self, names: pa.Array, terms: list[list[dict]], k: int, okapi: Okapi, average: float):
         self.names, self.k, self.okapi, self.average = names, k, okapi, average
-        vocabulary: dict[str, int] = {}
-        self.cells = [(vocabulary.setdefault(t["term"], len(vocabulary)), q, t["weight"]) for q, own in enumerate(terms) for t in own]
-        self.vocabulary = pa.array(list(vocabulary))
+        times = Counter(t["term"] for own in terms for t in own)
+        # common words first: the first `common` columns are dense
+        place = {term: i for i, (term, _) in enumerate(times.most_common())}
+        self.common = sum(n >= COMMON for n in times.values())
+        self.vocabulary = pa.array(list(place))
+        cells = sorted((place[t["term"]], q, t["weight"]) for q, own in enumerate(terms) for t in own)
+        self.term, self.query, self.weight = (np.array(x) for x in zip(*cells, strict=True))
+        self.begin = np.searchsorted(self.term, np.arange(len(place) + 1))
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(self.vocabulary)
-        term, query, weight = (np.array(x) for x in zip(*self.cells, strict=True))
-        weights = np.zeros((width, len(self.names)))
-        weights[term, query] = weight
-        step = max(16, CELLS // width)
+        dense = np.zeros((self.common, len(self.names)))
+        n = self.begin[self.common]
+        dense[self.term[:n], self.query[:n]] = self.weight[:n]
         for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                yield self.best(whole.slice(at, step), weights)
+            for at in range(0, whole.num_rows, STEP):
+                yield self.best(whole.slice(at, STEP), dense)
 
-    def best(self, batch: pa.RecordBatch, weights: np.ndarray) -> pa.RecordBatch:
-        words, o = batch.column("words"), self.okapi
+    def best(self, batch: pa.RecordBatch, dense: np.ndarray) -> pa.RecordBatch:
+        words, o, width, many = batch.column("words"), self.okapi, len(self.vocabulary), len(self.names)
         known = pc.index_in(words.flatten(), value_set=self.vocabulary)
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
         here = pc.is_valid(known).to_numpy(zero_copy_only=False)
-        cell, tf = np.unique(row[here] * weights.shape[0] + pc.fill_null(known, 0).to_numpy()[here].astype(np.int64), return_counts=True)
-        row, term = np.divmod(cell, weights.shape[0])
+        cell, tf = np.unique(row[here] * width + pc.fill_null(known, 0).to_numpy()[here].astype(np.int64), return_counts=True)
+        row, term = np.divmod(cell, width)
         norm = o.k1 * (1 - o.b + o.b * batch.column("dl").to_numpy(zero_copy_only=False) / self.average) if self.average else np.ones(batch.num_rows)
-        impact = np.zeros((batch.num_rows, weights.shape[0]))
-        impact[row, term] = tf * (o.k1 + 1) / (tf + norm[row])
-        rounded = np.round((scores := impact @ weights), 9).T
+        impact = tf * (o.k1 + 1) / (tf + norm[row])
+        common = term < self.common
+        whole = np.zeros((batch.num_rows, self.common))
+        whole[row[common], term[common]] = impact[common]
+        scores = whole @ dense
+        row, term, impact = row[~common], term[~common], impact[~common]
+        n = self.begin[term + 1] - self.begin[term]
+        at = np.repeat(self.begin[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        scores += np.bincount(np.repeat(row, n) * many + self.query[at], np.repeat(impact, n) * self.weight[at], batch.num_rows * many).reshape(-1, many)
+        rounded = np.round(scores, 9).T
         keep = rounded > 0
         if rounded.shape[1] > self.k:
             keep &= rounded >= np.partition(rounded, -self.k, axis=1)[:, -self.k][:, None]
