@@ -5,6 +5,10 @@ words in it. Consecutive windows with one minimiser form a super-k-mer: all thei
 to the minimiser's bucket. Equal windows have equal minimisers, so they meet in one bucket, and there sorting counts them
 exactly: windows are sorted by a hash of their bytes, and neighbours with equal hashes are compared byte by byte.
 
+Seeds of phrases that very many documents hold are counted beforehand and come last in the order of seeds, so the windows
+around such a phrase go to the buckets of their own words, and only windows inside it, of which there are few different ones,
+stay with its seeds.
+
 First pass: each task packs its super-k-mers by bucket and sends a repeated one once, with a mark that it repeats, so a
 passage in a third of all documents costs a bucket one string per task, not one per document. Buckets answer with a bit
 per window for strings that hold a repeated window, keyed by the string's 128-bit hash. Second pass: documents look their
@@ -47,6 +51,7 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
+NO_SEEDS = np.zeros(0, np.uint64)
 CHUNK = 1 << 18
 UP, DOWN = powers(BASE, CHUNK), powers(INVERSE, CHUNK)
 
@@ -98,28 +103,41 @@ class Windows:
     window: int = 35
     seed_words: int = 6
     bucket_bytes: int = 6 << 20
+    #: A seed that occurs more often is hot, up to max_hot of the most frequent ones (8 bytes each go to every task).
+    hot_seed: int = 20_000
+    max_hot: int = 100_000
     #: Texts are worked on in groups of about so many bytes.
     group_bytes: int = 2 << 20
 
-    def super_kmers(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For groups of texts (words joined by single spaces): buffer, number of each super-k-mer's text, word position in it, windows, byte start, byte end, minimiser."""
+    def groups(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts by groups of about group_bytes: number of the first, bytes, the same as array, starts and ends of the words."""
         at = 0
         while at < len(texts):
-            group, size = [], 0
-            first = at
+            group, size, first = [], 0, at
             while at < len(texts) and (not group or size < self.group_bytes):
                 group.append(texts[at])
                 size += len(texts[at]) + 1
                 at += 1
             raw = b"\n".join(group) + b"\n"
             buffer = np.frombuffer(raw, np.uint8)
-            starts, ends = bounds(buffer)
+            yield first, raw, buffer, *bounds(buffer)
+
+    def seed_hashes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """63 bits for each run of seed_words words; runs across two texts are among them, and are part of no window."""
+        first = np.arange(max(0, len(starts) - self.seed_words + 1))
+        return Rolling(buffer, starts, ends)(first, first + self.seed_words - 1) >> np.uint64(1)
+
+    def super_kmers(self, texts: list[bytes], hot: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For groups of texts (words joined by single spaces): buffer, number of each super-k-mer's text, word position in it, windows, byte start, byte end, minimiser."""
+        for first, raw, buffer, starts, ends in self.groups(texts):
             line_of = np.cumsum(buffer[ends] == 10) - (buffer[ends] == 10)  # the text each word is of
             n = len(starts)
             if n < self.window:
                 continue
-            seeds = np.arange(n - self.seed_words + 1)
-            hashes = Rolling(buffer, starts, ends)(seeds, seeds + self.seed_words - 1)
+            hashes = self.seed_hashes(buffer, starts, ends)
+            # hot seeds come last in the order: they are minimisers only of windows without any other seed
+            if len(hot):
+                hashes |= (hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes).astype(np.uint64) << np.uint64(63)
             least = sliding_min(hashes, self.window - self.seed_words + 1)
             whole = line_of[: n - self.window + 1] == line_of[self.window - 1 :]
             new = np.ones(len(least), bool)
@@ -132,7 +150,26 @@ class Windows:
             word0 = np.searchsorted(line_of, line_of[begin])
             yield raw, line_of[begin] + first, begin - word0, count, starts[begin], ends[begin + count + self.window - 2], least[begin]
 
-    def send(self, buckets: int):
+    def seeds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """mapInArrow: texts -> (seed, n): the seeds that occur at least three times among some million words, and how often."""
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            seed, n = np.unique(np.concatenate([NO_SEEDS, *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(seed[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["seed", "n"])
+
+        for batch in batches_of(batches, "text"):
+            for _, _, *words in self.groups([b" ".join(t.split()) for t in text_bytes(batch.column("text"))]):
+                held.append(self.seed_hashes(*words))
+                size += len(held[-1])
+            if size > 4_000_000:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def send(self, buckets: int, hot: np.ndarray):
         """mapInArrow: texts -> (bucket, packed); packed is compressed and holds marks and strings."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +188,7 @@ class Windows:
 
             for batch in batches_of(batches, "text"):
                 texts = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))]
-                for raw, _, _, _, start, end, least in self.super_kmers(texts):
+                for raw, _, _, _, start, end, least in self.super_kmers(texts, hot):
                     for a, b, k in zip(start.tolist(), end.tolist(), (least % np.uint64(buckets)).tolist(), strict=True):
                         s = raw[a:b]
                         own = held.get(k)
@@ -215,11 +252,11 @@ class Windows:
         digests = [xxhash.xxh3_128_digest(strings[i]) for i in hit.tolist()]
         return pa.table({"h": pa.array(digests, pa.binary()), "bits": pa.array([flags[first[i] : first[i] + n_windows[i]] for i in hit.tolist()], pa.binary())})
 
-    def refer(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def refer(self, batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         """mapInArrow: (row, text) -> (h, row, at) of every super-k-mer."""
         for batch in batches_of(batches, "text"):
             texts, rows = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))], batch.column("row")
-            for raw, text, at, _, start, end, _ in self.super_kmers(texts):
+            for raw, text, at, _, start, end, _ in self.super_kmers(texts, hot):
                 digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), rows.take(pa.array(text)), pa.array(at.astype(np.int32))], names=["h", "row", "at"])
 
@@ -245,12 +282,15 @@ def covered(docs: DataFrame, method: Windows = Windows()) -> DataFrame:
     """(row, stretches): for each row_key() with repeated windows the array of (lo, hi) word positions they cover."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-3 * total // method.bucket_bytes))
-    sent = docs.select("text").mapInArrow(method.send(buckets), "bucket int, packed binary")
-    # the buckets are as large as they should be: each is dealt to a partition of its own number
+    # seeds of common phrases, which would gather the strings of all documents that hold them; at most max_hot of them
+    counts = docs.select("text").mapInArrow(lambda batches: method.seeds(batches), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") > method.hot_seed).orderBy(F.col("n").desc(), "seed").limit(method.max_hot)
+    hot = np.sort(np.array([r["seed"] for r in often.collect()], np.uint64))
+    sent = docs.select("text").mapInArrow(method.send(buckets, hot), "bucket int, packed binary")
     known = cut(sent.groupBy("bucket").applyInArrow(lambda rows: method.count(rows), "h binary, bits binary"))
     del sent
     release(docs.sparkSession)  # the packed strings are the largest shuffle by far
-    own = docs.select(row_key().alias("row"), "text").mapInArrow(lambda batches: method.refer(batches), "h binary, row long, at int")
+    own = docs.select(row_key().alias("row"), "text").mapInArrow(lambda batches: method.refer(batches, hot), "h binary, row long, at int")
     found = own.join(known, "h").select("row", "at", "bits").mapInArrow(lambda batches: method.stretches(batches), "row long, lo int, hi int")
     # equal rows bring equal stretches more than once; a set keeps one
     return cut(found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("stretches")))
