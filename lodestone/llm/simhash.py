@@ -13,14 +13,24 @@ tree. A node stores the bits that all below it share and that no ancestor has st
 adds up the differing bits on the way and drops a whole group once they exceed the distance; that loses no link. Links
 within a task are merged at once, and the task returns one edge per fingerprint to its local group's smallest, not pairs.
 
+NearCopies is the pipeline's stage: five-word shingles, a distance as wide as a Jaccard similarity of 0.8 needs, and an exact
+check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, so its
+buckets are shingles instead: with the shingles of all texts in one order (common ones last), two sets of similarity 0.8 or
+more always share one of their first n - ceil(0.8 n) + 1. Texts of a bucket whose sizes allow the similarity and whose
+fingerprints link are candidates; each connected set of candidates is compared in a task of its own (in blocks that meet
+pairwise above a limit), where a pair's shingle sets are intersected unless it is merged already. Only the distance can lose
+a pair, and rarely does (README, Limits).
+
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text shorter than a shingle is one
 shingle; a null doc_id is never a component_id unless its whole group has none; repeated rows are copies; an empty table
-gives no rows; extra columns are ignored by fingerprints() and near_duplicates() and kept by deduplicated().
+gives no rows; extra columns are ignored by fingerprints() and near_duplicates() and kept by deduplicated() and
+NearCopies.deduplicated(), which takes texts of the same words, apart from ASCII case, for copies (by a 64-bit hash).
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -209,10 +219,169 @@ def deduplicated(docs: DataFrame, method: SimHash = SimHash()) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     fps = cut(marked.groupBy("fp").agg(first.alias("first")))
     kept = method.groups(fps.select("fp")).join(fps, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return of_keys(docs, kept.select("first.*")).select("_doc.*")
+
+
+def of_keys(docs: DataFrame, keys: DataFrame, *keep: str) -> DataFrame:
+    """(_doc, *keep): docs' rows whose doc_id and hash (_row) are among keys, with the keys' columns; of repeated rows one."""
     # keys without nulls: the join and the window then need one and the same shuffle of the texts
-    keys = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_row"]
-    kept = kept.select(F.col("first.doc_id").alias("_id"), "first._row").select(*keys)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row")).select("_doc", *keys)
-    out = whole.join(kept, ["_none", "_id", "_row"], "left_semi")
+    names = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_row"]
+    keys = keys.select(F.col("doc_id").alias("_id"), "_row", *keep).select(*names, *keep)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row")).select("_doc", *names)
+    out = whole.join(keys, ["_none", "_id", "_row"], "inner" if keep else "left_semi")
     one = F.row_number().over(W.partitionBy("_none", "_id", "_row").orderBy(F.lit(1)))
-    return out.withColumn("_n", one).where("_n = 1").select("_doc.*")
+    return out.withColumn("_n", one).where("_n = 1").select("_doc", *keep)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 values of a text's different shingles, ascending."""
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    hashes = b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)])
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+@dataclass(frozen=True)
+class NearCopies:
+    shingle: int = 5
+    distance: int = 24
+    #: Similarity as a fraction of whole numbers, so that its bounds are exact.
+    similar: tuple[int, int] = (4, 5)
+    #: Shingles in over one of so many documents of a sample come last in the order.
+    common: int = 1000
+    sample: int = 20_000
+    max_common: int = 100_000
+    block_texts: int = 1024
+    block_bytes: int = 16 << 20
+
+    def common_shingles(self, docs: DataFrame) -> np.ndarray:
+        """Up to max_common of the most common shingles, ascending; which these are changes the work, not the outcome."""
+        n, k = docs.count(), self.shingle
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, k) for t in text_bytes(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+        some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // self.sample))) == 0)
+        counts = some.mapInArrow(per_batch(run), "h long").groupBy("h").agg(F.count("*").alias("n"))
+        rows = counts.where(F.col("n") > max(10, min(n, self.sample) // self.common)).orderBy(F.desc("n"), "h").limit(self.max_common).collect()
+        return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+    def described(self, docs: DataFrame, common: np.ndarray) -> DataFrame:
+        """(doc_id, _row, node, fp, size, first): a hash of the words, the fingerprint, the shingle set's size and its first shingles."""
+        k, (above, below) = self.shingle, self.similar
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, fps, sizes, firsts = [], [], [], []
+            for t in text_bytes(batch.column("text")):
+                own = shingle_set(t, k)
+                n = len(own) - (above * len(own) + below - 1) // below + 1 if len(own) else 0
+                often = np.isin(own, common)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 0))
+                fps.append(simhash(t, k))
+                sizes.append(len(own))
+                firsts.append(np.concatenate([own[~often], own[often]])[:n].view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)])
+            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps, sizes)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *numbers, first], names=["doc_id", "_row", "node", "fp", "size", "first"])
+
+        named = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("_row"))
+        longs = [T.StructField(x, T.LongType()) for x in ("_row", "node", "fp", "size")]
+        return named.mapInArrow(per_batch(run), T.StructType([named.schema["doc_id"], *longs, T.StructField("first", T.ArrayType(T.LongType()))]))
+
+    def candidates(self, texts: DataFrame) -> DataFrame:
+        """Edges (u, v) between nodes that share a first shingle and whose sizes and fingerprints allow the similarity; enough to connect all such."""
+        distance, (above, below) = self.distance, self.similar
+        near = 64
+
+        def close(fp: np.ndarray, size: np.ndarray, a, b) -> np.ndarray:
+            return (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (np.minimum(size[a], size[b]) * below >= np.maximum(size[a], size[b]) * above)
+
+        def link(h: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            out, starts = [], np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            lengths = np.diff(np.append(starts, len(h)))
+            for start, n in zip(starts[lengths > near].tolist(), lengths[lengths > near].tolist(), strict=True):
+                parent, f, z = np.arange(n), fp[start : start + n], size[start : start + n]
+                at = np.arange(n)
+                for i in range(n - 1):
+                    hit = at[i + 1 :][close(f, z, i, at[i + 1 :])]
+                    parent = merge(parent, hit, np.full(len(hit), i))
+                joined = np.flatnonzero(parent != at)
+                out.append((node[start + joined], node[start + parent[joined]]))
+            few = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= near), lengths))
+            for step in range(1, min(near, len(few))):
+                a, b = few[:-step], few[step:]
+                same = h[a] == h[b]
+                if not same.any():
+                    break
+                a, b = a[same], b[same]
+                hit = close(fp, size, a, b)
+                out.append((node[a[hit]], node[b[hit]]))
+            return out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest: list[list[np.ndarray]] = []
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None and not batch.num_rows:
+                    continue
+                if batch is not None:
+                    rest.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                    if rest[0][0][0] == rest[-1][0][-1]:
+                        continue  # one shingle so far, and perhaps beyond
+                if not rest:
+                    continue
+                h, node, fp, size = (np.concatenate(c) for c in zip(*rest, strict=True))
+                end = len(h) if batch is None else int(np.flatnonzero(h != h[-1])[-1]) + 1
+                rest = [[c[end:] for c in (h, node, fp, size)]] if end < len(h) else []
+                pairs = link(h[:end], node[:end], fp[:end].view(np.uint64), size[:end])
+                if pairs:
+                    edges = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["u", "v"])
+
+        sent = texts.select(F.explode("first").alias("h"), "node", "fp", "size").repartition("h").sortWithinPartitions("h")
+        return sent.mapInArrow(run, "u long, v long").distinct()
+
+    def merged(self, docs: DataFrame, texts: DataFrame) -> DataFrame:
+        """(node, component) of every text that is linked with another: pairs of candidates at the similarity or more."""
+        k, distance, (above, below) = self.shingle, self.distance, self.similar
+        parts = cut(components(self.candidates(texts), "u", "v"))
+        keys = texts.join(parts, "node").select("first_row.doc_id", "first_row._row", "node", "component", "fp")
+        rows = cut(of_keys(docs, keys, "node", "component", "fp").select("node", "component", "fp", "_doc.text"))
+        subs = F.ceil(F.greatest(F.count("*") / self.block_texts, F.sum(F.length("text")) / self.block_bytes, F.lit(1.0))).cast("int")
+        sent = rows.join(rows.groupBy("component").agg(subs.alias("subs")), "component").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("subs")).cast("int"))
+        sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        sent = sent.select("component", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node", "fp", "text")
+
+        def link(table: pa.Table) -> pa.Table:
+            node, fp, sub = (table.column(c).to_numpy() for c in ("node", "fp", "sub"))
+            fp, i, j = fp.view(np.uint64), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            own = [shingle_set(t, k) for t in text_bytes(table.column("text"))]
+            size = np.array([len(x) for x in own])
+            sets = [frozenset(x.tolist()) for x in own]
+            parent = np.arange(len(node))
+            for a in np.flatnonzero(sub == i).tolist():
+                others = np.flatnonzero((sub == j) & (np.arange(len(node)) > (a if i == j else -1)))
+                fits = (np.bitwise_count(fp[a] ^ fp[others]) <= distance) & (np.minimum(size[a], size[others]) * below >= np.maximum(size[a], size[others]) * above)
+                for b in others[fits].tolist():
+                    if parent[a] != parent[b]:
+                        both = len(sets[a] & sets[b])
+                        if both * below >= (len(sets[a]) + len(sets[b]) - both) * above:
+                            low, high = sorted((parent[a], parent[b]))
+                            parent[parent == high] = low
+            joined = np.flatnonzero(parent != np.arange(len(node)))
+            return pa.table({"u": node[joined], "v": node[parent[joined]]})
+
+        return components(sent.groupBy("component", "i", "j").applyInArrow(link, "u long, v long"), "u", "v")
+
+    def deduplicated(self, docs: DataFrame) -> DataFrame:
+        """docs' own columns: of each group the document with the smallest doc_id (nulls last); of repeated rows one."""
+        marked = cut(self.described(docs, self.common_shingles(docs)))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+        least = marked.groupBy("node").agg(first.alias("first_row"))
+        # a document without words has no shingle and links with its copies only
+        shapes = marked.alias("m").join(least.alias("l"), (F.col("m.node") == F.col("l.node")) & F.col("m.doc_id").eqNullSafe(F.col("l.first_row.doc_id")) & (F.col("m._row") == F.col("l.first_row._row")))
+        texts = cut(shapes.select("m.node", "m.fp", "m.size", "m.first", "l.first_row").dropDuplicates(["node"]))
+        groups = texts.select("node", "first_row").join(self.merged(docs, texts), "node", "left")
+        kept = groups.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first_row").alias("first"))
+        return of_keys(docs, kept.select("first.*")).select("_doc.*")
