@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_words import EDGES, WORD, docs_of, edge_docs
 
-from lodestone.llm import simhash
+from lodestone.llm import secrets, simhash
 
 # ---------------------------------------------------------------- near copies (pipeline)
 
@@ -93,3 +93,40 @@ def test_distance_is_wide_enough_for_the_similarity():
         assert len(a & b) >= 0.8 * len(a | b)
         far.append((simhash.simhash(" ".join(own).encode(), 5) ^ simhash.simhash(" ".join(near).encode(), 5)).bit_count())
     assert max(far) <= method.distance and np.mean(np.array(far) > 4) > 0.5
+
+
+# ---------------------------------------------------------------- glued credentials (op2, pipeline)
+
+
+def test_glued_credentials_are_found(spark):
+    draw = random.Random(4)
+    pick = lambda alphabet, n: "".join(draw.choices(alphabet, k=n))
+    letters, digits = secrets.LOWER, secrets.DIGITS
+    texts = [f"see {pick(letters, draw.randint(16, 24))} and {pick(letters, 9)}/{pick(letters, 12)}.html ok" for _ in range(300)]
+    model = secrets.learnt(docs_of(spark, texts))
+    frames = ["see {}.", "GH={}", "path/{}", "a.b/{}/c", "AKIA" + "Q" * 16 + "/{}", "{}+" + "0f" * 12]
+    for form, prefix, alphabet, n in secrets.FORMATS[:4]:
+        for frame in frames:
+            hits, bare = 0, 0
+            for _ in range(20):
+                token = prefix + pick(alphabet, n)
+                if not model.is_credential(token):
+                    continue
+                bare += 1
+                text = frame.format(token)
+                a = text.index(token)
+                hits += any(k == "format" and x <= a and a + len(token) <= y for x, y, k in secrets.all_spans(text, model)[1])
+                if frame == "see {}." and hits == 1:
+                    assert token not in secrets.redact(text, model)
+            assert hits == bare >= 14, (form, frame, hits, bare)
+    jwt = "eyJ" + pick(letters + digits, 30) + "." + pick(letters + digits, 30) + "." + pick(letters + digits, 30)
+    assert secrets.redact(f"id=x/{jwt}.", model).rstrip(".") == "id=x/[REDACTED]"  # a full stop is of the format
+    clean = [f"{pick(letters, 18)}.", f"{pick(letters, 9)}={pick(letters, 20)}", f"{pick(letters, 20)}/{pick(letters, 17)}.html"] * 20
+    assert sum(secrets.redact(t, model) != t for t in clean) <= 1
+
+
+def test_parts_cover_every_piece():
+    run = "a" * 20 + "=" + "b" * 3 + "/" + "c" * 16
+    assert list(secrets.parts_of(run)) == [(0, 24), (0, 20), (21, 41), (25, 41)]
+    long = "/".join(["x" * 500, "y" * 2000, "z" * 16])
+    assert {(0, 500), (501, 2501), (2502, 2518)} == set(secrets.parts_of(long))
