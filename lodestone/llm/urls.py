@@ -2,13 +2,13 @@
 
 A rule (action, host, path) fits its host and every subdomain when the URL's path starts with the rule's path; the
 longest host + path wins. A page that no rule fits takes part in the alias graph: nodes are addresses (host, path and
-query, without scheme and fragment), edges lead from a page to its canonical link and to its meta-refresh target, and
+query, without scheme and fragment), edges lead from a page to its canonical links and to its meta-refresh targets, and
 further edges (logged redirects) can be given. Within a connected component an explicitly blocked address blocks its
 aliases. An explicit allow has precedence: the page it fits is allowed whatever its component says.
 
 Defined cases: a null url or one without "://" has empty host and path, no rule and no address, so it is allowed; a null
-html gives no edges; relative link targets are resolved against the page's host, other schemes than http(s) are no
-addresses; repeated pages are judged alike; an empty table gives no rows.
+html gives no edges; all canonical and refresh tags of a page count; relative link targets are resolved against the page's
+address as in RFC 3986 (host, directory of the path, "." and "..", queries), other schemes than http(s) are no addresses; repeated pages are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,18 +39,30 @@ def address_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
-def resolved(target: Column, host: Column) -> Column:
-    """The address of a link target found on a page of host; null for what is no web address."""
+def without_dots(path: Column) -> Column:
+    """A path that starts with '/', its segments '.' and '..' resolved."""
+    segments = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array().cast("array<string>"))
+    left = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(left) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(left, "/"), end)).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The address of a link target found on the page of that url; null for what is no web address or the page itself."""
     target = F.trim(F.regexp_replace(target, "&amp;", "&"))
-    absolute = F.when(target.rlike("^(?i)https?://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("/"), F.concat(F.lit("x://"), host, target))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    at, folder = F.concat(F.lit("x://"), host_of(url)), F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
+    absolute = F.when(target.rlike("^(?i)https?://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("/"), F.concat(at, without_dots(path), rest))
+    absolute = absolute.when(target.startswith("?"), F.concat(at, path_of(url), target)).when((path != "") & ~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(at, without_dots(F.concat(folder, path)), rest))
     return address_of(absolute)
 
 
-def link_targets(html: Column) -> list[Column]:
-    """The canonical link's href and the meta refresh's URL, '' where absent."""
-    canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    return [canonical, refresh]
+def link_targets(html: Column) -> Column:
+    """The hrefs of all canonical links and the URLs of all meta refreshes, an array; null for a null html."""
+    canonical = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), 1)
+    return F.concat(canonical, refresh)
 
 
 def with_rule(pages: DataFrame, host: str, path: str, rules) -> DataFrame:
@@ -78,8 +90,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     """(page_id, url, host, path, rule, verdict) of every page. redirects: more edges, columns from_url and to_url."""
     p = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address_of(F.col("url")).alias("address"))
     p = with_rule(p, "host", "path", rules)
-    found = pages.select(address_of(F.col("url")).alias("a"), host_of(F.col("url")).alias("h"), F.explode(F.array(*link_targets(F.col("html")))).alias("t")).where("a is not null and t <> ''")
-    edges = found.select("a", resolved(F.col("t"), F.col("h")).alias("b"))
+    found = pages.select(address_of(F.col("url")).alias("a"), "url", F.explode(link_targets(F.col("html"))).alias("t")).where("a is not null")
+    edges = found.select("a", resolved(F.col("t"), F.col("url")).alias("b"))
     if redirects is not None:
         edges = edges.union(redirects.select(address_of(F.col("from_url")), address_of(F.col("to_url"))))
     edges = cut(edges.where("a is not null and b is not null and a <> b").distinct())

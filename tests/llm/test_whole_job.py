@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_words import EDGES, WORD, docs_of, edge_docs
 
-from lodestone.llm import secrets, simhash
+from lodestone.llm import secrets, simhash, urls
 
 # ---------------------------------------------------------------- near copies (pipeline)
 
@@ -130,3 +130,24 @@ def test_parts_cover_every_piece():
     assert list(secrets.parts_of(run)) == [(0, 24), (0, 20), (21, 41), (25, 41)]
     long = "/".join(["x" * 500, "y" * 2000, "z" * 16])
     assert {(0, 500), (501, 2501), (2502, 2518)} == set(secrets.parts_of(long))
+
+
+# ---------------------------------------------------------------- relative links (op3)
+
+
+@pytest.mark.parametrize("target,want", [("index.html", "/d/e/index.html"), ("./x", "/d/e/x"), ("../x", "/d/x"), ("../../../x", "/x"), ("?id=3", "/d/e/p?id=3"), ("..", "/d/"), (".", "/d/e/"), ("/a/./b/../c?u=../v", "/a/c?u=../v"), ("q:1", None), ("mailto:x", None), ("#f", None), ("x/y#f", "/d/e/x/y"), ("//X.org/z", "x.org/z"), ("http://X.org/z", "x.org/z"), (".hidden/..x", "/d/e/.hidden/..x")])
+def test_targets_are_resolved_against_the_address(spark, target, want):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(urls.resolved(F.lit(target), F.lit("https://n.io/d/e/p?q=/a/b#f")).alias("b")).first().b
+    assert got == (want if want is None or want[0] != "/" else "n.io" + want)
+
+
+def test_block_reaches_aliases_by_relative_links_and_later_tags(spark):
+    rows = [
+        (1, "https://x.org/es/a", "<meta http-equiv=refresh content='0; url=../index.html'>"), (2, "http://x.org/index.html", None),
+        (3, "http://n.io/", "<link rel=canonical href='/one'><link rel=canonical href='http://x.org/es/b'>"), (4, "http://n.io/one", "<link rel='canonical' href='?id=3'>"), (5, "http://n.io/one?id=3", None),
+        (6, "http://m.io", "<meta http-equiv='refresh' content='0; url=p'><meta http-equiv='refresh' content='5; url=//x.org/es/c'>"), (7, "http://m.io/p", None), (8, "http://m.io/q", "<link rel=canonical href='r'>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {i: "allow" if i == 8 else "block" for i in range(1, 9)}
