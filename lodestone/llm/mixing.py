@@ -9,7 +9,8 @@ No source is ever gathered or sorted in one task. Keys fall into buckets; the bu
 shuffle; the running sum over buckets names the one bucket of each source in which the budget ends, and only that
 bucket's rows (about 1/4096 of the source) are sorted for the exact cut. The outcome is a plan with one row per source.
 
-Defined cases: a null text has size 0; a null source is a source of its own, ordered last; sources without words get
+Defined cases: a null text has size 0; documents without words (size 0) add nothing to any target, so mixed_documents()
+leaves them out, also where complete epochs take all others of their source; a null source is a source of its own, ordered last; sources without words get
 target 0; a null doc_id has the key of the empty string; rows with equal key and size are taken or left together; an
 empty table gives no rows. Extra columns, whatever their names, are kept by apply().
 """
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, mixer: Mixer = Mixer()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mixer: Mixer = Mixer()) -> DataFrame:
-    """The mixed corpus: docs' own columns, each row as often as the mix takes it."""
+    """The mixed corpus: docs' own columns, each row as often as the mix takes it; rows without words are left out."""
     plan = mixer.plan(cut(mixer.keyed(docs)))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"))
     rows = whole.select("_doc", F.col("_doc.source").alias("_source"), size_of(F.col("_doc.text")).alias("_size"))
