@@ -49,12 +49,14 @@ def histogram(docs: DataFrame, path: str | None = None, pattern: str = public_to
 
 
 def limits(hist: DataFrame) -> DataFrame:
-    """For each length as context limit: documents and tokens within it, beyond it, and the tokens left if all are cut at it."""
+    """For each length as context limit: documents and tokens within it, beyond it, the tokens left if all are cut at it, and
+    share_within, the share of all documents within it (the length is the q-quantile for every q up to that and above the share before)."""
     up = W.orderBy("n_tokens").rowsBetween(W.unboundedPreceding, 0)
     beyond = W.orderBy("n_tokens").rowsBetween(1, W.unboundedFollowing)
     tokens = F.col("n_tokens") * F.col("n_docs")
     h = hist.select(F.col("n_tokens").alias("context_limit"), "n_docs", F.sum("n_docs").over(up).alias("docs_within"), F.coalesce(F.sum("n_docs").over(beyond), F.lit(0)).alias("docs_beyond"), F.sum(tokens).over(up).alias("tokens_within"), F.coalesce(F.sum(tokens).over(beyond), F.lit(0)).alias("tokens_beyond"))
-    return h.withColumn("truncated_total", F.col("tokens_within") + F.col("context_limit") * F.col("docs_beyond"))
+    h = h.withColumn("truncated_total", F.col("tokens_within") + F.col("context_limit") * F.col("docs_beyond"))
+    return h.withColumn("share_within", F.col("docs_within") / (F.col("docs_within") + F.col("docs_beyond")))
 
 
 def at(table: DataFrame, context_limits: list[int]) -> DataFrame:

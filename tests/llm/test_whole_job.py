@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_words import EDGES, WORD, docs_of, edge_docs
 
-from lodestone.llm import secrets, simhash, urls
+from lodestone.llm import queries, secrets, simhash, tokens, urls
 
 # ---------------------------------------------------------------- near copies (pipeline)
 
@@ -151,3 +151,16 @@ def test_block_reaches_aliases_by_relative_links_and_later_tags(spark):
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {i: "allow" if i == 8 else "block" for i in range(1, 9)}
+
+
+# ---------------------------------------------------------------- quantiles of token counts (op8)
+
+
+def test_histogram_query_answers_quantiles(spark, tmp_path):
+    df, n = edge_docs(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(queries.op8_token_histogram(spark, str(tmp_path)).collect(), key=lambda r: r.context_limit)
+    assert [r.share_within for r in rows] == [r.docs_within / n for r in rows] and rows[-1].share_within == 1.0
+    shares = [0.1, 0.5, 0.9, 1.0]
+    want = {r.share: r.n_tokens for r in tokens.quantiles(tokens.limits(tokens.histogram(df)), shares).collect()}
+    assert {q: next(r.context_limit for r in rows if r.share_within >= q) for q in shares} == want
