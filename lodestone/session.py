@@ -69,10 +69,36 @@ def session(name: str = "lodestone") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+#: While this is on, Spark removes an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the folder of spark.checkpoint.dir and read from there: what follows reads them several times, or
-    would repeat a model's calls. Only where no folder is set (tests) a temporary one is made."""
+    would repeat a model's calls. The shuffle files of the writing are removed with it: nothing needs them any more.
+
+    Only on a local master (tests) a temporary folder is made where none is set; executors of a cluster would not share it.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan made under this setting
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete what cut() wrote for these very DataFrames, when nothing will read it any more."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
