@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import cut, drop
+
+__all__ = ["WORD", "batches_of", "columns_of", "components", "cut", "drop", "packed", "per_batch", "shuffles", "table", "text_bytes"]
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,24 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there: later plans start here, whatever executors are lost.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that are no longer referred to, which otherwise stay until the driver happens to collect its garbage."""
-    for _ in range(5):  # Spark's listeners hold the last plan until they have heard that it ended
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def packed(docs: DataFrame, name: str) -> DataFrame:
+    """Each row as one struct of that name, so that operators' own columns clash with none of its."""
+    return docs.select(F.struct(*columns_of(docs)).alias(name))
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -73,8 +64,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
     component is the smallest node that is reachable. Alternates the large-star and small-star steps until the edges no
     longer change: rounds grow with the logarithm of the longest path, each round's edges are written to the checkpoint
-    folder, and minima are combined before the shuffle, so a node with very many links is no hot key (the joins are plain
-    shuffle joins whose skewed partitions AQE splits). Null ends are ignored; an edgeless input gives no rows.
+    folder and the round's before are deleted, and minima are combined before the shuffle, so a node with very many links is
+    no hot key (the joins are plain shuffle joins whose skewed partitions AQE splits). Null ends are ignored; an edgeless input gives no rows.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
     e = cut(e.where("_u is not null and _v is not null and _u <> _v").select("a", "b").distinct())
@@ -85,9 +76,11 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
             break
         seen = (now["n"], now["h"])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        # minima are written before the joins: a join of two plain shuffles is one that AQE can split at a hot node
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, e = e, cut(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        drop(old, least, large, lower)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -5,9 +5,11 @@ words in it. Consecutive windows with one minimiser form a super-k-mer: all thei
 to the minimiser's bucket. Equal windows have equal minimisers, so they meet in one bucket, and there sorting counts them
 exactly: windows are sorted by a hash of their bytes, and neighbours with equal hashes are compared byte by byte.
 
-Seeds of phrases that very many documents hold are counted beforehand and come last in the order of seeds, so the windows
-around such a phrase go to the buckets of their own words, and only windows inside it, of which there are few different ones,
-stay with its seeds.
+The order of seeds is by how often they occur, the rarest first (then by hash), so the windows around a common phrase go to the
+buckets of their own words, and only windows inside it, of which there are few different ones, stay with its seeds. For that,
+all seeds of all documents are counted in a sketch: `cells` counters, each of the seeds whose hash falls on it, added up within
+tasks and then over tasks; what goes to every task is the binary logarithm of each, a byte a cell, whatever the corpus. No seed
+is left out for being beyond a list or below a threshold; seeds that share a cell share its rank, which changes buckets, not results.
 
 First pass: each task packs its super-k-mers by bucket and sends a repeated one once, with a mark that it repeats, so a
 passage in a third of all documents costs a bucket one string per task, not one per document. Buckets answer with a bit
@@ -15,7 +17,8 @@ per window for strings that hold a repeated window, keyed by the string's 128-bi
 super-k-mers up by that hash (a join whose skewed keys AQE splits) and get the covered stretches of words. Last, the
 stretches join the documents, and the words are removed. The whole text of every document takes part.
 
-Memory: a task of the first pass holds one Arrow batch at a time; a bucket holds about `bucket_bytes` of packed text.
+Memory: a task of the first pass holds one Arrow batch and its packed strings (48 MB) at a time; a bucket holds about
+`bucket_bytes` of packed text. Shuffled strings are removed as soon as the buckets have answered.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; a window repeated inside one document
 counts; repeated rows (equal doc_id and text) repeat each other's windows and come out as rows of their own; a null doc_id
@@ -32,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import batches_of, cut, release, text_bytes
+from lodestone.llm.common import batches_of, cut, drop, text_bytes
 
 #: Odd, so it has an inverse modulo 2^64: byte hashes of stretches come from one running sum.
 BASE = 0x9E3779B97F4A7C15
@@ -51,7 +54,8 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-NO_SEEDS = np.zeros(0, np.uint64)
+#: Counters travel in chunks of so many, and so many chunks meet in one task.
+CELLS_CHUNK, FAN_IN = 1 << 16, 256
 CHUNK = 1 << 18
 UP, DOWN = powers(BASE, CHUNK), powers(INVERSE, CHUNK)
 
@@ -103,9 +107,8 @@ class Windows:
     window: int = 35
     seed_words: int = 6
     bucket_bytes: int = 6 << 20
-    #: A seed that occurs more often is hot, up to max_hot of the most frequent ones (8 bytes each go to every task).
-    hot_seed: int = 20_000
-    max_hot: int = 100_000
+    #: Counters of the sketch, a power of two: 4 bytes each in a task that counts, one byte each in a task that packs.
+    cells: int = 1 << 22
     #: Texts are worked on in groups of about so many bytes.
     group_bytes: int = 2 << 20
 
@@ -127,7 +130,7 @@ class Windows:
         first = np.arange(max(0, len(starts) - self.seed_words + 1))
         return Rolling(buffer, starts, ends)(first, first + self.seed_words - 1) >> np.uint64(1)
 
-    def super_kmers(self, texts: list[bytes], hot: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def super_kmers(self, texts: list[bytes], ranks: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of texts (words joined by single spaces): buffer, number of each super-k-mer's text, word position in it, windows, byte start, byte end, minimiser."""
         for first, raw, buffer, starts, ends in self.groups(texts):
             line_of = np.cumsum(buffer[ends] == 10) - (buffer[ends] == 10)  # the text each word is of
@@ -135,9 +138,7 @@ class Windows:
             if n < self.window:
                 continue
             hashes = self.seed_hashes(buffer, starts, ends)
-            # hot seeds come last in the order: they are minimisers only of windows without any other seed
-            if len(hot):
-                hashes |= (hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes).astype(np.uint64) << np.uint64(63)
+            hashes = (ranks[self.cell(hashes)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(5))
             least = sliding_min(hashes, self.window - self.seed_words + 1)
             whole = line_of[: n - self.window + 1] == line_of[self.window - 1 :]
             new = np.ones(len(least), bool)
@@ -150,26 +151,45 @@ class Windows:
             word0 = np.searchsorted(line_of, line_of[begin])
             yield raw, line_of[begin] + first, begin - word0, count, starts[begin], ends[begin + count + self.window - 2], least[begin]
 
-    def seeds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mapInArrow: texts -> (seed, n): the seeds that occur at least three times among some million words, and how often."""
-        held, size = [], 0
+    def cell(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(63 - self.cells.bit_length() + 1)).astype(np.int64)
 
-        def flush() -> pa.RecordBatch:
-            seed, n = np.unique(np.concatenate([NO_SEEDS, *held]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(seed[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["seed", "n"])
+    def ranks(self, texts: DataFrame) -> tuple[np.ndarray, int]:
+        """The binary logarithm of the number of seeds on each cell, and the bytes of all texts."""
+        pack, unpack = (lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes())), (lambda raw: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64))
+        chunk = min(CELLS_CHUNK, self.cells)
 
-        for batch in batches_of(batches, "text"):
-            for _, _, *words in self.groups([b" ".join(t.split()) for t in text_bytes(batch.column("text"))]):
-                held.append(self.seed_hashes(*words))
-                size += len(held[-1])
-            if size > 4_000_000:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, size = np.zeros(self.cells, np.int32), 0
+            for batch in batches_of(batches, "text"):
+                for _, raw, *words in self.groups([b" ".join(t.split()) for t in text_bytes(batch.column("text"))]):
+                    np.add.at(counts, self.cell(self.seed_hashes(*words)), 1)
+                    size += len(raw)
+            if size:
+                some = [c for c in range(self.cells // chunk) if counts[c * chunk : (c + 1) * chunk].any()]
+                blobs = [pack(np.array([size], np.int64)), *(pack(counts[c * chunk : (c + 1) * chunk].astype(np.int64)) for c in some)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(unpack(blob.as_py()) for blob in table.column("counts"))
+            return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": table.column("part").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
+
+        sent = texts.mapInArrow(count, "chunk int, counts binary").withColumn("part", F.spark_partition_id())
+        n = texts.rdd.getNumPartitions()
+        while True:
+            n = -(-n // FAN_IN)
+            sent = sent.select("chunk", F.floor(F.col("part") / FAN_IN).cast("int").alias("part"), "counts").groupBy("chunk", "part").applyInArrow(add, "chunk int, part int, counts binary")
+            if n <= 1:
+                break
+        ranks, size = np.zeros(self.cells, np.uint8), 0
+        for r in sent.select("chunk", "counts").toLocalIterator():  # a row per chunk of cells, whatever the input
+            if r["chunk"] < 0:
+                size = int(unpack(r["counts"])[0])
+            else:
+                ranks[r["chunk"] * chunk :][:chunk] = np.log2(unpack(r["counts"]) + 1.0)
+        return ranks, size
 
-    def send(self, buckets: int, hot: np.ndarray):
+    def send(self, buckets: int, ranks: np.ndarray):
         """mapInArrow: texts -> (bucket, packed); packed is compressed and holds marks and strings."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +208,7 @@ class Windows:
 
             for batch in batches_of(batches, "text"):
                 texts = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))]
-                for raw, _, _, _, start, end, least in self.super_kmers(texts, hot):
+                for raw, _, _, _, start, end, least in self.super_kmers(texts, ranks):
                     for a, b, k in zip(start.tolist(), end.tolist(), (least % np.uint64(buckets)).tolist(), strict=True):
                         s = raw[a:b]
                         own = held.get(k)
@@ -252,16 +272,17 @@ class Windows:
         digests = [xxhash.xxh3_128_digest(strings[i]) for i in hit.tolist()]
         return pa.table({"h": pa.array(digests, pa.binary()), "bits": pa.array([flags[first[i] : first[i] + n_windows[i]] for i in hit.tolist()], pa.binary())})
 
-    def refer(self, batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """mapInArrow: (row, text) -> (h, row, at) of every super-k-mer."""
+    def refer(self, batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """mapInArrow: (row, row2, text) -> (h, row, row2, at) of every super-k-mer."""
         for batch in batches_of(batches, "text"):
-            texts, rows = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))], batch.column("row")
-            for raw, text, at, _, start, end, _ in self.super_kmers(texts, hot):
+            texts = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))]
+            for raw, text, at, _, start, end, _ in self.super_kmers(texts, ranks):
                 digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), rows.take(pa.array(text)), pa.array(at.astype(np.int32))], names=["h", "row", "at"])
+                text = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("row").take(text), batch.column("row2").take(text), pa.array(at.astype(np.int32))], names=["h", "row", "row2", "at"])
 
     def stretches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mapInArrow: (row, at, bits) -> (row, lo, hi), the words that repeated windows cover."""
+        """mapInArrow: (row, row2, at, bits) -> (row, row2, lo, hi), the words that repeated windows cover."""
         for batch in batches:
             rows, lo, hi = [], [], []
             for i, (at, bits) in enumerate(zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist(), strict=True)):
@@ -270,36 +291,32 @@ class Windows:
                     rows.append(i)
                     lo.append(at + a)
                     hi.append(at + b + self.window - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int32())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["row", "lo", "hi"])
+            of = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("row2").take(of), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["row", "row2", "lo", "hi"])
 
 
-def row_key():
-    """Names a row by its doc_id and text; rows that agree in both get the same stretches anyway."""
-    return F.xxhash64("doc_id", "text")
+def row_key() -> list[Column]:
+    """Two hashes, 128 bits, that name a row by its doc_id and text; rows that agree in both get the same stretches anyway."""
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("row2")]
 
 
 def covered(docs: DataFrame, method: Windows = Windows()) -> DataFrame:
-    """(row, stretches): for each row_key() with repeated windows the array of (lo, hi) word positions they cover."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """(row, row2, stretches): for each row_key() with repeated windows the array of (lo, hi) word positions they cover."""
+    ranks, total = method.ranks(docs.select("text"))
     buckets = max(1, -(-3 * total // method.bucket_bytes))
-    # seeds of common phrases, which would gather the strings of all documents that hold them; at most max_hot of them
-    counts = docs.select("text").mapInArrow(lambda batches: method.seeds(batches), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") > method.hot_seed).orderBy(F.col("n").desc(), "seed").limit(method.max_hot)
-    hot = np.sort(np.array([r["seed"] for r in often.collect()], np.uint64))
-    sent = docs.select("text").mapInArrow(method.send(buckets, hot), "bucket int, packed binary")
+    sent = docs.select("text").mapInArrow(method.send(buckets, ranks), "bucket int, packed binary")
     known = cut(sent.groupBy("bucket").applyInArrow(lambda rows: method.count(rows), "h binary, bits binary"))
-    del sent
-    release(docs.sparkSession)  # the packed strings are the largest shuffle by far
-    own = docs.select(row_key().alias("row"), "text").mapInArrow(lambda batches: method.refer(batches, hot), "h binary, row long, at int")
-    found = own.join(known, "h").select("row", "at", "bits").mapInArrow(lambda batches: method.stretches(batches), "row long, lo int, hi int")
+    own = docs.select(*row_key(), "text").mapInArrow(lambda batches: method.refer(batches, ranks), "h binary, row long, row2 long, at int")
+    found = own.join(known, "h").select("row", "row2", "at", "bits").mapInArrow(lambda batches: method.stretches(batches), "row long, row2 long, lo int, hi int")
     # equal rows bring equal stretches more than once; a set keeps one
-    return cut(found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("stretches")))
+    out = cut(found.groupBy("row", "row2").agg(F.collect_set(F.struct("lo", "hi")).alias("stretches")))
+    drop(known)
+    return out
 
 
 def removed(docs: DataFrame, method: Windows = Windows()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document; kept is what is left, words joined by one space."""
-    found = covered(docs, method).withColumnRenamed("row", "_row")
-    rows = docs.select("doc_id", "text", row_key().alias("_row")).join(found, "_row", "left").select("doc_id", "text", "stretches")
+    rows = docs.select("doc_id", "text", *row_key()).join(covered(docs, method), ["row", "row2"], "left").select("doc_id", "text", "stretches")
     kind = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

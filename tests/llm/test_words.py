@@ -143,7 +143,7 @@ def brute_removed(texts, k):
     return out
 
 
-@pytest.mark.parametrize("method", [substrings.Windows(window=7, seed_words=3), substrings.Windows(window=7, seed_words=7, bucket_bytes=2000, group_bytes=500), substrings.Windows(window=35), substrings.Windows(window=7, seed_words=2, hot_seed=5), substrings.Windows(window=7, seed_words=3, hot_seed=2, max_hot=4)])
+@pytest.mark.parametrize("method", [substrings.Windows(window=7, seed_words=3), substrings.Windows(window=7, seed_words=7, bucket_bytes=2000, group_bytes=500), substrings.Windows(window=35), substrings.Windows(window=7, seed_words=2, cells=1 << 17), substrings.Windows(window=7, seed_words=3, cells=4)])
 def test_removed_words_equal_brute_force(spark, method):
     draw = random.Random(method.window)
     passage = [draw.choice("abcdefghij") + str(draw.randint(0, 9)) for _ in range(60)]
