@@ -7,7 +7,7 @@ further edges (logged redirects) can be given. Within a connected component an e
 aliases. An explicit allow has precedence: the page it fits is allowed whatever its component says.
 
 Defined cases: a null url or one without "://" has empty host and path, no rule and no address, so it is allowed; a null
-html gives no edges; all canonical and refresh tags of a page count; relative link targets are resolved against the page's
+html gives no edges; all canonical and refresh tags of a page count but those in comments, scripts and styles; relative link targets are resolved against the page's
 address as in RFC 3986 (host, directory of the path, "." and "..", queries), other schemes than http(s) are no addresses; repeated pages are judged alike; an empty table gives no rows.
 """
 
@@ -59,7 +59,9 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def link_targets(html: Column) -> Column:
-    """The hrefs of all canonical links and the URLs of all meta refreshes, an array; null for a null html."""
+    """The hrefs of all canonical links and the URLs of all meta refreshes, an array; null for a null html. What stands in a
+    comment, script or style (to the end of the page, if it isn't closed) is no tag."""
+    html = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
     canonical = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
     refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), 1)
     return F.concat(canonical, refresh)
@@ -95,10 +97,11 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     if redirects is not None:
         edges = edges.union(redirects.select(address_of(F.col("from_url")), address_of(F.col("to_url"))))
     edges = cut(edges.where("a is not null and b is not null and a <> b").distinct())
-    # nodes get their 64-bit hash as number; the names stay beside it, so that two names of one number are told apart
-    parts = components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), "u", "v")
-    names = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
-    place = names.select("name", F.regexp_extract("name", r"(?s)^([^/?#]*)", 1).alias("host"), F.regexp_extract("name", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"), F.xxhash64("name").alias("node"))
+    # every address gets a number of its own; they are written, so that the numbers stay
+    names = cut(edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct().withColumn("node", F.monotonically_increasing_id()))
+    of = lambda end, number: names.select(F.col("name").alias(end), F.col("node").alias(number))
+    parts = components(edges.join(of("a", "u"), "a").join(of("b", "v"), "b"), "u", "v")
+    place = names.select("name", F.regexp_extract("name", r"(?s)^([^/?#]*)", 1).alias("host"), F.regexp_extract("name", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"), "node")
     member = with_rule(place, "host", "path", rules).join(parts, "node").select("name", "component", F.col("_rule.action").alias("action"))
     bad = member.where("action = 'block'").select("component").distinct()
     blocked = member.join(bad, "component", "left_semi").select("name")
@@ -113,12 +116,18 @@ WITH RECURSIVE p AS (
 q AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM p),
 rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-tags AS (SELECT host, host || path || query AS a,
-           unnest([regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1)]) AS tag
-         FROM q WHERE host <> ''),
-targets AS (SELECT host, a, replace(CASE WHEN lower(tag) LIKE '<link%' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS t FROM tags WHERE tag <> ''),
-links AS (SELECT a, CASE WHEN regexp_matches(t, '(?i)^https?://') THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '/') THEN host || t END AS rest FROM targets),
-edges AS (SELECT a, lower(regexp_extract(rest, '^([^/?#]*)', 1)) || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS b FROM links WHERE regexp_extract(rest, '^([^/?#]*)', 1) <> ''),
+tags AS (SELECT host, path, host || path || query AS a, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '', 'g') AS html FROM q WHERE host <> ''),
+tag AS (SELECT host, path, a, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)' AS target FROM tags
+  UNION ALL SELECT host, path, a, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''\s>]+)' FROM tags),
+targets AS (SELECT host, path, a, trim(replace(regexp_extract(tag, target, 1), '&amp;', '&')) AS t FROM tag),
+parted AS (SELECT *, regexp_extract(t, '(?s)^([^?#]*)', 1) AS t_path, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS t_rest FROM targets WHERE t <> ''),
+placed AS (SELECT *, CASE WHEN regexp_matches(t, '^(?i)https?://') OR starts_with(t, '//') OR starts_with(t, '?') OR t_path = '' THEN NULL WHEN starts_with(t, '/') THEN t_path
+                          WHEN NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '/' || regexp_extract(path, '(?s)^/(.*/)', 1) || t_path END AS full_path FROM parted),
+tidy AS (SELECT *, CASE WHEN regexp_matches(full_path, '/\.\.?(/|$)') THEN
+                     list_reduce(string_split(substr(full_path, 2), '/'), lambda acc, s: CASE s WHEN '.' THEN acc WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || s END, '') || CASE WHEN regexp_matches(full_path, '/\.\.?$') THEN '/' ELSE '' END
+                   ELSE full_path END AS tidy_path FROM placed),
+links AS (SELECT a, CASE WHEN regexp_matches(t, '^(?i)https?://') THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '?') THEN host || path || t WHEN tidy_path IS NOT NULL THEN host || tidy_path || t_rest END AS rest FROM tidy),
+edges AS (SELECT a, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS b FROM links WHERE regexp_extract(rest, '^([^/?#]*)', 1) <> ''),
 both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 nodes AS (SELECT DISTINCT a AS name, regexp_extract(a, '^([^/?#]*)', 1) AS host, regexp_extract(a, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM both_ways),
 places AS (SELECT host, path FROM q UNION SELECT host, path FROM nodes),
