@@ -3,12 +3,21 @@
 Encoding: a text is cut before every space that precedes a non-space, where the pretokenising pattern always starts a new
 match; pieces not seen before are matched with the pattern, and matches not seen before go to DuckDB as rows (word,
 position, token), one per byte. A recursive query joins neighbouring tokens to the merge table and contracts in each word
-the leftmost pair of minimum rank, until no word has a pair left. Words beyond LONG bytes contract, in one step, the
-occurrences of the minimum pair from left to right, as far as merging one by one would do nothing else in between.
-Decoding: (text, position, id) rows join the vocabulary, and an ordered aggregation puts the pieces together.
-
-Each Python worker holds one DuckDB connection of bounded memory and a bounded cache of pieces; both can be lost at any
-time. Nothing is written to disk.
+the leftmost pair of minimum rank, until no word has a pair left.
+Decoding: (part, position, id) rows join the vocabulary, and an ordered aggregation puts the pieces together.
+
+Words beyond LONG bytes (a match may be a whole text, where a script has no spaces) go to the same query as windows of WINDOW
+bytes, each beginning STRIDE bytes after the one before. Neighbouring windows are joined at a token that both have at the same
+place. That is exact: a row of tokens is the encoding of its bytes if every two neighbours are the encoding of theirs, and at a
+common token all neighbours come from one window or the other. (A merge across a border between two tokens of the row would,
+up to the first such, see nothing but the two tokens' own merges, so it would happen when the two are encoded alone.) Where two
+windows have no token in common, which takes a long period out of step with STRIDE, a wider window begins at a token's start
+instead; it contracts, in one step, the occurrences of the minimum pair from left to right, as far as merging one by one would
+do nothing else in between.
+
+Memory: texts are worked on by slices of about SLICE characters, a query gets a bounded number of rows and of rows times steps,
+and a long text is decoded part by part, so a text may be as long as its row. Each Python worker holds one DuckDB connection of
+bounded memory and a bounded cache of pieces; both can be lost at any time. Nothing is written to disk.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; ids are decoded to bytes (base64 of nothing,
 no replacement characters), so parts of characters survive; an id outside the vocabulary raises; a null list of ids
@@ -33,12 +42,17 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import batches_of
 
-#: Words of more bytes contract all occurrences at once where that is safe.
-LONG = 96
-#: A worker forgets its pieces beyond this number.
-PIECES = 300_000
-#: Rows for one query: bytes of words, ids to decode.
-STEP_ROWS = 150_000
+#: Words of more bytes are contracted in windows of so many, each beginning so many after the one before.
+LONG = WINDOW = 96
+STRIDE = 64
+#: The first size of a window that begins at a token, where two others have none in common.
+RESTART = 4096
+#: A worker forgets its pieces beyond this number, or beyond so many characters.
+PIECES, PIECES_CHARS = 300_000, 50 << 20
+#: Rows for one query: bytes of words, ids to decode. A query of words also gets so many rows times bytes of its longest word at most.
+STEP_ROWS, STEP_WORK = 150_000, 4_000_000
+#: Characters of a text that are worked on at a time.
+SLICE = 1 << 20
 
 # pos counts bytes over all words; next is the place of the token that follows, -1 after a word's last one
 CONTRACT = """
@@ -105,6 +119,8 @@ class Codec:
             self.db.register("given", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.width = np.zeros(by_id[-1][0] + 1, np.int64)
+        self.width[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.forget()
 
@@ -113,6 +129,7 @@ class Codec:
         self.first: dict[str, int] = {}  # pieces at the start of a text
         # the ids of piece k are flat[begin[k] : begin[k + 1]]
         self.flat, self.begin, self.uses = NOTHING, np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
 
     def forget_rare(self) -> None:
         """Keep the pieces used more than once since they were learnt or last counted, at most half of the bound."""
@@ -125,6 +142,9 @@ class Codec:
         self.first = {p: new[k] for p, k in self.first.items() if new[k] >= 0}
         self.flat, sizes = taken(self.flat, self.begin, np.diff(self.begin), keep)
         self.begin, self.uses = np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(keep), np.int64)
+        self.chars = sum(map(len, self.later)) + sum(map(len, self.first))
+        if self.chars > PIECES_CHARS:
+            self.forget()
 
     def query(self, sql: str, table: pa.Table) -> pa.Table:
         self.db.register("given", table)
@@ -142,18 +162,71 @@ class Codec:
         at, flat, counts = 0, [NOTHING], [np.zeros(0, np.int64)]
         while at < len(order):
             to = max(at + 1, int(np.searchsorted(before, before[at] + STEP_ROWS, side="right")) - 1)
+            to = max(at + 1, min(to, int(np.searchsorted(before, before[at] + STEP_WORK // lengths[order[to - 1]], side="right")) - 1))
             found = self.query(CONTRACT, self.rows(np.frombuffer(b"".join([words[i] for i in order[at:to].tolist()]), np.uint8), lengths[order[at:to]]))
             flat.append(found.column("tok").to_numpy())
             counts.append(np.bincount(found.column("w").to_numpy(), minlength=to - at))
             at = to
-        for i in long.tolist():
-            found = self.query(CONTRACT_LONG, self.rows(np.frombuffer(words[i], np.uint8), lengths[[i]]))
-            while (found.column("step")[0].as_py()) == 40:  # as many steps as one query takes
-                found = self.query(CONTRACT_LONG, self.rows(found.column("tok").to_numpy(), np.array([len(found)]), True))
-            flat.append(found.column("tok").to_numpy())
-            counts.append(np.array([len(found)]))
+        if len(long):
+            for ids in self.contract_long([words[i] for i in long.tolist()]):
+                flat.append(ids)
+                counts.append(np.array([len(ids)]))
         return np.concatenate((order, long)), np.concatenate(counts), np.concatenate(flat)
 
+    def whole(self, word: bytes) -> np.ndarray:
+        """The ids of one word of any length, all occurrences of a pair in a step."""
+        found = self.query(CONTRACT_LONG, self.rows(np.frombuffer(word, np.uint8), np.array([len(word)])))
+        while found.column("step")[0].as_py() == 40:  # as many steps as one query takes
+            found = self.query(CONTRACT_LONG, self.rows(found.column("tok").to_numpy(), np.array([len(found)]), True))
+        return found.column("tok").to_numpy()
+
+    def contract_long(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each word, put together from windows."""
+        pieces: dict[bytes, int] = {}
+        places = []
+        for word in words:
+            own = []
+            for start in range(0, max(1, len(word) - WINDOW + STRIDE + 3), STRIDE):
+                a = character(word, start)
+                own.append((a, pieces.setdefault(word[a : character(word, a + WINDOW)], len(pieces))))
+            places.append(own)
+        which, counts, flat = self.contract(list(pieces))
+        begin = np.empty(len(pieces) + 1, np.int64)
+        count = np.empty(len(pieces), np.int64)
+        begin[which], count[which] = np.cumsum(counts) - counts, counts
+        for word, own in zip(words, places, strict=True):
+            yield self.joined(word, [(a, flat[begin[p] : begin[p] + count[p]]) for a, p in own])
+
+    def joined(self, word: bytes, windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """The ids of a word from those of its windows (start, ids)."""
+        out, (at, tokens) = [], windows[0]
+        ends = at + np.cumsum(self.width[tokens])
+        k, size = 1, RESTART
+        while ends[-1] < len(word):
+            # ends, tokens: what is taken from one window so far. Go on with the first window that reaches beyond it
+            while k < len(windows) and windows[k][0] + self.width[windows[k][1]].sum() <= ends[-1]:
+                k += 1
+            start, others = windows[k]
+            other_ends = start + np.cumsum(self.width[others])
+            same = common(ends, self.width[tokens], other_ends, self.width[others])
+            if same is None:  # a wider window from a token's start on, not too near the end
+                first = int(np.searchsorted(ends, ends[-1] - WINDOW // 3)) if size == RESTART else 0
+                start = int(ends[first] - self.width[tokens[first]])
+                others = self.whole(word[start : character(word, start + size)])
+                other_ends = start + np.cumsum(self.width[others])
+                if other_ends[-1] == len(word) and first == 0 and others[0] != tokens[0]:
+                    return self.whole(word)
+                size *= 2
+                if others[0] != tokens[first] or other_ends[-1] <= ends[-1]:
+                    continue
+                same = (first, 0)
+            else:
+                k += 1
+            size = RESTART
+            out.append(tokens[: same[0]])  # the common token itself stays, to begin what is taken from the other window
+            tokens, ends = others[same[1] :], other_ends[same[1] :]
+        return np.concatenate((*out, tokens))
+
     def rows(self, tokens: np.ndarray, n: np.ndarray, ids: bool = False) -> pa.Table:
         """(w, pos, tok) of words whose n bytes (or ids) stand one after the other."""
         return pa.table({"w": pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)), "pos": pa.array(np.arange(len(tokens))), "tok": pa.array(tokens if ids else self.byte_id[tokens])})
@@ -178,10 +251,32 @@ class Codec:
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
         self.flat, self.begin = np.concatenate((self.flat, flat)), np.concatenate((self.begin, self.begin[-1] + ends))
         self.uses = np.concatenate((self.uses, np.zeros(len(pieces), np.int64)))
+        self.chars += sum(map(len, pieces))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the number of ids of each text."""
-        if len(self.uses) > PIECES:
+        ids, counts, group, size = [NOTHING], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            found, n = self.encode_slices([t for _, t in group])
+            ids.append(found)
+            np.add.at(counts, [i for i, _ in group], n)
+            group.clear()
+
+        for i, text in enumerate(texts):
+            for part in slices(text or ""):
+                group.append((i, part))
+                size += len(part)
+                if size >= 4 * SLICE:
+                    flush()
+                    size = 0
+        if group:
+            flush()
+        return np.concatenate(ids), counts
+
+    def encode_slices(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that together are of bounded length, and the number of ids of each."""
+        if len(self.uses) > PIECES or self.chars > PIECES_CHARS:
             self.forget_rare()
         later, first = self.later, self.first
         new: dict[str, int] = {}
@@ -219,20 +314,50 @@ class Codec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each list of ids; ids holds all lists one after the other."""
-        out = [b""] * len(counts)
-        begin, at = np.concatenate(([0], np.cumsum(counts))), 0
-        while at < len(counts):
-            to = max(at + 1, int(np.searchsorted(begin, begin[at] + STEP_ROWS, side="right")) - 1)
-            part = ids[begin[at] : begin[to]]
-            if len(part):
-                given = pa.table({"d": pa.array(np.repeat(np.arange(at, to), counts[at:to])), "pos": pa.array(np.arange(len(part))), "id": pa.array(part)})
-                found = self.query(DECODE, given)
-                for d, text in zip(found.column("d").to_pylist(), found.column("text").to_pylist(), strict=True):
-                    out[d] = text.encode("latin-1")
-                if sum(map(len, out[at:to])) == 0 or not self.known.issuperset(np.unique(part).tolist()):
-                    raise ValueError("an id is not in the vocabulary")
+        out: list[list[bytes]] = [[] for _ in counts]
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        # long lists are decoded in parts; a query gets parts of STEP_ROWS ids together
+        parts = -(-counts // STEP_ROWS)
+        text = np.repeat(np.arange(len(counts)), parts)
+        start = begin[text] + STEP_ROWS * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+        ends, at = np.append(start[1:], len(ids)), 0
+        while at < len(text):
+            to = max(at + 1, int(np.searchsorted(ends, start[at] + STEP_ROWS, side="right")))
+            part = ids[start[at] : ends[to - 1]]
+            given = pa.table({"d": pa.array(np.repeat(np.arange(at, to), ends[at:to] - start[at:to])), "pos": pa.array(np.arange(len(part))), "id": pa.array(part)})
+            found = self.query(DECODE, given)
+            if len(found) < to - at or not self.known.issuperset(np.unique(part).tolist()):
+                raise ValueError("an id is not in the vocabulary")
+            for d, piece in zip(found.column("d").to_pylist(), found.column("text").to_pylist(), strict=True):
+                out[text[d]].append(piece.encode("latin-1"))
             at = to
-        return out
+        return [b"".join(x) for x in out]
+
+
+def slices(text: str) -> list[str]:
+    """The text cut into about SLICE characters each, before spaces that precede a non-space."""
+    out, at = [], 0
+    while len(text) - at > SLICE and (m := BEFORE_WORD.search(text, at + SLICE)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    out.append(text[at:] if at else text)
+    return out
+
+
+def character(word: bytes, at: int) -> int:
+    """The last start of a character up to that byte, or the word's end."""
+    if at >= len(word):
+        return len(word)
+    while word[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def common(ends: np.ndarray, widths: np.ndarray, other_ends: np.ndarray, other_widths: np.ndarray) -> tuple[int, int] | None:
+    """Positions of the last token that both have at the same place, if there is one."""
+    _, i, j = np.intersect1d(ends, other_ends, assume_unique=True, return_indices=True)
+    same = np.flatnonzero(widths[i] == other_widths[j])
+    return (int(i[same[-1]]), int(j[same[-1]])) if len(same) else None
 
 
 #: A piece begins at each space that a non-space follows.
