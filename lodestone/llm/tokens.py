@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.llm.bpe import default_path
-from lodestone.llm.common import per_batch
+from lodestone.llm.common import cut, per_batch
+
+#: So many lengths share a block of the running sums.
+BLOCK = 4096
 
 
 @functools.cache
@@ -50,13 +53,25 @@ def histogram(docs: DataFrame, path: str | None = None, pattern: str = public_to
 
 def limits(hist: DataFrame) -> DataFrame:
     """For each length as context limit: documents and tokens within it, beyond it, the tokens left if all are cut at it, and
-    share_within, the share of all documents within it (the length is the q-quantile for every q up to that and above the share before)."""
-    up = W.orderBy("n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    beyond = W.orderBy("n_tokens").rowsBetween(1, W.unboundedFollowing)
-    tokens = F.col("n_tokens") * F.col("n_docs")
-    h = hist.select(F.col("n_tokens").alias("context_limit"), "n_docs", F.sum("n_docs").over(up).alias("docs_within"), F.coalesce(F.sum("n_docs").over(beyond), F.lit(0)).alias("docs_beyond"), F.sum(tokens).over(up).alias("tokens_within"), F.coalesce(F.sum(tokens).over(beyond), F.lit(0)).alias("tokens_beyond"))
-    h = h.withColumn("truncated_total", F.col("tokens_within") + F.col("context_limit") * F.col("docs_beyond"))
-    return h.withColumn("share_within", F.col("docs_within") / (F.col("docs_within") + F.col("docs_beyond")))
+    share_within, the share of all documents within it (the length is the q-quantile for every q up to that and above the share
+    before). percentile_from and percentile_to: it is the p-th percentile for the whole p from the one to the other; null if for none.
+
+    What is beyond a length is the total less the running sum. Running sums are taken over blocks of lengths first (a row per
+    block) and then within each block, so no task holds the whole histogram, however many lengths there are.
+    """
+    h = cut(hist).select(F.col("n_tokens").alias("context_limit"), "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("_block"))
+    blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
+    total = blocks.agg(F.sum("_d").alias("_docs"), F.sum("_t").alias("_all"))
+    earlier, up = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("_block").orderBy("context_limit").rowsBetween(W.unboundedPreceding, 0)
+    sums = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    before = blocks.select("_block", sums("_d").alias("_d_before"), sums("_t").alias("_t_before")).crossJoin(F.broadcast(total))  # one row
+    h = h.join(before, "_block").withColumns({"docs_within": F.col("_d_before") + F.sum("n_docs").over(up), "tokens_within": F.col("_t_before") + F.sum("_tokens").over(up)})
+    h = h.withColumns({"docs_beyond": F.col("_docs") - F.col("docs_within"), "tokens_beyond": F.col("_all") - F.col("tokens_within"), "_from": F.expr("(docs_within - n_docs) * 100 div _docs + 1"), "_to": F.expr("docs_within * 100 div _docs")})
+    some = F.col("_from") <= F.col("_to")
+    return h.select(
+        "context_limit", "n_docs", "docs_within", "docs_beyond", "tokens_within", "tokens_beyond", (F.col("tokens_within") + F.col("context_limit") * F.col("docs_beyond")).alias("truncated_total"),
+        (F.col("docs_within") / F.col("_docs")).alias("share_within"), F.when(some, F.col("_from")).cast("int").alias("percentile_from"), F.when(some, F.col("_to")).cast("int").alias("percentile_to"),
+    )
 
 
 def at(table: DataFrame, context_limits: list[int]) -> DataFrame:
