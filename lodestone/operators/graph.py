@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import compact_form, entities, word_form
@@ -13,8 +13,12 @@ from lodestone.session import cut
 
 #: Compact names of fewer characters are not searched for as parts.
 LEAST_PART = 5
-#: Up to so many unmatched query names are broadcast against the nodes' names.
-BROADCAST_NAMES = 50_000
+
+
+def pieces(c: str, n: int) -> Column:
+    """All different substrings of n characters, an array."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
 
 
 @dataclass(frozen=True)
@@ -50,12 +54,20 @@ class EntityGraph:
         asked = names.select("qid", "entity_no", word_form(n).alias("word_form"), compact_form(n).alias("compact"))
         equal = asked.join(self.nodes.select("entity", "word_form"), "word_form").select("qid", "entity_no", "entity")
         rest = asked.where(F.length("compact") >= LEAST_PART).join(equal.select("qid", "entity_no").distinct(), ["qid", "entity_no"], "left_anti")
-        parts = rest.select(F.col("compact").alias("part")).distinct()
-        if parts.count() <= BROADCAST_NAMES:
-            parts = F.broadcast(parts)
-        within = self.nodes.join(parts, F.col("compact").contains(F.col("part")) | F.col("part").contains(F.col("compact"))).select("entity", F.col("part").alias("compact"))
+        within = self.sharing_parts(rest.select("compact").distinct())
         return equal.unionByName(rest.join(within, "compact").select("qid", "entity_no", "entity"))
 
+    def sharing_parts(self, names: DataFrame) -> DataFrame:
+        """names (compact, of LEAST_PART characters or more, each once) -> (compact, entity): nodes whose compact form contains the name's or
+        is contained in it. Of two names of which one contains the other, the larger holds the smaller's first LEAST_PART
+        characters, or, if that is shorter, all of it: equal pieces are joined, and what they bring together is verified."""
+        asked, nodes = names.select(F.col("compact").alias("part")), self.nodes.select("entity", F.col("compact").alias("own"))
+        larger = nodes.where(F.length("own") >= LEAST_PART).select("entity", "own", F.explode(pieces("own", LEAST_PART)).alias("piece")).join(asked.withColumn("piece", F.substring("part", 1, LEAST_PART)), "piece")
+        smaller = asked.withColumn("piece", F.explode(F.flatten(F.array(*[pieces("part", n) for n in range(1, LEAST_PART + 1)])))).join(nodes.withColumn("piece", F.substring("own", 1, LEAST_PART)), "piece")
+        # a piece of fewer characters than LEAST_PART is a whole name; a longer name begins with its piece
+        found = larger.where(F.col("own").contains(F.col("part"))).select("part", "entity").unionByName(smaller.where(F.col("part").contains(F.col("own"))).select("part", "entity"))
+        return found.distinct().withColumnRenamed("part", "compact")
+
     def search(self, names: DataFrame, k: int = 20) -> DataFrame:
         """names (qid, entity_no, name) -> (qid, rank, chunk_id, score): 1 per matched node's chunk, 0.5 per chunk of a neighbour,
         added up over names, nodes and neighbours. Edge weights don't count."""
