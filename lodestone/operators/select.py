@@ -1,15 +1,14 @@
 """Evidence selection: named targets first, then relevance, under page, paper and total limits.
 
-The greedy choice is made of phases: one per target in plan order (at most two rows each), then one over all rows. In a phase,
-rows that match, whose page is not taken, count once per page, up to the paper's remaining share, up to the phase's limit, by
-rank. All windows of all phases are over the question or finer, so the rows are shuffled once.
+A question's items are gathered once into an array by rank (a question has some dozen: the fused candidates and the evidence it
+holds). The greedy choice folds over it in phases: one per target in plan order (at most two items each), then one for all. In
+a phase, an item is taken if it matches, its page and its paper's share aren't used up, and the phase's limit isn't reached.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodestone.functions.text import target_matches
 
@@ -23,23 +22,31 @@ def select_evidence(items: DataFrame, targets: Column | None = None) -> DataFram
     selected. Order is score descending, then slot.
     """
     none = F.array().cast("array<string>")
-    given = items.withColumn("_targets", none if targets is None else F.coalesce(targets, none)).repartition("qid")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "slot"))
+    names = [c for c in items.columns if c != "qid"]
+    given = items.withColumn("_targets", none if targets is None else F.coalesce(targets, none))
     named = [F.coalesce(target_matches(F.get("_targets", F.lit(t)), F.col("text")), F.lit(False)) for t in range(MAX_TARGETS)]
     any_named = F.coalesce(F.exists("_targets", lambda t: target_matches(t, F.col("text"))), F.lit(False))
-    rows = given.withColumns({"_rank": rank, **{f"_named{t}": c for t, c in enumerate(named)}, "_any": any_named})
-    rows = rows.withColumn("_open", (F.size("_targets") == 0) | F.max("_any").over(W.partitionBy("qid"))).where("_open")
-    rows = rows.withColumn("_phase", F.lit(None).cast("int"))
+    order = F.struct((-F.col("score")).alias("score"), "slot")
+    place = F.concat("paper", F.lit("\0"), F.col("page").cast("string"))
+    row = F.struct(order.alias("order"), place.alias("place"), "paper", *[c.alias(f"named{t}") for t, c in enumerate(named)], F.struct(*[F.col(f"`{c}`") for c in names]).alias("item"))
+    questions = given.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max((F.size("_targets") == 0) | any_named).alias("open")).where("open")
+
+    def taking(phase: int, limit: Column):
+        """A step of the fold: the state is the rows taken so far (their numbers, pages and papers) and how many this phase took."""
+
+        def step(state: Column, row: Column) -> Column:
+            fits = row[f"named{phase}"] if phase < MAX_TARGETS else F.lit(True)
+            free = ~F.array_contains(state["places"], row["place"]) & (F.size(F.filter(state["papers"], lambda p: p == row["paper"])) < PER_PAPER)
+            more = F.struct((state["n"] + 1).alias("n"), F.concat(state["places"], F.array(row["place"])).alias("places"), F.concat(state["papers"], F.array(row["paper"])).alias("papers"), F.concat(state["items"], F.array(row["item"])).alias("items"))
+            return F.when(fits & free & (state["n"] < limit), more).otherwise(state)
+
+        return step
+
+    item = F.struct(*[F.col(f"`{c}`") for c in names])
+    state = F.struct(F.lit(0).alias("n"), none.alias("places"), none.alias("papers"), F.array().cast(f"array<{items.select(item.alias('i')).schema['i'].dataType.simpleString()}>").alias("items"))
+    chosen = questions.withColumn("state", state)
     for phase in range(MAX_TARGETS + 1):
-        fits = F.col(f"_named{phase}") if phase < MAX_TARGETS else F.lit(True)
-        taken = F.col("_phase").isNotNull()
-        page, paper, qid = W.partitionBy("qid", "paper", "page"), W.partitionBy("qid", "paper"), W.partitionBy("qid")
-        limit = F.lit(PER_TARGET) if phase < MAX_TARGETS else F.lit(MAX_EVIDENCE) - F.col("_all")
-        rows = rows.withColumns({"_page": F.max(taken).over(page), "_paper": F.count_if(taken).over(paper), "_all": F.count_if(taken).over(qid)})
-        rows = rows.withColumn("_fit", fits & ~F.col("_page"))
-        rows = rows.withColumn("_fit", F.col("_fit") & (F.row_number().over(W.partitionBy("qid", "paper", "page", "_fit").orderBy("_rank")) == 1))
-        rows = rows.withColumn("_fit", F.col("_fit") & (F.row_number().over(W.partitionBy("qid", "paper", "_fit").orderBy("_rank")) <= F.lit(PER_PAPER) - F.col("_paper")))
-        rows = rows.withColumn("_fit", F.col("_fit") & (F.row_number().over(W.partitionBy("qid", "_fit").orderBy("_rank")) <= limit))
-        rows = rows.withColumn("_phase", F.when(F.col("_fit"), F.lit(phase)).otherwise(F.col("_phase")))
-    number = F.row_number().over(W.partitionBy("qid").orderBy("_phase", "_rank"))
-    return rows.where("_phase is not null").select(*items.columns, number.alias("evidence_no"))
+        last = phase == MAX_TARGETS
+        begun = F.col("state").withField("n", F.size("state.items") if last else F.lit(0))
+        chosen = chosen.withColumn("state", F.aggregate("rows", begun, taking(phase, F.lit(MAX_EVIDENCE if last else PER_TARGET))))
+    return chosen.select("qid", F.posexplode("state.items").alias("i", "item")).select(*["qid" if c == "qid" else F.col(f"item.`{c}`") for c in items.columns], (F.col("i") + 1).alias("evidence_no"))
