@@ -1,22 +1,32 @@
-"""Sparse retrieval: Okapi BM25."""
+"""Sparse retrieval: Okapi BM25 over postings."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import best_first, top_k
 from lodestone.schema import ORDER
-from lodestone.session import cut
+from lodestone.session import cut, drop, shuffles
+
+#: Postings are stored in folders by this many values of a hash of the term: a search reads those of its terms.
+BUCKETS = 256
+#: Chunks whose postings of a term make one row, and that are scored together.
+BLOCK_CHUNKS = 4096
+#: Queries go to the postings in blocks of about so many queries and weighted terms at most.
+BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
+#: Terms of at least so many queries of a block are scored by a matrix product, the others one by one.
+COMMON = 8
+#: Chunks scored at a time.
+STEP = 512
 
 
 @dataclass(frozen=True)
@@ -26,16 +36,24 @@ class Okapi:
     epsilon: float = 0.25
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class SparseIndex:
-    """forward(chunk_id, paper, page, position, words, dl), terms(term, df, idf), corpus: one row (n, avgdl).
-
-    A search sends a bounded block of weighted queries to the forward index; each partition scores its chunks against the
-    whole block at once and passes on only its best chunks of each query, so what is shuffled doesn't grow with the words
-    that queries and chunks share.
+    """lengths(block, slot, chunk_id, paper, page, position, dl): chunks by blocks, and their places there;
+    hits(bucket, term, block, hits array<struct<slot, tf, dl>>): the postings, a row per term and block; terms(term, df, idf);
+    corpus: one row (n, avgdl).
+
+    A search takes a bounded block of weighted queries. It reads the buckets of its terms, and of these the rows of its terms;
+    they are shuffled by block of chunks, compact as they are, and a task scores a block of chunks against all queries at once.
+    It passes on only its best chunks of each query, so what is shuffled then doesn't grow with the terms that queries and
+    chunks share, and what is read doesn't grow with the corpus but with its chunks that have a term.
     """
 
-    forward: DataFrame
+    lengths: DataFrame
+    hits: DataFrame
     terms: DataFrame
     corpus: DataFrame
     okapi: Okapi = Okapi()
@@ -43,15 +61,23 @@ class SparseIndex:
     @classmethod
     def build(cls, chunks: DataFrame, okapi: Okapi = Okapi()) -> SparseIndex:
         """Chunks are tokenised once; the tables are written to the checkpoint folder."""
-        words = chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words"))
-        forward = cut(words.withColumn("dl", F.size("words")))
-        corpus = cut(forward.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")))
-        return cls(forward, cut(weigh(forward, corpus, okapi)), corpus, okapi)
+        words = cut(chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words")))
+        corpus = cut(words.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")))
+        blocks = max(1, -(-words.count() // BLOCK_CHUNKS))
+        slot = (F.row_number().over(W.partitionBy("block").orderBy("chunk_id", *ORDER)) - 1).cast("int")
+        placed = cut(words.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn("slot", slot))
+        counted = placed.select("block", "slot", "dl", F.explode("words").alias("term")).groupBy("block", "slot", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        hits = counted.groupBy("block", "term").agg(F.collect_list(F.struct("slot", "tf", "dl")).alias("hits"))
+        hits = cut(hits.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "hits"))
+        index = cls(cut(placed.drop("words")), hits, cut(weigh(hits, corpus, okapi)), corpus, okapi)
+        drop(words, placed)
+        return index
 
     @property
     def postings(self) -> DataFrame:
         """(term, chunk_id, tf)"""
-        return self.forward.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+        flat = self.hits.select("term", "block", F.explode("hits").alias("h")).select("term", "block", "h.slot", F.col("h.tf").cast("long").alias("tf"))
+        return flat.join(self.lengths.select("block", "slot", "chunk_id"), ["block", "slot"]).select("term", "chunk_id", "tf")
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """queries (qid, text) -> (qid, rank, chunk_id, score): the k best chunks of positive score per query."""
@@ -66,86 +92,101 @@ class SparseIndex:
         return top_k(best, ["qid"], [best_first(), *map(F.col, ORDER)], k).select("qid", "rank", "chunk_id", "score")
 
     def candidates(self, queries: DataFrame, k: int) -> DataFrame:
-        """(q, chunk_id, paper, page, position, score): of each partition the k best chunks of positive score per query (q, text),
-        more where scores tie. A repeated query word counts repeatedly."""
-        o = self.okapi
+        """(q, chunk_id, paper, page, position, score): the k best chunks of positive score per query (q, text), more where
+        scores tie. A repeated query word counts repeatedly."""
         asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-        weighted = asked.join(self.terms, "term").groupBy("q").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("terms"))
-        weighted = cut(weighted)
+        weighted = cut(asked.join(self.terms, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("weight")).groupBy("q").agg(F.collect_list(F.struct("term", "weight")).alias("terms")))
         size = weighted.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
         blocks = max(1, -(-size["queries"] // BLOCK_QUERIES), -(-size["terms"] // BLOCK_TERMS))
         spark = queries.sparkSession
-        names = ("chunk_id", *ORDER)
-        kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), *(self.forward.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+        kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("score", T.DoubleType())])
         average = self.corpus.first()["avgdl"] if size["queries"] else None
         out = spark.createDataFrame([], kind)
         for b in range(blocks if size["queries"] else 0):
-            own = weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow().combine_chunks()
-            if len(own):
-                block = Block(own.column("q").combine_chunks(), own.column("terms").to_pylist(), k, o, average)
-                out = out.union(self.forward.select(*names, "words", "dl").mapInArrow(block.run, kind))
-        return out
-
-
-#: A block of queries has about so many queries and weighted words at most.
-BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
-#: Words of at least so many queries are scored by a matrix product, the others one by one.
-COMMON = 8
-#: Chunks scored at a time.
-STEP = 512
-
-
-class Block:
-    """Queries as weighted words, to be scored against partitions of the forward index."""
+            own = weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+            rows = own.toArrow().combine_chunks()
+            if len(rows):
+                scorer = Scorer(rows.column("q").combine_chunks(), rows.column("terms").to_pylist(), k, self.okapi, average)
+                out = out.union(self.matching(own).groupBy("block").applyInArrow(scorer.function(), kind))
+        best = F.rank().over(W.partitionBy("q").orderBy(best_first()))
+        return out.withColumn("n", best).where(F.col("n") <= k).join(self.lengths, ["block", "slot"]).select("q", "chunk_id", *ORDER, "score")
+
+    def matching(self, weighted: DataFrame) -> DataFrame:
+        """The hits of the terms of a bounded block of queries (q, terms), with all rows of a block of chunks in one partition."""
+        terms = weighted.select(F.explode("terms.term").alias("term")).distinct()
+        buckets = [r["bucket"] for r in terms.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]  # 256 at most
+        read = self.hits.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term", "left_semi")  # BLOCK_TERMS at most
+        # work per row is more than its bytes tell: no partitions are put together
+        return read.repartition(shuffles(weighted.sparkSession), "block")
+
+
+class Scorer:
+    """Queries as weighted words, to be scored against blocks of chunks."""
 
     def __init__(self, names: pa.Array, terms: list[list[dict]], k: int, okapi: Okapi, average: float):
         self.names, self.k, self.okapi, self.average = names, k, okapi, average
-        times = Counter(t["term"] for own in terms for t in own)
+        times: dict[str, int] = {}
+        for own in terms:
+            for t in own:
+                times[t["term"]] = times.get(t["term"], 0) + 1
         # common words first: the first `common` columns are dense
-        place = {term: i for i, (term, _) in enumerate(times.most_common())}
+        place = {term: i for i, term in enumerate(sorted(times, key=lambda t: (-times[t], t)))}
         self.common = sum(n >= COMMON for n in times.values())
         self.vocabulary = pa.array(list(place))
         cells = sorted((place[t["term"]], q, t["weight"]) for q, own in enumerate(terms) for t in own)
         self.term, self.query, self.weight = (np.array(x) for x in zip(*cells, strict=True))
         self.begin = np.searchsorted(self.term, np.arange(len(place) + 1))
 
-    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((self.common, len(self.names)))
-        n = self.begin[self.common]
-        dense[self.term[:n], self.query[:n]] = self.weight[:n]
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                yield self.best(whole.slice(at, STEP), dense)
-
-    def best(self, batch: pa.RecordBatch, dense: np.ndarray) -> pa.RecordBatch:
-        words, o, width, many = batch.column("words"), self.okapi, len(self.vocabulary), len(self.names)
-        known = pc.index_in(words.flatten(), value_set=self.vocabulary)
-        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        here = pc.is_valid(known).to_numpy(zero_copy_only=False)
-        cell, tf = np.unique(row[here] * width + pc.fill_null(known, 0).to_numpy()[here].astype(np.int64), return_counts=True)
-        row, term = np.divmod(cell, width)
-        norm = o.k1 * (1 - o.b + o.b * batch.column("dl").to_numpy(zero_copy_only=False) / self.average) if self.average else np.ones(batch.num_rows)
-        impact = tf * (o.k1 + 1) / (tf + norm[row])
+    def function(self):
+        return lambda table: self.best(table)
+
+    def best(self, table: pa.Table) -> pa.Table:
+        """For applyInArrow on a block's hits: of each query the k best chunks, more where scores tie at 9 decimals."""
+        table = table.combine_chunks()
+        hits, o, many = table.column("hits").combine_chunks(), self.okapi, len(self.names)
+        n = pc.list_value_length(hits).to_numpy(zero_copy_only=False)
+        slot, tf, dl = (hits.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("slot", "tf", "dl"))
+        term = np.repeat(pc.index_in(table.column("term").combine_chunks(), value_set=self.vocabulary).to_numpy(zero_copy_only=False), n)
+        impact = tf * (o.k1 + 1) / (tf + o.k1 * (1 - o.b + o.b * dl / self.average))
+        order = np.argsort(slot, kind="stable")
+        slot, term, impact = slot[order], term[order], impact[order]
+        chunks, row = np.unique(slot, return_inverse=True)
+        dense = np.zeros((self.common, many))
+        m = self.begin[self.common]
+        dense[self.term[:m], self.query[:m]] = self.weight[:m]
+        cuts = np.searchsorted(row, np.arange(0, len(chunks) + STEP, STEP))
+        found = []
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            scores = self.scores(row[a:b] - i * STEP, term[a:b], impact[a:b], min(STEP, len(chunks) - i * STEP), dense)
+            q, at = self.kept(scores)
+            found.append((q, at + i * STEP, scores[at, q]))
+        q, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"q": self.names.take(pa.array(q)), "block": pa.array(np.full(len(q), table.column("block")[0].as_py(), np.int64)), "slot": pa.array(chunks[at].astype(np.int32)), "score": pa.array(score)})
+
+    def scores(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray, rows: int, dense: np.ndarray) -> np.ndarray:
+        """Chunks x queries."""
+        many = len(self.names)
         common = term < self.common
-        whole = np.zeros((batch.num_rows, self.common))
+        whole = np.zeros((rows, self.common))
         whole[row[common], term[common]] = impact[common]
         scores = whole @ dense
         row, term, impact = row[~common], term[~common], impact[~common]
         n = self.begin[term + 1] - self.begin[term]
         at = np.repeat(self.begin[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        scores += np.bincount(np.repeat(row, n) * many + self.query[at], np.repeat(impact, n) * self.weight[at], batch.num_rows * many).reshape(-1, many)
+        return scores + np.bincount(np.repeat(row, n) * many + self.query[at], np.repeat(impact, n) * self.weight[at], rows * many).reshape(-1, many)
+
+    def kept(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and chunks of the scores that are positive and among the k best of their query, or tie with these."""
         rounded = np.round(scores, 9).T
         keep = rounded > 0
         if rounded.shape[1] > self.k:
             keep &= rounded >= np.partition(rounded, -self.k, axis=1)[:, -self.k][:, None]
-        q, i = np.nonzero(keep)
-        at = pa.array(i)
-        return pa.RecordBatch.from_arrays([self.names.take(pa.array(q)), *(batch.column(c).take(at) for c in ("chunk_id", *ORDER)), pa.array(scores.T[q, i])], names=["q", "chunk_id", *ORDER, "score"])
+        return np.nonzero(keep)
 
 
-def weigh(forward: DataFrame, corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
+def weigh(hits: DataFrame, corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     """(term, df, idf). Negative idf becomes epsilon times the mean of all idf before the replacement."""
-    df = forward.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = hits.groupBy("term").agg(F.sum(F.size("hits").cast("long")).alias("df"))
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * okapi.epsilon).otherwise(F.col("raw")).alias("idf"))

@@ -66,26 +66,34 @@ class Indexes:
     graph: EntityGraph
 
 
-TABLES = {"sparse": ("forward", "terms", "corpus"), "graph": ("members", "nodes", "edges")}
+TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "graph": ("members", "nodes", "edges")}
 
 
 def index_paths(index_dir: str) -> dict[str, str]:
     return {f"{kind}.{t}": f"{index_dir}/{kind}/{t}" for kind, own in TABLES.items() for t in own} | {"vectors": f"{index_dir}/vectors"}
 
 
+#: Postings of so many blocks of chunks are written to one file of a bucket.
+BLOCKS_PER_FILE = 256
+
+
 def save_indexes(indexes: Indexes, index_dir: str) -> None:
-    """All tables of all indexes; terms are sorted, so a search reads few of their row groups."""
+    """All tables of all indexes. Postings are in folders by bucket, sorted by term, so a search reads few row groups of few files."""
     for name, path in index_paths(index_dir).items():
         kind, _, t = name.partition(".")
         df = getattr(getattr(indexes, kind), t) if t else indexes.vectors
-        (df.sort("term") if t == "terms" else df).write.mode("overwrite").parquet(path)
+        if t == "hits":
+            df = df.repartition("bucket", F.floor(F.col("block") / BLOCKS_PER_FILE)).sortWithinPartitions("bucket", "term")
+            df.write.partitionBy("bucket").mode("overwrite").parquet(path)
+        else:
+            (df.sort("term") if t == "terms" else df).write.mode("overwrite").parquet(path)
 
 
 def load_indexes(spark: SparkSession, index_dir: str, n_chunks: int | None = None, okapi: Okapi = Okapi()) -> Indexes:
     """The saved indexes; with n_chunks their sizes are compared with the chunk store."""
     t = {name: spark.read.parquet(path) for name, path in index_paths(index_dir).items()}
     if n_chunks is not None:
-        if (held := t["sparse.forward"].count()) != n_chunks:
+        if (held := t["sparse.lengths"].count()) != n_chunks:
             raise StoreError(f"sparse index holds {held} chunks, the store {n_chunks}")
         checked(t["vectors"], n_chunks)
     sparse, graph = ([t[f"{kind}.{name}"] for name in TABLES[kind]] for kind in TABLES)

@@ -59,6 +59,25 @@ def test_indexes_round_trip_and_mismatch(spark, tmp_path):
         store.load_indexes(spark, str(tmp_path / "i"), 3)
 
 
+def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    from lodestone.operators.sparse import SparseIndex
+
+    words = [f"w{i}" for i in range(400)]
+    chunks = spark.createDataFrame([(f"c{i:03}", "a.pdf", i, 0, " ".join(words[i : i + 20])) for i in range(300)], "chunk_id string, paper string, page int, position int, text string")
+    store.save_indexes(store.build_indexes(chunks, encoder), str(tmp_path / "i"))
+    index = store.load_indexes(spark, str(tmp_path / "i"), 300).sparse
+    question = spark.createDataFrame([("q", "w7 w7 w311 nowhere")], "qid string, text string")
+    want = SparseIndex.build(chunks).search(question).collect()
+    assert len(want) == 16 and sorted(index.search(question).collect()) == sorted(want)
+    weighted = spark.createDataFrame([("q", [("w7", 1.0), ("w311", 1.0)])], "q string, terms array<struct<term string, weight double>>")
+    read = index.matching(weighted)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    files = {r.f for r in index.hits.where(F.col("bucket").isin([r.bucket for r in read.select("bucket").distinct().collect()])).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    assert len(files) <= 2 < len(index.hits.inputFiles())
+    assert read.count() == 2
+
+
 def make_reader():
     # a local function travels to the workers by value; they can't import this module
     return lambda content: content.decode().split("\f")
