@@ -6,6 +6,9 @@ questions; embeddings are the dense index. Where an operator needs a model's ans
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,8 +22,8 @@ from lodestone.operators.graph import EntityGraph
 from lodestone.operators.select import select_evidence
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans import answering, coverage, planning, workflow
-from lodestone.session import Settings, cut
-from lodestone.sources.store import Indexes, invalid, summary
+from lodestone.session import Settings, cut, shared_folder
+from lodestone.sources.store import Indexes, build_indexes, invalid, load_chunks, load_indexes, save_chunks, save_indexes, summary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -213,6 +216,43 @@ def chunk_integrity(spark, sf):
     return invalid(given).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- stores
+
+
+def place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def letters(rows: DataFrame) -> DataFrame:
+    """An encoder that needs no model: how often each letter occurs, as a unit vector."""
+    low = F.lower("text")
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("id", counts.alias("counts")).select("id", F.transform("counts", lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")).alias("embedding"))
+
+
+LETTERS = """counts(key, c) AS ({source}), letters AS (SELECT key, list_transform(c, lambda x: (CASE WHEN list_inner_product(c, c) > 0 THEN x / sqrt(list_inner_product(c, c)) ELSE x END)::FLOAT::DOUBLE) AS v FROM counts)"""
+
+
+def letters_sql(name: str, key: str, text: str, source: str) -> str:
+    counts = f"SELECT {key}, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda l: (length(lower({text})) - length(replace(lower({text}), l, '')))::DOUBLE) FROM {source}"
+    return LETTERS.format(source=counts).replace("counts", f"{name}_counts").replace("letters AS", f"{name} AS")
+
+
+def stored_indexes(spark, sf) -> tuple[DataFrame, Indexes]:
+    c = cut(chunks(spark, sf))
+    path = place(spark, "indexes")
+    save_indexes(build_indexes(c, letters), path)
+    return c, load_indexes(spark, path, c.count())
+
+
+@register(with_(CHUNKS, "SELECT chunk_id, paper, page, text, 0.0::DOUBLE AS score FROM chunks"))
+def store_chunks(spark, sf):
+    path = place(spark, "chunks")
+    save_chunks(chunks(spark, sf), path)
+    return load_chunks(spark, path)
+
+
 # ---------------------------------------------------------------- sparse
 
 
@@ -237,6 +277,11 @@ def bm25_search_max(spark, sf):
     return SparseIndex.build(chunks(spark, sf)).search_max(q).select("qid", "rank", "chunk_id", r6("score"))
 
 
+@register(with_(SCORES, "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM sparse"))
+def store_sparse(spark, sf):
+    return stored_indexes(spark, sf)[1].sparse.search(questions(spark, sf)).select("qid", "rank", "chunk_id", r6("score"))
+
+
 # ---------------------------------------------------------------- graph
 
 
@@ -277,6 +322,11 @@ def graph_search(spark, sf):
     return EntityGraph.build(chunks(spark, sf)).search(names(spark, sf))
 
 
+@register(with_(GRAPH_SEARCH, "SELECT qid, rank, chunk_id, score FROM graph_"))
+def store_graph(spark, sf):
+    return stored_indexes(spark, sf)[1].graph.search(names(spark, sf))
+
+
 # ---------------------------------------------------------------- dense
 
 DENSE = "d AS (SELECT q.vec_id AS query, q.label, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v), pos AS (SELECT * FROM d WHERE score > 0)"
@@ -299,6 +349,17 @@ def dense_normalise(spark, sf):
     return dense.normalised(table(spark, sf, "embeddings")).select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 
+DENSE_LISTS = ",\n" + letters_sql("asked_letters", "item_id", "text", "benchmark") + ",\n" + letters_sql("chunk_letters", "chunk_id", "text", "chunks") + """,
+dense_scores AS (SELECT a.key AS qid, chunk_id, paper, page, position, list_inner_product(a.v, c.v) AS score FROM asked_letters a, chunk_letters c JOIN chunks ON c.key = chunk_id),
+dense_ AS (SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, paper, page, position))::INTEGER AS rank, chunk_id, score FROM dense_scores WHERE score > 0 QUALIFY rank <= 20)"""
+
+
+@register(with_(CHUNKS + DENSE_LISTS, "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM dense_"))
+def store_dense(spark, sf):
+    c, indexes = stored_indexes(spark, sf)
+    return workflow.RetrievalEngine(c, indexes, letters).dense_search_many(questions(spark, sf)).select("qid", "rank", "chunk_id", r6("score"))
+
+
 # ---------------------------------------------------------------- fusion and reranking
 
 
@@ -588,16 +649,26 @@ def hybrid_search(spark, sf):
     return found.select("qid", F.posexplode("evidence").alias("i", "e")).select("qid", (F.col("i") + 1).alias("evidence_no"), "e.chunk_id", F.round("e.score", 6).alias("score"))
 
 
-def _engine(spark, sf) -> workflow.RetrievalEngine:
+HYBRID_DENSE = HYBRID.replace(",\nlists AS (SELECT", DENSE_LISTS + ",\nlists AS (SELECT qid, 'dense' AS retriever, 1000 AS list_ord, rank, chunk_id, score FROM dense_ WHERE rank <= 8 UNION ALL SELECT")
+
+
+@register(with_(HYBRID_DENSE, "SELECT qid, evidence_no, chunk_id, round(score, 6) AS score FROM selected"))
+def hybrid_dense(spark, sf):
+    """All three retrievers, the dense one with letter vectors."""
+    found = _researched(spark, sf, "sparse", "dense", "graph")
+    return found.select("qid", F.posexplode("evidence").alias("i", "e")).select("qid", (F.col("i") + 1).alias("evidence_no"), "e.chunk_id", F.round("e.score", 6).alias("score"))
+
+
+def _engine(spark, sf, vectors: bool = False) -> workflow.RetrievalEngine:
     c = cut(chunks(spark, sf))
     none = spark.createDataFrame([], "id string, embedding array<float>")
-    return workflow.RetrievalEngine(c, Indexes(SparseIndex.build(c), none, EntityGraph.build(c)))
+    return workflow.RetrievalEngine(c, Indexes(SparseIndex.build(c), letters(c.select(F.col("chunk_id").alias("id"), "text")) if vectors else none, EntityGraph.build(c)), letters)
 
 
-def _researched(spark, sf) -> DataFrame:
+def _researched(spark, sf, *retrievers: str) -> DataFrame:
     states = workflow.initial_states(questions(spark, sf).select("qid", F.col("text").alias("question")))
-    plan = F.col("plan").withField("queries", F.array("question")).withField("retrievers", F.array(F.lit("sparse"), F.lit("graph")))
-    return workflow.research(states.withColumn("plan", plan), _engine(spark, sf), Settings(min_rerank_score=0.2), overlap)
+    plan = F.col("plan").withField("queries", F.array("question")).withField("retrievers", F.array(*map(F.lit, retrievers or ("sparse", "graph"))))
+    return workflow.research(states.withColumn("plan", plan), _engine(spark, sf, "dense" in retrievers), Settings(min_rerank_score=0.2), overlap)
 
 
 ASK = SCORES + ",\nlists AS (SELECT qid, 'sparse' AS retriever, 0 AS list_ord, rank, chunk_id, score FROM sparse WHERE rank <= 8)" + FUSED[len(LISTS) :] + HYBRID[HYBRID.index(",\nqueries_ AS") :]
@@ -632,6 +703,45 @@ def ask_batch(spark, sf):
     return _asked(spark, sf, "")
 
 
-@register()
+AGAIN = "the of and"
+
+
+def later(sql: str) -> str:
+    """The CTEs of a selection, named for the second round."""
+    return re.sub(r"\b([pabc]\d|items|selected)\b", r"\1_again", sql)
+
+
+# the second round asks the question and the corrective query; what was selected before comes first in the merge
+RETRY = (
+    ASK
+    + f""",
+asked_again AS (SELECT qid, query_no, term, count(*) AS times FROM (SELECT item_id AS qid, 0 AS query_no, unnest({toks('text')}) AS term FROM benchmark UNION ALL SELECT item_id, 1, unnest({toks(f"'{AGAIN}'")}) FROM benchmark) WHERE qid % 2 = 1 GROUP BY ALL),
+scores_again AS (SELECT qid, query_no, p.chunk_id, paper, page, position, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+  FROM asked_again JOIN terms USING (term) JOIN postings p USING (term) JOIN lengths l ON l.chunk_id = p.chunk_id, corpus GROUP BY ALL HAVING round(score, 9) > 0),
+lists_again AS (SELECT qid, query_no AS list_ord, (row_number() OVER (PARTITION BY qid, query_no ORDER BY round(score, 9) DESC, paper, page, position))::INTEGER AS rank, chunk_id FROM scores_again QUALIFY rank <= 8),
+rrf_again AS (SELECT qid, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(list_ord * 1000 + rank) AS first FROM lists_again GROUP BY ALL),
+fused_again AS (SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, first))::INTEGER AS fused_rank, chunk_id FROM rrf_again QUALIFY fused_rank <= 30),
+rescored_again AS (SELECT f.qid, fused_rank, f.chunk_id, greatest({overlap_sql('b.text', 'c.text')}, {overlap_sql(f"'{AGAIN}'", 'c.text')}) AS score FROM fused_again f JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = f.qid),
+found_again AS (SELECT qid, chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, fused_rank))::INTEGER AS slot, score FROM rescored_again QUALIFY score >= 0.2),
+both_rounds AS (SELECT qid, chunk_id, evidence_no AS slot, score, 0 AS round FROM selected WHERE qid % 2 = 1 UNION ALL SELECT qid, chunk_id, slot, score, 1 FROM found_again WHERE qid IN (SELECT qid FROM selected)),
+merged_again AS (SELECT qid, chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY min(round * 1000 + slot)))::INTEGER AS slot, max(score) AS score FROM both_rounds GROUP BY qid, chunk_id),
+items_again AS (SELECT m.qid, m.chunk_id, c.paper, c.page, c.text, m.score, m.slot FROM merged_again m JOIN chunks c USING (chunk_id)),
+"""
+    + later(select_sql(["true"]))
+    + """,
+old_set AS (SELECT qid, count(*) AS n, list_sort(list(chunk_id)) AS ids, arg_min(paper, evidence_no) AS paper, arg_min(page, evidence_no) AS page FROM selected GROUP BY qid),
+new_set AS (SELECT qid, count(*) AS n, list_sort(list(chunk_id)) AS ids FROM selected_again GROUP BY qid)"""
+)
+
+
+@register(
+    with_(
+        RETRY,
+        """SELECT item_id AS qid, if(o.n > 0 AND item_id % 2 = 0, 'complete', 'insufficient') AS status, coalesce(if(item_id % 2 = 1, s.n, o.n), o.n, 0)::INTEGER AS evidence, if(item_id % 2 = 1 AND o.n > 0, 1, 0) AS retry_count,
+  CASE WHEN o.n IS NULL THEN 'no_relevant_evidence' WHEN item_id % 2 = 1 AND s.ids = o.ids THEN 'no_new_evidence' ELSE '' END AS stop_reason,
+  if(item_id % 2 = 0, 'It is so' || coalesce(' [' || o.paper || ' p.' || o.page || ']', '') || '.', 'The corpus does not say.') AS answer
+FROM benchmark LEFT JOIN old_set o ON o.qid = item_id LEFT JOIN new_set s ON s.qid = item_id""",
+    )
+)
 def ask_retry(spark, sf):
-    return _asked(spark, sf, "the of and")
+    return _asked(spark, sf, AGAIN)

@@ -77,19 +77,23 @@ def shuffles(spark: SparkSession) -> int:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder of spark.checkpoint.dir and read from there: what follows reads them several times, or
-    would repeat a model's calls. The shuffle files of the writing are removed with it: nothing needs them any more.
-
-    Only on a local master (tests) a temporary folder is made where none is set; executors of a cluster would not share it.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder in spark.checkpoint.dir. Only on a local master (tests) a temporary folder is made where
+    none is set; executors of a cluster would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder of spark.checkpoint.dir and read from there: what follows reads them several times, or
+    would repeat a model's calls. The shuffle files of the writing are removed with it: nothing needs them any more."""
+    spark = df.sparkSession
+    shared_folder(spark)
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
