@@ -1,7 +1,7 @@
 """Commands: ingest <directory>, index, ask <question>.
 
-Models are named by import paths module:attribute in LODESTONE_ENCODER (an Encoder) and LODESTONE_SCORER (a Scorer), and a page
-reader in LODESTONE_PAGE_READER. Exit codes: 0 done, 1 a model or service failed, 2 no key for a completion service.
+Models are those of the settings, if they are local folders, or are named by import paths module:attribute in LODESTONE_ENCODER (an
+Encoder) and LODESTONE_SCORER (a Scorer), and a page reader in LODESTONE_PAGE_READER. Exit codes: 0 done, 1 a model or service failed, 2 no key for a completion service.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.plans.workflow import RetrievalEngine, ask
 from lodestone.session import Settings, session
 from lodestone.sources.pages import ingest, pdf_pages
-from lodestone.sources.providers import HttpCompleter, ModelUnavailableError, missing_encoder
+from lodestone.sources.providers import HttpCompleter, ModelUnavailableError, local_encoder, local_scorer, missing_encoder
 from lodestone.sources.store import build_indexes, load_chunks, load_indexes, save_indexes, summary
 
 
@@ -29,6 +29,11 @@ def named(variable: str, default):
     return getattr(importlib.import_module(module), attribute)
 
 
+def local(variable: str, name: str, make, default):
+    """The model that the variable names, or that of a local folder, or the default."""
+    return named(variable, None) or (make(name) if os.path.isdir(name) else default)
+
+
 def positioned(chunks):
     """Stored chunks with a position: their order in the store, by which ties are broken."""
     return chunks.withColumn("position", F.monotonically_increasing_id()).drop("score")
@@ -43,7 +48,7 @@ def run_ingest(args: argparse.Namespace, settings: Settings) -> int:
 def run_index(args: argparse.Namespace, settings: Settings) -> int:
     spark = session()
     chunks = positioned(load_chunks(spark, settings.chunks_path))
-    indexes = build_indexes(chunks, named("LODESTONE_ENCODER", missing_encoder(settings.embedding_model)))
+    indexes = build_indexes(chunks, local("LODESTONE_ENCODER", settings.embedding_model, local_encoder, missing_encoder(settings.embedding_model)))
     save_indexes(indexes, settings.index_dir)
     r = summary(chunks, load_indexes(spark, settings.index_dir).graph).first()
     print(f"indexed {r['chunks']} chunks, {r['entities']} entities, {r['edges']} edges")
@@ -57,9 +62,9 @@ def run_ask(args: argparse.Namespace, settings: Settings) -> int:
         return 2
     spark = session()
     chunks = positioned(load_chunks(spark, settings.chunks_path))
-    engine = RetrievalEngine(chunks, load_indexes(spark, settings.index_dir, chunks.count()), named("LODESTONE_ENCODER", None), settings.top_k)
+    engine = RetrievalEngine(chunks, load_indexes(spark, settings.index_dir, chunks.count()), local("LODESTONE_ENCODER", settings.embedding_model, local_encoder, None), settings.top_k)
     questions = spark.createDataFrame([("1", args.question)], "qid string, question string")
-    print(ask(questions, engine, settings, completer, named("LODESTONE_SCORER", None)).first()["answer"])
+    print(ask(questions, engine, settings, completer, local("LODESTONE_SCORER", settings.reranker_model, local_scorer, None)).first()["answer"])
     return 0
 
 

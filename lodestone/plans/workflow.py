@@ -6,6 +6,7 @@ retries runs on the driver and looks at no data but whether any question goes on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,9 @@ from lodestone.sources.store import Indexes
 
 PER_QUERY, MAX_CANDIDATES = 8, 30
 
+#: queries (qid, query), candidates (qid, fused_rank, chunk_id, paper, page, text), scorer -> candidates with score and rank.
+Reranker = Callable[[DataFrame, DataFrame, Scorer | None], DataFrame]
+
 
 class PlanError(ValueError):
     """A model's answer that breaks its contract."""
@@ -93,12 +97,12 @@ def asked_queries(states: DataFrame) -> DataFrame:
     return states.select("qid", F.posexplode(F.concat("plan.queries", more)).alias("query_no", "query"), "plan.entities", "plan.retrievers")
 
 
-def research(states: DataFrame, engine: RetrievalEngine, settings: Settings, scorer: Scorer) -> DataFrame:
-    """One round: retrieve, fuse, rerank, merge with earlier evidence, select."""
+def research(states: DataFrame, engine: RetrievalEngine, settings: Settings, scorer: Scorer, reranker: Reranker = rerank) -> DataFrame:
+    """One round: retrieve, fuse, rerank, merge with earlier evidence, select. reranker: instead of fusion.rerank, with its contract."""
     queries = asked_queries(states)
     fused = reciprocal_rank_fusion(engine.rank_lists(queries)).where(F.col("fused_rank") <= MAX_CANDIDATES)
     found = fused.select("qid", "fused_rank", "chunk_id").join(engine.chunks.select("chunk_id", "paper", "page", "text"), "chunk_id")
-    scored = rerank(queries.select("qid", "query"), found, scorer).where(F.col("score") >= settings.min_rerank_score)
+    scored = reranker(queries.select("qid", "query"), found, scorer).where(F.col("score") >= settings.min_rerank_score)
     new = scored.select("qid", F.col("rank").alias("slot"), "chunk_id", "paper", "page", "text", "score")
     old = states.select("qid", F.posexplode("evidence").alias("slot", "e")).select("qid", "slot", "e.*")
     merged = merge_evidence(old, new).where(F.col("score") >= settings.min_rerank_score).withColumnRenamed("merged_slot", "slot")
@@ -130,17 +134,17 @@ def checked(states: DataFrame, error: str) -> DataFrame:
     return states.drop(error, "payload")
 
 
-def ask(questions: DataFrame, engine: RetrievalEngine, settings: Settings, completer: Completer | None, scorer: Scorer | None) -> DataFrame:
+def ask(questions: DataFrame, engine: RetrievalEngine, settings: Settings, completer: Completer | None, scorer: Scorer | None, reranker: Reranker = rerank) -> DataFrame:
     """questions (qid, question) -> states with answers."""
     if completer is None:
         raise ValueError("a completer is required")
-    if scorer is None:
+    if scorer is None and reranker is rerank:
         raise ModelUnavailableError(f"no scorer given for {settings.reranker_model!r}")
     states = answered(initial_states(questions).drop("plan"), completer, "planner", 0, prompts.planner(F.col("question")))
     active = checked(cut(plan_questions(states)), "plan_error")
     done = None
     for turn in range(settings.max_retries + 1):
-        active = cut(research(active, engine, settings, scorer))
+        active = cut(research(active, engine, settings, scorer, reranker))
         to_writer = route_after_research(F.col("stop_reason")) == "writer"
         ready, rest = active.where(to_writer), active.where(~to_writer)
         verified = verify(answered(rest, completer, "verifier", turn, prompts.verifier(rest)))

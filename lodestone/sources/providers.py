@@ -7,11 +7,14 @@ import os
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: (id, text) -> (id, embedding), unit vectors of floats.
 Encoder = Callable[[DataFrame], DataFrame]
@@ -36,6 +39,68 @@ def model_path(name: str) -> str:
     raise ModelUnavailableError(f"model {name!r} is not a local folder")
 
 
+MODELS: dict[tuple[str, str, str], Any] = {}
+
+
+def loaded(load: Callable[[str], Any], path: str) -> Any:
+    """A model, loaded once per Python process: tasks that run in one worker share it. A loader is known by its name, as each task gets
+    a copy of it."""
+    key = (load.__module__, load.__qualname__, path)
+    if key not in MODELS:
+        MODELS[key] = load(path)
+    return MODELS[key]
+
+
+def sentence_transformer(path: str) -> Any:
+    """An encoding model of a local folder, if the library is there."""
+    try:
+        from sentence_transformers import SentenceTransformer
+    except ImportError as e:
+        raise ModelUnavailableError("the sentence_transformers library is not installed") from e
+    return SentenceTransformer(path)
+
+
+def cross_encoder(path: str) -> Any:
+    """A scoring model of a local folder, if the library is there."""
+    try:
+        from sentence_transformers import CrossEncoder
+    except ImportError as e:
+        raise ModelUnavailableError("the sentence_transformers library is not installed") from e
+    return CrossEncoder(path)
+
+
+def local_encoder(name: str, load: Callable[[str], Any] = sentence_transformer) -> Encoder:
+    """An Encoder of a local model, whose encode(list of texts) gives vectors; they are scaled to length 1. Runs on the executors."""
+    path = model_path(name)
+
+    def encode(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(loaded(load, path).encode(batch.column("text").to_pylist()), np.float32)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "embedding"])
+
+        kind = T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        return rows.select("id", "text").mapInArrow(run, kind)
+
+    return encode
+
+
+def local_scorer(name: str, load: Callable[[str], Any] = cross_encoder) -> Scorer:
+    """A Scorer of a local model, whose predict(list of pairs) gives scores, as many as pairs. Runs on the executors."""
+    path = model_path(name)
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        scores = np.asarray(loaded(load, path).predict(list(zip(query, text, strict=True))), np.float64)
+        if scores.shape != (len(query),):
+            raise ModelUnavailableError(f"the scorer gave {scores.shape} scores for {len(query)} pairs")
+        return pd.Series(scores)
+
+    return score
+
+
 def missing_encoder(name: str) -> Encoder:
     def encode(rows: DataFrame) -> DataFrame:
         raise ModelUnavailableError(f"no encoder given for {name!r}")
