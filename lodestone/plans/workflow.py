@@ -74,8 +74,9 @@ class RetrievalEngine:
             "graph": lambda: self.graph_search(seeds),
         }
         out = None
+        used = {r[0] for r in queries.select(F.explode("retrievers")).distinct().collect()}  # of three names; what no question asks for needs no plan and no model
         for i, name in enumerate(RETRIEVERS):
-            if name == "dense" and uses(name).isEmpty():  # no question asks for it: no encoder is needed
+            if name not in (used or RETRIEVERS[:1]):
                 continue
             rows = lists[name]().where(F.col("rank") <= PER_QUERY)
             rows = rows.select("qid.qid", F.lit(name).alias("retriever"), "qid.query_no", (F.lit(i * 1000) + F.col("qid.query_no")).alias("list_ord"), "rank", "chunk_id", "score")
