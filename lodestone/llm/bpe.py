@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import batches_of
+from lodestone.llm.common import batches_of, held
 
 #: Words of more bytes are contracted in windows of so many, each beginning so many after the one before.
 LONG = WINDOW = 96
@@ -50,7 +50,7 @@ RESTART = 4096
 #: A worker forgets its pieces beyond this number, or beyond so many characters.
 PIECES, PIECES_CHARS = 300_000, 50 << 20
 #: Rows for one query: bytes of words, ids to decode. A query of words also gets so many rows times bytes of its longest word at most.
-STEP_ROWS, STEP_WORK = 150_000, 4_000_000
+STEP_ROWS, STEP_WORK = 150_000, 2_000_000
 #: Characters of a text that are worked on at a time.
 SLICE = 1 << 20
 
@@ -364,14 +364,14 @@ def common(ends: np.ndarray, widths: np.ndarray, other_ends: np.ndarray, other_w
 BEFORE_WORD = re.compile(r" (?=\S)")
 SPACES = re.compile(r" \s| $")
 NOTHING = np.zeros(0, np.int32)
-_codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
     """This process's codec for a rank file."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    codecs = held("bpe")
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = Codec(path, pattern)
+    return codecs[path, pattern]
 
 
 def default_path() -> str:
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", owner="bpe"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts)], names=["doc_id", "ids"])
 
@@ -401,7 +401,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", owner="bpe"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts), pa.array(own.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -415,7 +415,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "ids"):
+        for batch in batches_of(batches, "ids", owner="bpe"):
             given = batch.column("ids")
             counts = np.array([x or 0 for x in pa.compute.list_value_length(given).to_pylist()], np.int64)
             decoded = own.decode(given.flatten().to_numpy(zero_copy_only=False), counts)

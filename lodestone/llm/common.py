@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, drop
 
-__all__ = ["WORD", "batches_of", "columns_of", "components", "cut", "drop", "packed", "per_batch", "shuffles", "table", "text_bytes"]
+__all__ = ["WORD", "batches_of", "columns_of", "components", "cut", "drop", "held", "packed", "per_batch", "shuffles", "table", "text_bytes"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,8 +43,26 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that their column holds about limit bytes at most."""
+#: What operators keep in this Python worker from task to task.
+HELD: dict[str, dict] = {}
+
+
+def held(owner: str | None) -> dict:
+    """The owner's dict, kept from task to task. A worker serves all stages of an application, so those of other owners are emptied
+    and their memory is given back to the system."""
+    for name, own in HELD.items():
+        if name != owner and own:
+            own.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)  # glibc has it
+    return HELD.setdefault(owner, {}) if owner else {}
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their column holds about limit bytes at most. owner: whose held() stay."""
+    held(owner)
     for batch in batches:
         size = max(1, batch.column(column).nbytes)
         rows = max(1, batch.num_rows * limit // size)
@@ -64,8 +85,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
     component is the smallest node that is reachable. Alternates the large-star and small-star steps until the edges no
     longer change: rounds grow with the logarithm of the longest path, each round's edges are written to the checkpoint
-    folder and the round's before are deleted, and minima are combined before the shuffle, so a node with very many links is
-    no hot key (the joins are plain shuffle joins whose skewed partitions AQE splits). Null ends are ignored; an edgeless input gives no rows.
+    folder and the round's before are deleted. Minima are combined before the shuffle; the joins move pairs of longs, and after the
+    first round a node with very many links has them as one star, two longs a link. Null ends are ignored; an edgeless input gives no rows.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
     e = cut(e.where("_u is not null and _v is not null and _u <> _v").select("a", "b").distinct())
@@ -76,11 +97,10 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
             break
         seen = (now["n"], now["h"])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # minima are written before the joins: a join of two plain shuffles is one that AQE can split at a hot node
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, e = e, cut(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
-        drop(old, least, large, lower)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, e = e, cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        drop(old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -13,18 +13,22 @@ tree. A node stores the bits that all below it share and that no ancestor has st
 adds up the differing bits on the way and drops a whole group once they exceed the distance; that loses no link. Links
 within a task are merged at once, and the task returns one edge per fingerprint to its local group's smallest, not pairs.
 
-NearCopies is the pipeline's stage: five-word shingles, a distance as wide as a Jaccard similarity of 0.8 needs, and an exact
-check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, so its
-buckets are shingles instead: with the shingles of all texts in one order (common ones last), two sets of similarity 0.8 or
-more always share one of their first n - ceil(0.8 n) + 1. Texts of a bucket whose sizes allow the similarity and whose
-fingerprints link are candidates; each connected set of candidates is compared in a task of its own (in blocks that meet
-pairwise above a limit), where a pair's shingle sets are intersected unless it is merged already. Only the distance can lose
-a pair, and rarely does (README, Limits).
+NearCopies is the pipeline's stage: five-word shingles, distances as wide as a Jaccard similarity of 0.8 needs, and an exact
+check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, and no
+upper node prunes, so its buckets are shingles instead, compared flat: with the shingles of all texts in one order (common
+ones last), two sets of similarity 0.8 or more always share one of their first n - ceil(0.8 n) + 1. Texts of a bucket whose
+sizes allow the similarity and whose fingerprints link, by 64 bits and by 128, are candidates; each connected set of candidates
+is compared in a task of its own, where a pair's shingle sets are intersected unless it is merged already. A set of more than
+a block's texts is cut into blocks: all are compared with its hubs, a few of its texts, first, and then only those that hubs
+did not put into the set's largest group with all blocks. So near copies of one text, however many, cost work in proportion. At a similarity of 0.8 a bit differs with a probability of 0.15, of short texts 0.2; the limits,
+24 of 64 and 44 of 128, are 3.5 to 6 standard deviations above. Two unrelated texts are within the second one in 1 of 4,000
+cases, so sets of candidates don't run together. Only the distances can lose a pair, and rarely do (README, Limits).
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text shorter than a shingle is one
 shingle; a null doc_id is never a component_id unless its whole group has none; repeated rows are copies; an empty table
 gives no rows; extra columns are ignored by fingerprints() and near_duplicates() and kept by deduplicated() and
-NearCopies.deduplicated(), which takes texts of the same words, apart from ASCII case, for copies (by a 64-bit hash).
+NearCopies.deduplicated(), which takes texts of the same words, apart from ASCII case, for copies (by a 128-bit hash). doc_id may be
+of any type that has an order, other columns of any type.
 """
 
 from __future__ import annotations
@@ -36,32 +40,52 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lodestone.llm.common import components, cut, per_batch, shuffles, text_bytes
+from lodestone.llm.common import columns_of, components, cut, drop, held, per_batch, shuffles, text_bytes
 
 FAN_OUT = 16
 
 
-def simhash(text: bytes, shingle: int = 4) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 values of a text's shingles in their order, repeats included; of fewer words all are one shingle, none have none."""
     words = text.lower().split()  # on bytes both touch ASCII only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, total, m = xxhash.xxh64_digest, np.zeros(64, np.int64), n - shingle + 1
+    digest, m = xxhash.xxh64_digest, n - shingle + 1
     first, last = starts[:m].tolist(), ends[shingle - 1 :].tolist()
-    for i in range(0, m, 1 << 15):
-        hashes = b"".join([digest(whole[a:b], 42) for a, b in zip(first[i : i + (1 << 15)], last[i : i + (1 << 15)], strict=True)])
-        total += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > m).tobytes(), "big")
+    return np.frombuffer(b"".join([digest(whole[a:b], 42) for a, b in zip(first, last, strict=True)]), ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero of none."""
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        total += np.unpackbits(hashes[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for each hash."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(32))
+
+
+def simhash(text: bytes, shingle: int = 4) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,14 +231,20 @@ def near_duplicates(docs: DataFrame, method: SimHash = SimHash()) -> DataFrame:
     marked = cut(fingerprints(docs, method.shingle))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = cut(method.groups(fps.select("fp")))
-    least = groups.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(groups.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that AQE can split the next join at a large group
     group_of = groups.join(least, "root").select("fp", "component_id")
     return marked.join(group_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_of(docs: DataFrame) -> Column:
+    """A hash that tells rows of one doc_id apart; JSON takes columns of any type, also those that can't be hashed."""
+    rest = [c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name not in ("doc_id", "text")]
+    return F.xxhash64("text", F.to_json(F.struct(*rest))) if rest else F.xxhash64("text")
+
+
 def deduplicated(docs: DataFrame, method: SimHash = SimHash()) -> DataFrame:
     """docs' own columns: of each group the document with the smallest doc_id (nulls last); of repeated rows one."""
-    named = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("_row"))
+    named = docs.select("doc_id", "text", row_of(docs).alias("_row"))
     marked = cut(fingerprints(named, method.shingle, ("doc_id", "_row")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     fps = cut(marked.groupBy("fp").agg(first.alias("first")))
@@ -223,11 +253,11 @@ def deduplicated(docs: DataFrame, method: SimHash = SimHash()) -> DataFrame:
 
 
 def of_keys(docs: DataFrame, keys: DataFrame, *keep: str) -> DataFrame:
-    """(_doc, *keep): docs' rows whose doc_id and hash (_row) are among keys, with the keys' columns; of repeated rows one."""
+    """(_doc, *keep): docs' rows whose doc_id and row_of() (_row) are among keys, with the keys' columns; of repeated rows one."""
     # keys without nulls: the join and the window then need one and the same shuffle of the texts
-    names = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_row"]
+    names = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), "_row"]
     keys = keys.select(F.col("doc_id").alias("_id"), "_row", *keep).select(*names, *keep)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row")).select("_doc", *names)
+    whole = docs.select(F.struct(*columns_of(docs)).alias("_doc"), F.col("doc_id").alias("_id"), row_of(docs).alias("_row")).select("_doc", *names)
     out = whole.join(keys, ["_none", "_id", "_row"], "inner" if keep else "left_semi")
     one = F.row_number().over(W.partitionBy("_none", "_id", "_row").orderBy(F.lit(1)))
     return out.withColumn("_n", one).where("_n = 1").select("_doc", *keep)
@@ -235,16 +265,20 @@ def of_keys(docs: DataFrame, keys: DataFrame, *keep: str) -> DataFrame:
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The XXH64 values of a text's different shingles, ascending."""
-    words = text.lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    hashes = b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)])
-    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which values of one ascending array are in another."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
 
 @dataclass(frozen=True)
 class NearCopies:
     shingle: int = 5
     distance: int = 24
+    #: The same for 128 bits: these 64 and 64 others.
+    wide_distance: int = 44
     #: Similarity as a fraction of whole numbers, so that its bounds are exact.
     similar: tuple[int, int] = (4, 5)
     #: Shingles in over one of so many documents of a sample come last in the order.
@@ -253,6 +287,8 @@ class NearCopies:
     max_common: int = 100_000
     block_texts: int = 1024
     block_bytes: int = 16 << 20
+    #: Texts of a set of several blocks with which all others are compared first.
+    hubs: int = 16
 
     def common_shingles(self, docs: DataFrame) -> np.ndarray:
         """Up to max_common of the most common shingles, ascending; which these are changes the work, not the outcome."""
@@ -268,44 +304,50 @@ class NearCopies:
         return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
     def described(self, docs: DataFrame, common: np.ndarray) -> DataFrame:
-        """(doc_id, _row, node, fp, size, first): a hash of the words, the fingerprint, the shingle set's size and its first shingles."""
+        """(doc_id, _row, words, fp, fp2, size, first): a 128-bit hash of the words, the fingerprint and 64 more bits, the shingle set's size and its first shingles."""
         k, (above, below) = self.shingle, self.similar
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, fps, sizes, firsts = [], [], [], []
+            words, fps, others, sizes, firsts = [], [], [], [], []
             for t in text_bytes(batch.column("text")):
-                own = shingle_set(t, k)
+                hashes = shingle_hashes(t, k)
+                own = np.unique(hashes)
                 n = len(own) - (above * len(own) + below - 1) // below + 1 if len(own) else 0
-                often = np.isin(own, common)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 0))
-                fps.append(simhash(t, k))
+                often = shared(own, common)
+                words.append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
+                fps.append(majority(hashes))
+                others.append(majority(mixed(hashes)))
                 sizes.append(len(own))
                 firsts.append(np.concatenate([own[~often], own[often]])[:n].view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)])
             first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps, sizes)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *numbers, first], names=["doc_id", "_row", "node", "fp", "size", "first"])
+            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others, sizes)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(words, pa.binary()), *numbers, first], names=["doc_id", "_row", "words", "fp", "fp2", "size", "first"])
+
+        named = docs.select("doc_id", "text", row_of(docs).alias("_row"))
+        schema = T.StructType([named.schema["doc_id"], T.StructField("_row", T.LongType()), T.StructField("words", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("fp", "fp2", "size")), T.StructField("first", T.ArrayType(T.LongType()))])
+        return named.mapInArrow(per_batch(run), schema)
 
-        named = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("_row"))
-        longs = [T.StructField(x, T.LongType()) for x in ("_row", "node", "fp", "size")]
-        return named.mapInArrow(per_batch(run), T.StructType([named.schema["doc_id"], *longs, T.StructField("first", T.ArrayType(T.LongType()))]))
+    def close(self, fps: tuple[np.ndarray, np.ndarray], size: np.ndarray, a, b) -> np.ndarray:
+        """Whether the fingerprints link and the sizes allow the similarity, for positions a and b."""
+        above, below = self.similar
+        near = np.bitwise_count(fps[0][a] ^ fps[0][b])
+        wide = near + np.bitwise_count(fps[1][a] ^ fps[1][b])
+        return (near <= self.distance) & (wide <= self.wide_distance) & (np.minimum(size[a], size[b]) * below >= np.maximum(size[a], size[b]) * above)
 
     def candidates(self, texts: DataFrame) -> DataFrame:
         """Edges (u, v) between nodes that share a first shingle and whose sizes and fingerprints allow the similarity; enough to connect all such."""
-        distance, (above, below) = self.distance, self.similar
-        near = 64
+        close, near = self.close, 64
 
-        def close(fp: np.ndarray, size: np.ndarray, a, b) -> np.ndarray:
-            return (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (np.minimum(size[a], size[b]) * below >= np.maximum(size[a], size[b]) * above)
-
-        def link(h: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        def link(h: np.ndarray, node: np.ndarray, fps: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             out, starts = [], np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             lengths = np.diff(np.append(starts, len(h)))
             for start, n in zip(starts[lengths > near].tolist(), lengths[lengths > near].tolist(), strict=True):
-                parent, f, z = np.arange(n), fp[start : start + n], size[start : start + n]
-                at = np.arange(n)
+                own, z, at = tuple(f[start : start + n] for f in fps), size[start : start + n], np.arange(n)
+                parent = at.copy()
                 for i in range(n - 1):
-                    hit = at[i + 1 :][close(f, z, i, at[i + 1 :])]
+                    others = at[i + 1 :][parent[i + 1 :] != parent[i]]  # what is connected already needs no other edge
+                    hit = others[close(own, z, i, others)]
                     parent = merge(parent, hit, np.full(len(hit), i))
                 joined = np.flatnonzero(parent != at)
                 out.append((node[start + joined], node[start + parent[joined]]))
@@ -316,11 +358,12 @@ class NearCopies:
                 if not same.any():
                     break
                 a, b = a[same], b[same]
-                hit = close(fp, size, a, b)
+                hit = close(fps, size, a, b)
                 out.append((node[a[hit]], node[b[hit]]))
             return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held(None)
             rest: list[list[np.ndarray]] = []
             for batch in itertools.chain(batches, [None]):
                 if batch is not None and not batch.num_rows:
@@ -331,57 +374,93 @@ class NearCopies:
                         continue  # one shingle so far, and perhaps beyond
                 if not rest:
                     continue
-                h, node, fp, size = (np.concatenate(c) for c in zip(*rest, strict=True))
+                columns = [np.concatenate(c) for c in zip(*rest, strict=True)]
+                h, node, fp, fp2, size = columns
                 end = len(h) if batch is None else int(np.flatnonzero(h != h[-1])[-1]) + 1
-                rest = [[c[end:] for c in (h, node, fp, size)]] if end < len(h) else []
-                pairs = link(h[:end], node[:end], fp[:end].view(np.uint64), size[:end])
+                rest = [[c[end:] for c in columns]] if end < len(h) else []
+                pairs = link(h[:end], node[:end], (fp[:end].view(np.uint64), fp2[:end].view(np.uint64)), size[:end])
                 if pairs:
                     edges = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["u", "v"])
 
-        sent = texts.select(F.explode("first").alias("h"), "node", "fp", "size").repartition("h").sortWithinPartitions("h")
+        sent = texts.select(F.explode("first").alias("h"), "node", "fp", "fp2", "size").repartition("h").sortWithinPartitions("h")
         return sent.mapInArrow(run, "u long, v long").distinct()
 
     def merged(self, docs: DataFrame, texts: DataFrame) -> DataFrame:
         """(node, component) of every text that is linked with another: pairs of candidates at the similarity or more."""
-        k, distance, (above, below) = self.shingle, self.distance, self.similar
         parts = cut(components(self.candidates(texts), "u", "v"))
-        keys = texts.join(parts, "node").select("first_row.doc_id", "first_row._row", "node", "component", "fp")
-        rows = cut(of_keys(docs, keys, "node", "component", "fp").select("node", "component", "fp", "_doc.text"))
-        subs = F.ceil(F.greatest(F.count("*") / self.block_texts, F.sum(F.length("text")) / self.block_bytes, F.lit(1.0))).cast("int")
-        sent = rows.join(rows.groupBy("component").agg(subs.alias("subs")), "component").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("subs")).cast("int"))
-        sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        sent = sent.select("component", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node", "fp", "text")
-
-        def link(table: pa.Table) -> pa.Table:
-            node, fp, sub = (table.column(c).to_numpy() for c in ("node", "fp", "sub"))
-            fp, i, j = fp.view(np.uint64), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            own = [shingle_set(t, k) for t in text_bytes(table.column("text"))]
-            size = np.array([len(x) for x in own])
-            sets = [frozenset(x.tolist()) for x in own]
-            parent = np.arange(len(node))
-            for a in np.flatnonzero(sub == i).tolist():
-                others = np.flatnonzero((sub == j) & (np.arange(len(node)) > (a if i == j else -1)))
-                fits = (np.bitwise_count(fp[a] ^ fp[others]) <= distance) & (np.minimum(size[a], size[others]) * below >= np.maximum(size[a], size[others]) * above)
-                for b in others[fits].tolist():
+        own = ("node", "fp", "fp2", "size")
+        keys = texts.join(parts, "node").select("first_row.doc_id", "first_row._row", "component", *own)
+        rows = cut(of_keys(docs, keys, "component", *own).select("component", *own, "_doc.text"))
+        blocks = F.ceil(F.greatest(F.count("*") / self.block_texts, F.sum(F.length("text")) / self.block_bytes, F.lit(1.0))).cast("int")
+        sizes = cut(rows.groupBy("component").agg(blocks.alias("subs"), F.count("*").alias("n")))
+        placed = rows.join(sizes, "component").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("subs")).cast("int"))
+        spread = shuffles(docs.sparkSession)  # not fewer: work per row is more than its bytes tell
+        # a set of one block is compared whole; of a larger one every text with a few texts of the set, its hubs (about as many as asked for)
+        share = F.xxhash64("node", F.lit(9)) / F.lit(2.0**64) + 0.5
+        hubs = placed.where("subs > 1").where(share <= F.lit(float(self.hubs)) / F.col("n"))
+        first = placed.select("component", "sub", "subs", F.lit(False).alias("hub"), *own, "text").unionByName(hubs.select("component", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "subs", F.lit(True).alias("hub"), *own, "text"))
+        link = self.linking()
+
+        def with_hubs(table: pa.Table) -> pa.Table:
+            hub, n = table.column("hub").to_numpy(zero_copy_only=False), table.num_rows
+            left, right = (np.flatnonzero(hub), np.flatnonzero(~hub)) if table.column("subs")[0].as_py() > 1 else (np.arange(n), np.arange(n))
+            return link(table, left, right, np.arange(n))
+
+        edges = cut(first.repartition(spread, "component", "sub").groupBy("component", "sub").applyInArrow(with_hubs, "u long, v long"))
+        big = placed.where("subs > 1").select("component", "sub", "subs", *own, "text")
+        if big.isEmpty():
+            return components(edges, "u", "v")
+        # what the hubs haven't put into the set's largest group is compared with all of the set, block by block
+        roots = components(edges, "u", "v").withColumnRenamed("component", "root")
+        big = cut(big.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        main = cut(big.groupBy("component", "root").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+        rest = cut(big.join(main, "component").where("root <> main").drop("main"))
+        others = rest.groupBy("component").agg(blocks.alias("others"))
+        visits = rest.join(others, "component").withColumn("other", F.pmod(F.xxhash64("node", F.lit(8)), F.col("others")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        homes = big.join(others, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        columns = ("component", "sub", "other", *own, "text", "root")
+        second = homes.select(*columns, F.lit(True).alias("home")).unionByName(visits.select(*columns, F.lit(False).alias("home")))
+
+        def with_rest(table: pa.Table) -> pa.Table:
+            home, (_, at, group) = table.column("home").to_numpy(zero_copy_only=False), np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
+            return link(table, np.flatnonzero(~home), np.flatnonzero(home), at[group])
+
+        more = second.repartition(spread, "component", "sub", "other").groupBy("component", "sub", "other").applyInArrow(with_rest, "u long, v long")
+        return components(edges.union(more), "u", "v")
+
+    def linking(self):
+        """A function of a table of texts, two lists of positions and the groups known (smallest positions): edges that connect all pairs
+        of one position of each list that are similar and not of one group."""
+        k, close, (above, below) = self.shingle, self.close, self.similar
+
+        def link(table: pa.Table, left: np.ndarray, right: np.ndarray, parent: np.ndarray) -> pa.Table:
+            held(None)
+            node, fp, fp2, size = (table.column(c).to_numpy() for c in ("node", "fp", "fp2", "size"))
+            fps = (fp.view(np.uint64), fp2.view(np.uint64))
+            sets = [shingle_set(t, k) for t in text_bytes(table.column("text"))]
+            known = parent.copy()
+            for a in left.tolist():
+                others = right[parent[right] != parent[a]]
+                for b in others[close(fps, size, a, others)].tolist():
                     if parent[a] != parent[b]:
-                        both = len(sets[a] & sets[b])
-                        if both * below >= (len(sets[a]) + len(sets[b]) - both) * above:
+                        n = int(shared(sets[a], sets[b]).sum())
+                        if n * below >= (size[a] + size[b] - n) * above:
                             low, high = sorted((parent[a], parent[b]))
-                            parent[parent == high] = low
-            joined = np.flatnonzero(parent != np.arange(len(node)))
+                            parent = np.where(parent == high, low, parent)
+            joined = np.flatnonzero(parent != known)
             return pa.table({"u": node[joined], "v": node[parent[joined]]})
 
-        return components(sent.groupBy("component", "i", "j").applyInArrow(link, "u long, v long"), "u", "v")
+        return link
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
         """docs' own columns: of each group the document with the smallest doc_id (nulls last); of repeated rows one."""
         marked = cut(self.described(docs, self.common_shingles(docs)))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-        least = marked.groupBy("node").agg(first.alias("first_row"))
-        # a document without words has no shingle and links with its copies only
-        shapes = marked.alias("m").join(least.alias("l"), (F.col("m.node") == F.col("l.node")) & F.col("m.doc_id").eqNullSafe(F.col("l.first_row.doc_id")) & (F.col("m._row") == F.col("l.first_row._row")))
-        texts = cut(shapes.select("m.node", "m.fp", "m.size", "m.first", "l.first_row").dropDuplicates(["node"]))
+        # one row per text; a document without words has no shingle and links with its copies only
+        texts = marked.groupBy("words").agg(first.alias("first_row"), *[F.first(c).alias(c) for c in ("fp", "fp2", "size", "first")])
+        texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+        drop(marked)
         groups = texts.select("node", "first_row").join(self.merged(docs, texts), "node", "left")
         kept = groups.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first_row").alias("first"))
         return of_keys(docs, kept.select("first.*")).select("_doc.*")

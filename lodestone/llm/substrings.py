@@ -162,8 +162,9 @@ class Windows:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, size = np.zeros(self.cells, np.int32), 0
             for batch in batches_of(batches, "text"):
-                for _, raw, *words in self.groups([b" ".join(t.split()) for t in text_bytes(batch.column("text"))]):
-                    np.add.at(counts, self.cell(self.seed_hashes(*words)), 1)
+                for _, raw, buffer, starts, ends in self.groups([b" ".join(t.split()) for t in text_bytes(batch.column("text"))]):
+                    line_of, hashes = np.cumsum(buffer[ends] == 10) - (buffer[ends] == 10), self.seed_hashes(buffer, starts, ends)
+                    np.add.at(counts, self.cell(hashes[line_of[: len(hashes)] == line_of[len(line_of) - len(hashes) :]]), 1)  # of one text
                     size += len(raw)
             if size:
                 some = [c for c in range(self.cells // chunk) if counts[c * chunk : (c + 1) * chunk].any()]

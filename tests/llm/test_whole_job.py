@@ -49,7 +49,7 @@ def near_texts(seed):
     return texts + ["", "  \n", None]
 
 
-@pytest.mark.parametrize("method", [simhash.NearCopies(), simhash.NearCopies(block_texts=7, common=10**6, max_common=3), simhash.NearCopies(block_bytes=3000)])
+@pytest.mark.parametrize("method", [simhash.NearCopies(), simhash.NearCopies(block_texts=7, common=10**6, max_common=3), simhash.NearCopies(block_texts=7, hubs=1), simhash.NearCopies(block_bytes=3000)])
 def test_near_copies_equal_brute_force(spark, method):
     texts = near_texts(3)
     df = docs_of(spark, texts).repartition(3)
