@@ -57,19 +57,19 @@ class KdTree:
                 kids.append(-1)
             at += 1
         self.ids, self.x = ids[order], x[order]
-        self.start, self.end, self.kids = (np.array(v, np.int64) for v in (start, end, kids))
+        self.start, self.end, self.kids = start, end, kids
         self.low = np.stack([self.x[a:b].min(axis=0) for a, b in zip(start, end, strict=True)])
         self.high = np.stack([self.x[a:b].max(axis=0) for a, b in zip(start, end, strict=True)])
         self.least = np.array([self.ids[a:b].min() for a, b in zip(start, end, strict=True)])
 
     def written(self) -> bytes:
-        return arrays_written(*(getattr(self, name) for name in self.PARTS))
+        return arrays_written(*(np.asarray(getattr(self, name)) for name in self.PARTS))
 
     @classmethod
     def read(cls, raw: bytes) -> KdTree:
         tree = cls.__new__(cls)
         for name, part in zip(cls.PARTS, arrays_read(raw), strict=True):
-            setattr(tree, name, part)
+            setattr(tree, name, part.tolist() if part.ndim == 1 and name not in ("ids", "least") else part)
         return tree
 
     def fitting(self, q: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ class KdTree:
 
     def promising(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
         """The k best scores in the leaf whose box allows the largest one, for each query."""
-        leaves = np.flatnonzero(self.kids < 0)
+        leaves = np.flatnonzero(np.asarray(self.kids) < 0)
         best = leaves[self.bounds(q)[:, leaves].argmax(axis=1)]
         for i, leaf in enumerate(best.tolist()):
             a, b = self.start[leaf], self.end[leaf]
@@ -104,7 +104,7 @@ class KdTree:
                 full = len(found) == k
                 if full and -bound == found[0][0] and -self.least[node] <= found[0][1]:
                     continue
-                kid = int(self.kids[node])
+                kid = self.kids[node]
                 if kid >= 0:
                     for c in (kid, kid + 1):
                         if mine[c] >= least:
