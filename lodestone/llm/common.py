@@ -85,8 +85,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
     component is the smallest node that is reachable. Alternates the large-star and small-star steps until the edges no
     longer change: rounds grow with the logarithm of the longest path, each round's edges are written to the checkpoint
-    folder and the round's before are deleted. Minima are combined before the shuffle; the joins move pairs of longs, and after the
-    first round a node with very many links has them as one star, two longs a link. Null ends are ignored; an edgeless input gives no rows.
+    folder and the round's before are deleted, and minima are combined before the shuffle, so a node with very many links is
+    no hot key (the joins are plain shuffle joins whose skewed partitions AQE splits). Null ends are ignored; an edgeless input gives no rows.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
     e = cut(e.where("_u is not null and _v is not null and _u <> _v").select("a", "b").distinct())
@@ -97,7 +97,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
             break
         seen = (now["n"], now["h"])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # the node of each minimum is named anew: the join then has a shuffle of its own on both sides, which AQE can split at a hot node
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not(F.bitwise_not("a")).alias("a"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
