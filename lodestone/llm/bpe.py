@@ -49,6 +49,8 @@ STRIDE = 64
 RESTART = 4096
 #: A worker forgets its pieces beyond this number, or beyond so many characters.
 PIECES, PIECES_CHARS = 300_000, 50 << 20
+#: A worker remembers the ids of contracted words (of LONG bytes at most): so many that were used lately, and as many from before.
+WORDS = 120_000
 #: Rows for one query: bytes of words, ids to decode. A query of words also gets so many rows times bytes of its longest word at most.
 STEP_ROWS, STEP_WORK = 150_000, 2_000_000
 #: Characters of a text that are worked on at a time.
@@ -130,6 +132,8 @@ class Codec:
         # the ids of piece k are flat[begin[k] : begin[k + 1]]
         self.flat, self.begin, self.uses = NOTHING, np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.chars = 0
+        self.words: dict[bytes, bytes] = {}  # ids as bytes
+        self.words_before: dict[bytes, bytes] = {}
 
     def forget_rare(self) -> None:
         """Keep the pieces used more than once since they were learnt or last counted, at most half of the bound."""
@@ -244,15 +248,38 @@ class Codec:
         raw = [w.encode() for w in words]
         whole = np.array([self.ranks.get(w, -1) for w in raw], np.int32)
         rest = np.flatnonzero(whole < 0)
-        which, sizes, flat = self.contract([raw[i] for i in rest.tolist()])
+        found = self.word_ids([raw[i] for i in rest.tolist()])
         size, begin = np.ones(len(raw), np.int64), np.arange(len(raw))
-        size[rest[which]], begin[rest[which]] = sizes, len(raw) + np.cumsum(sizes) - sizes
-        flat, sizes = taken(np.concatenate((whole, flat)), begin, size, np.array(parts, np.int64))
+        size[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin[rest] = len(raw) + np.cumsum(size[rest]) - size[rest]
+        flat, sizes = taken(np.concatenate((whole, np.frombuffer(b"".join(found), np.int32))), begin, size, np.array(parts, np.int64))
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
         self.flat, self.begin = np.concatenate((self.flat, flat)), np.concatenate((self.begin, self.begin[-1] + ends))
         self.uses = np.concatenate((self.uses, np.zeros(len(pieces), np.int64)))
         self.chars += sum(map(len, pieces))
 
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        found = list(map(self.words.get, words))
+        new = []
+        for i, (word, ids) in enumerate(zip(words, found, strict=True)):
+            if ids is None:
+                ids = self.words_before.get(word)
+                if ids is None:
+                    new.append(i)
+                else:
+                    found[i] = self.words[word] = ids
+        which, sizes, flat = self.contract([words[i] for i in new])
+        data, ends = flat.astype(np.int32).tobytes(), 4 * np.cumsum(sizes)
+        for k, a, b in zip(which.tolist(), (ends - 4 * sizes).tolist(), ends.tolist(), strict=True):
+            i = new[k]
+            found[i] = data[a:b]
+            if len(words[i]) <= LONG:
+                self.words[words[i]] = found[i]
+        if len(self.words) > WORDS:
+            self.words_before, self.words = self.words, {}
+        return found
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the number of ids of each text."""
         ids, counts, group, size = [NOTHING], np.zeros(len(texts), np.int64), [], 0
