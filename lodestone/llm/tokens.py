@@ -25,7 +25,7 @@ from lodestone.llm.bpe import default_path
 from lodestone.llm.common import cut, per_batch
 
 #: So many lengths share a block of the running sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 @functools.cache
