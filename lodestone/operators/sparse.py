@@ -40,6 +40,21 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def invert(table: pa.Table) -> pa.Table:
+    """applyInArrow on a block of chunks (block, slot, dl, words): a row (block, term, hits) per term."""
+    table = table.combine_chunks()
+    words = table.column("words").combine_chunks()
+    coded = pc.dictionary_encode(words.flatten())
+    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * table.num_rows + row, return_counts=True)
+    term, row = np.divmod(cell, table.num_rows)
+    ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+    slot, dl = (table.column(c).to_numpy()[row].astype(np.int32) for c in ("slot", "dl"))
+    flat = pa.StructArray.from_arrays([pa.array(slot), pa.array(tf.astype(np.int32)), pa.array(dl)], names=["slot", "tf", "dl"])
+    block = np.full(len(coded.dictionary), table.column("block")[0].as_py(), np.int64)
+    return pa.table({"block": pa.array(block), "term": coded.dictionary, "hits": pa.ListArray.from_arrays(pa.array(ends), flat)})
+
+
 @dataclass(frozen=True)
 class SparseIndex:
     """lengths(block, slot, chunk_id, paper, page, position, dl): chunks by blocks, and their places there;
@@ -66,9 +81,9 @@ class SparseIndex:
         blocks = max(1, -(-words.count() // BLOCK_CHUNKS))
         slot = (F.row_number().over(W.partitionBy("block").orderBy("chunk_id", *ORDER)) - 1).cast("int")
         placed = cut(words.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn("slot", slot))
-        counted = placed.select("block", "slot", "dl", F.explode("words").alias("term")).groupBy("block", "slot", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        hits = counted.groupBy("block", "term").agg(F.collect_list(F.struct("slot", "tf", "dl")).alias("hits"))
-        hits = cut(hits.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "hits"))
+        spread = placed.select("block", "slot", "dl", "words").repartition(shuffles(chunks.sparkSession), "block")
+        inverted = spread.groupBy("block").applyInArrow(invert, "block long, term string, hits array<struct<slot:int,tf:int,dl:int>>")
+        hits = cut(inverted.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "hits"))
         index = cls(cut(placed.drop("words")), hits, cut(weigh(hits, corpus, okapi)), corpus, okapi)
         drop(words, placed)
         return index
