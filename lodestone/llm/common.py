@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestone.session import cut, drop
 
-__all__ = ["WORD", "batches_of", "columns_of", "components", "cut", "drop", "held", "packed", "per_batch", "shuffles", "table", "text_bytes"]
+__all__ = ["WORD", "batches_of", "columns_of", "components", "cut", "drop", "held", "in_order", "numbered", "packed", "per_batch", "shuffles", "table", "text_bytes"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,33 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "tex
     return run
 
 
+#: Bits of a place in in_order() that count the rows of one partition; the others number the partitions.
+PLACE_BITS = 33
+
+
+def in_order(df: DataFrame, order: list[Column], place: str = "_place") -> DataFrame:
+    """The rows sorted by the keys, written once, with their place: a long that rises along the order, with gaps between partitions.
+
+    Rows are dealt by ranges of the keys, and of rows with equal keys by where they came from, so that no key, however frequent,
+    goes to one task. Rows of equal keys are in any order. The place is written with the row: a lost executor can't change it.
+    """
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    keys = [*order, F.col("_salt")]
+    return cut(salted.repartitionByRange(shuffles(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("_salt").withColumn(place, F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, order: list[Column], number: str) -> DataFrame:
+    """The rows with their number (long, from 0, gapless) in the order of the keys. No task holds more than a partition; the partitions' counts
+    (a row each) are summed up in one."""
+    placed = in_order(df, order)
+    part = F.shiftright("_place", PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    # as many rows as partitions
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(number, F.col("_before") + own).drop("_part", "_before", "_place")
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components of undirected edges between longs: one row (node, component) per node of an edge.
 

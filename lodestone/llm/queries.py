@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embeddings, mixing, quality, secrets, simhash, substrings, tokens, topk, urls
+from lodestone.llm import bpe, conversations, embeddings, lexical, mixing, quality, secrets, sharding, simhash, substrings, tokens, topk, urls
 from lodestone.llm.common import cut, table
 
 
@@ -56,5 +56,23 @@ def op10_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.TopK().search(vectors.where("vec_id % 50 = 0"), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_grammar, op3_url_redirects, op4_embedding_pq, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op8_token_histogram, op9_simhash_gray, op10_kdtree_topk)}
-SQL = {"op3_url_redirects": urls.SQL, "op4_embedding_pq": embeddings.SQL, "op5_substring_superkmer": substrings.SQL, "op7_mix_sampling": mixing.SQL, "op10_kdtree_topk": topk.SQL}
+def op11_lexical_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    found = lexical.LexicalSearch().search(items, table(spark, sf_dir, "documents"))
+    return found.select(F.col("qid").alias("item_id"), "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.size_of(text).alias("size"), sharding.crc_of(text).alias("text_crc32"))
+    placed = sharding.Shards().placed(docs, ["doc_id", "size", "text_crc32"])
+    return placed.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.Repair().repaired(conversations.damaged(rows)), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_secret_grammar, op3_url_redirects, op4_embedding_pq, op5_substring_superkmer, op6_bpe_duckdb, op7_mix_sampling, op8_token_histogram, op9_simhash_gray, op10_kdtree_topk, op11_lexical_windows, op12_feistel_shards, op13_conversation_repair)}
+SQL = {"op3_url_redirects": urls.SQL, "op4_embedding_pq": embeddings.SQL, "op5_substring_superkmer": substrings.SQL, "op7_mix_sampling": mixing.SQL, "op10_kdtree_topk": topk.SQL, "op11_lexical_windows": lexical.SQL, "op12_feistel_shards": sharding.SQL, "op13_conversation_repair": conversations.SQL}
