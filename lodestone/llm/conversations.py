@@ -361,9 +361,10 @@ def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for audit, segments in zip(batch.column("audit").to_pylist(), batch.column("segments").to_pylist(), strict=True):
             places = (s["start"] + i for s in segments for i in range(s["n"]))
             parts = by_turn(audit, sum(s["n"] for s in segments))
+            system = (len(audit) - audit.count("D")) % 2  # those of u and a are even, so an odd one is an s
             made, rows = 0, []
             for place, edits in zip(places, parts, strict=True):
-                rows.append((place, edits, made))
+                rows.append((place, edits, max(0, made - system)))
                 made += len(edits) - edits.count("D")
                 if len(rows) == 65_536:
                     yield records(fields, rows)
