@@ -5,6 +5,9 @@ histogram has as many rows as there are different lengths, whatever the corpus.
 every context limit, how many documents and tokens are within or beyond it, what is left when documents are cut at it,
 and every quantile.
 
+The library's matcher keeps a state for every character of a run of white space and gives up at some 10^6, so texts with runs of
+WHITE_RUN characters or more are encoded by op6's codec, which gives the same ids at any length.
+
 Defined cases: a null or empty text has length 0; repeated rows count as often as they occur; an empty table gives an empty
 histogram, totals 0 and null quantiles; extra columns are ignored.
 """
@@ -13,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -21,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm.bpe import default_path
+from lodestone.llm.bpe import codec, default_path
 from lodestone.llm.common import cut, per_batch
 
 #: So many lengths share a block of the running sums.
 BLOCK = 64
+#: Runs of white space of so many characters go to op6's codec.
+WHITE_RUN = 10_000
+LONG_WHITE = re.compile(rf"\s{{{WHITE_RUN}}}")
 
 
 @functools.cache
@@ -40,8 +48,14 @@ def lengths(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     path = path or default_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoding(path, pattern).encode_ordinary
-        return pa.RecordBatch.from_arrays([pa.array([len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())], names=["n_tokens"])
+        encode, texts = encoding(path, pattern).encode_ordinary, batch.column("text").to_pylist()
+        wide = [i for i, t in enumerate(texts) if t and len(t) >= WHITE_RUN and LONG_WHITE.search(t)]
+        n = np.zeros(len(texts), np.int64)
+        if wide:
+            n[wide] = codec(path, pattern).encode([texts[i] for i in wide])[1]
+        for i in set(range(len(texts))).difference(wide):
+            n[i] = len(encode(texts[i])) if texts[i] else 0
+        return pa.RecordBatch.from_arrays([pa.array(n)], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(per_batch(run), "n_tokens long")
 
