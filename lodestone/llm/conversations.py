@@ -41,6 +41,8 @@ STEPS = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 ENDS = (0, 3)
 DELETE, REROLE, INSERT, TRUNCATED = 3, 2, 2, 1
 INSERTED = {"u": "user", "a": "assistant"}
+#: The ids of at most so many long conversations are broadcast (some MB); more are joined by shuffle.
+BROADCAST_LONG = 100_000
 #: The six ASCII white-space characters.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -232,8 +234,10 @@ class Repair:
         own = own.select("*", fault.alias("fault"), F.sha2("text", 256).alias("hash"))
         sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
         long = cut(sizes.where((F.col("n") > self.long_rows) | (F.col("bytes") > self.long_bytes)).select(F.col("conv_id").alias("_long")))
-        if long.isEmpty():
+        many = long.count()
+        if not many:
             return self.short(own)
+        long = F.broadcast(long) if many <= BROADCAST_LONG else long
         there = F.col("conv_id").eqNullSafe(F.col("_long"))
         return self.short(own.join(long, there, "left_anti")).unionByName(self.spread(own.join(long, there, "left_semi")))
 
