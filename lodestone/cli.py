@@ -10,14 +10,14 @@ import argparse
 import importlib
 import os
 import sys
-import urllib.error
 
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lodestone.plans.workflow import RetrievalEngine, ask
 from lodestone.session import Settings, session
 from lodestone.sources.pages import ingest, pdf_pages
-from lodestone.sources.providers import HttpCompleter, ModelUnavailableError, local_encoder, local_scorer, missing_encoder
+from lodestone.sources.providers import HttpCompleter, ModelUnavailableError, ServiceError, local_encoder, local_scorer, missing_encoder
 from lodestone.sources.store import build_indexes, load_chunks, load_indexes, save_indexes, summary
 
 
@@ -82,9 +82,12 @@ def main(argv: list[str] | None = None) -> int:
     except ModelUnavailableError as e:
         print(e, file=sys.stderr)
         return 1
-    except (urllib.error.URLError, TimeoutError) as e:
+    except ServiceError as e:
         print(f"completion service unavailable: {e}", file=sys.stderr)
         return 1
+    except PythonException as e:  # an injected model without attempt() failed on an executor: its traceback's last line
+        print(f"a model failed: {[line.strip() for line in str(e).splitlines() if line.strip()][-1]}", file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

@@ -30,12 +30,18 @@ def rerank(queries: DataFrame, candidates: DataFrame, scorer: Callable[[Column,
     """queries (qid, query), candidates (qid, fused_rank, text, ...) -> candidates with score and rank.
 
     A candidate's score is its best over the qid's non-blank queries. scorer(query, text) is a column: an expression or a
-    pandas UDF, which gives as many scores as it gets pairs or fails. Ties keep the candidates' order.
+    pandas UDF, which gives as many scores as it gets pairs or fails. Ties keep the candidates' order. A scorer that has an attempt() is
+    asked by that: the candidates then have a column error, null where there is none, and those without a score stay, ranked last.
     """
     asked = queries.select("qid", clean_text(F.col("query")).alias("query")).where("query <> ''")
     pairs = candidates.drop("score").join(asked, "qid")
     keys = [c for c in candidates.columns if c != "score"]
-    best = pairs.withColumn("score", scorer(F.col("query"), F.col("text")).cast("double")).groupBy(*keys).agg(F.max("score").alias("score"))
+    attempt = getattr(scorer, "attempt", None)
+    if attempt is None:
+        best = pairs.withColumn("score", scorer(F.col("query"), F.col("text")).cast("double")).groupBy(*keys).agg(F.max("score").alias("score"))
+    else:
+        tried = pairs.withColumn("tried", attempt(F.col("query"), F.col("text")))
+        best = tried.groupBy(*keys).agg(F.max("tried.score").alias("score"), F.max("tried.error").alias("error"))
     return top_k(best, ["qid"], [F.col("score").desc(), F.col("fused_rank")], 2**31 - 1)
 
 

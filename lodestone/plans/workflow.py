@@ -6,6 +6,7 @@ retries runs on the driver and looks at no data but whether any question goes on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from lodestone.plans.coverage import route_after_research, route_after_verificat
 from lodestone.plans.planning import RETRIEVERS, plan_questions
 from lodestone.schema import EVIDENCE, ORDER, PLAN, VERIFICATION
 from lodestone.session import Settings, cut
-from lodestone.sources.providers import Completer, Encoder, ModelUnavailableError, Scorer
+from lodestone.sources.providers import Completer, Encoder, ModelUnavailableError, Scorer, ServiceError, encodings
 from lodestone.sources.store import Indexes
 
 PER_QUERY, MAX_CANDIDATES = 8, 30
@@ -36,6 +37,10 @@ class PlanError(ValueError):
     """A model's answer that breaks its contract."""
 
 
+#: What stopped a question: the step, whether the service gave no answer (service) or one that breaks its contract (contract), and what was wrong.
+ERROR = "struct<step:string,kind:string,message:string>"
+
+
 @dataclass(frozen=True)
 class RetrievalEngine:
     """chunks (chunk_id, paper, page, position, text), their indexes, and the encoder of queries."""
@@ -52,7 +57,7 @@ class RetrievalEngine:
         """queries (qid, text) -> (qid, rank, chunk_id, score)."""
         if self.encoder is None:
             raise ModelUnavailableError("no encoder given for queries")
-        encoded = self.encoder(queries.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "embedding")
+        encoded = encodings(self.encoder, queries.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "embedding")
         placed = self.indexes.vectors.join(self.chunks.select(F.col("chunk_id").alias("id"), *ORDER), "id")
         order = F.struct(*ORDER, F.col("id").alias("chunk_id"))  # ties in reading order
         found = dense.search_many(encoded, placed.select(order.alias("id"), "embedding"), self.top_k)
@@ -103,7 +108,13 @@ def research(states: DataFrame, engine: RetrievalEngine, settings: Settings, sco
     queries = asked_queries(states)
     fused = reciprocal_rank_fusion(engine.rank_lists(queries)).where(F.col("fused_rank") <= MAX_CANDIDATES)
     found = fused.select("qid", "fused_rank", "chunk_id").join(engine.chunks.select("chunk_id", "paper", "page", "text"), "chunk_id")
-    scored = reranker(queries.select("qid", "query"), found, scorer).where(F.col("score") >= settings.min_rerank_score)
+    scored = reranker(queries.select("qid", "query"), found, scorer)
+    if "error" in scored.columns:
+        scored = cut(scored)
+        bad = scored.where("error is not null").select("error").head()
+        if bad is not None:
+            raise ModelUnavailableError(f"the scorer failed: {bad['error']}")
+    scored = scored.where(F.col("score") >= settings.min_rerank_score)
     new = scored.select("qid", F.col("rank").alias("slot"), "chunk_id", "paper", "page", "text", "score")
     old = states.select("qid", F.posexplode("evidence").alias("slot", "e")).select("qid", "slot", "e.*")
     merged = merge_evidence(old, new).where(F.col("score") >= settings.min_rerank_score).withColumnRenamed("merged_slot", "slot")
@@ -123,39 +134,68 @@ def concluded(rows: DataFrame) -> DataFrame:
 
 
 def answered(states: DataFrame, completer: Completer, node: str, turn: int, prompt: Column) -> DataFrame:
+    """states with payload, and unanswered: why there is none, if the completer tells (has an attempt()). Written at once: what follows
+    reads the answers more than once, and an error is not kept, so it could become an answer in between."""
     asked = states.select(F.col("qid"), F.lit(node).alias("node"), F.lit(turn).alias("round"), prompt.alias("prompt"))
-    return states.join(completer.complete(asked), "qid")
+    attempt = getattr(completer, "attempt", None)
+    got = attempt(asked).withColumnRenamed("error", "unanswered") if attempt else completer.complete(asked).withColumn("unanswered", F.lit(None).cast("string"))
+    return cut(states.join(got, "qid"))
+
 
+def settled(states: DataFrame, node: str, error: str) -> DataFrame:
+    """states with error (a struct or null) instead of the step's own columns."""
+    fault = F.when(F.col("unanswered").isNotNull(), F.struct(F.lit(node).alias("step"), F.lit("service").alias("kind"), F.col("unanswered").alias("message")))
+    fault = fault.when(F.col(error).isNotNull(), F.struct(F.lit(node).alias("step"), F.lit("contract").alias("kind"), F.col(error).alias("message")))
+    return cut(states.withColumn("_fault", fault).drop(error, "payload", "unanswered").withColumnRenamed("_fault", "error"))
 
-def checked(states: DataFrame, error: str) -> DataFrame:
-    """states without the error column, if no row has an error."""
-    bad = states.where(F.col(error).isNotNull()).select("qid", error).head()
+
+def raised(states: DataFrame) -> None:
+    bad = states.where("error is not null").select("qid", "error").head()
     if bad is not None:
-        raise PlanError(f"question {bad['qid']}: {bad[error]}")
-    return states.drop(error, "payload")
+        kind = ServiceError if bad["error"]["kind"] == "service" else PlanError
+        raise kind(f"question {bad['qid']}, {bad['error']['step']}: {bad['error']['message']}")
 
 
 def ask(questions: DataFrame, engine: RetrievalEngine, settings: Settings, completer: Completer | None, scorer: Scorer | None, reranker: Reranker = rerank) -> DataFrame:
-    """questions (qid, question) -> states with answers."""
+    """questions (qid, question) -> states with answers. The first question that a step fails for raises, before the next step asks anything."""
+    return answers(questions, engine, settings, completer, scorer, reranker, raised).drop("error")
+
+
+def ask_each(questions: DataFrame, engine: RetrievalEngine, settings: Settings, completer: Completer | None, scorer: Scorer | None, reranker: Reranker = rerank) -> DataFrame:
+    """questions (qid, question) -> states with answers and error. A question that a step fails for ends there, with an empty answer; the others go on."""
+    return answers(questions, engine, settings, completer, scorer, reranker, lambda states: None)
+
+
+def answers(questions: DataFrame, engine: RetrievalEngine, settings: Settings, completer: Completer | None, scorer: Scorer | None, reranker: Reranker, check: Callable[[DataFrame], None]) -> DataFrame:
     if completer is None:
         raise ValueError("a completer is required")
     if scorer is None and reranker is rerank:
         raise ModelUnavailableError(f"no scorer given for {settings.reranker_model!r}")
-    states = answered(initial_states(questions).drop("plan"), completer, "planner", 0, prompts.planner(F.col("question")))
-    active = checked(cut(plan_questions(states)), "plan_error")
-    done = None
+    ended: list[DataFrame] = []
+
+    def going(states: DataFrame, node: str, error: str) -> DataFrame:
+        done = settled(states, node, error)
+        check(done)
+        ended.append(done.where("error is not null").withColumn("answer", F.lit("")))
+        return done.where("error is null").drop("error")
+
+    asked = initial_states(questions)
+    blank = asked.schema["plan"].dataType
+    planned = plan_questions(answered(asked.drop("plan"), completer, "planner", 0, prompts.planner(F.col("question"))))
+    active = going(planned.withColumn("plan", F.when(F.col("plan_error").isNull(), F.col("plan")).otherwise(F.lit(None).cast(blank))), "planner", "plan_error")
+    ready: list[DataFrame] = []
     for turn in range(settings.max_retries + 1):
         active = cut(research(active, engine, settings, scorer, reranker))
         to_writer = route_after_research(F.col("stop_reason")) == "writer"
-        ready, rest = active.where(to_writer), active.where(~to_writer)
-        verified = verify(answered(rest, completer, "verifier", turn, prompts.verifier(rest)))
-        verified = checked(cut(verified), "verify_error")
+        ready.append(active.where(to_writer))
+        rest = active.where(~to_writer)
+        verified = going(verify(answered(rest, completer, "verifier", turn, prompts.verifier(rest))), "verifier", "verify_error")
         route = route_after_verification(F.col("verification.status"), F.col("verification.corrective_query"), F.col("retry_count"), settings.max_retries)
-        ready = ready.unionByName(verified.where(route == "writer"))
-        done = ready if done is None else done.unionByName(ready)
+        ready.append(verified.where(route == "writer"))
         active = verified.where(route == "researcher")
         if active.isEmpty():
             break
-    written = write(answered(cut(done), completer, "writer", 0, prompts.writer(F.col("verification"), allowed_ids(F.col("verification.covered")))))
-    return checked(cut(written), "write_error").drop("summary")
-
+    together = cut(functools.reduce(DataFrame.unionByName, ready))
+    written = write(answered(together, completer, "writer", 0, prompts.writer(F.col("verification"), allowed_ids(F.col("verification.covered"))))).drop("summary")
+    good = going(written, "writer", "write_error").withColumn("error", F.lit(None).cast(ERROR))
+    return functools.reduce(DataFrame.unionByName, [good, *ended])

@@ -13,6 +13,7 @@ from lodestone.operators.dense import checked
 from lodestone.operators.graph import EntityGraph
 from lodestone.operators.sparse import Okapi, SparseIndex
 from lodestone.schema import CHUNK_FIELDS
+from lodestone.sources.providers import encodings
 
 
 class StoreError(ValueError):
@@ -102,7 +103,7 @@ def load_indexes(spark: SparkSession, index_dir: str, n_chunks: int | None = Non
 
 def build_indexes(chunks: DataFrame, encoder, okapi: Okapi = Okapi()) -> Indexes:
     """All three indexes of positioned chunks. encoder: chunks (id, text) -> (id, embedding)."""
-    return Indexes(SparseIndex.build(chunks, okapi), encoder(chunks.select(F.col("chunk_id").alias("id"), "text")), EntityGraph.build(chunks))
+    return Indexes(SparseIndex.build(chunks, okapi), encodings(encoder, chunks.select(F.col("chunk_id").alias("id"), "text")), EntityGraph.build(chunks))
 
 
 def summary(chunks: DataFrame, graph: EntityGraph) -> DataFrame:
