@@ -18,7 +18,7 @@ from lodestone.plans.workflow import RetrievalEngine, ask
 from lodestone.session import Settings, session
 from lodestone.sources.pages import ingest, pdf_pages
 from lodestone.sources.providers import HttpCompleter, ModelUnavailableError, ServiceError, local_encoder, local_scorer, missing_encoder
-from lodestone.sources.store import build_indexes, load_chunks, load_indexes, save_indexes, summary
+from lodestone.sources.store import StoreError, build_indexes, forget, load_chunks, load_indexes, save_indexes
 
 
 def named(variable: str, default):
@@ -49,9 +49,9 @@ def run_index(args: argparse.Namespace, settings: Settings) -> int:
     spark = session()
     chunks = positioned(load_chunks(spark, settings.chunks_path))
     indexes = build_indexes(chunks, local("LODESTONE_ENCODER", settings.embedding_model, local_encoder, missing_encoder(settings.embedding_model)))
-    save_indexes(indexes, settings.index_dir)
-    r = summary(chunks, load_indexes(spark, settings.index_dir).graph).first()
-    print(f"indexed {r['chunks']} chunks, {r['entities']} entities, {r['edges']} edges")
+    r = save_indexes(indexes, settings.index_dir)
+    forget(settings.index_dir)
+    print(f"indexed {r['chunks']} chunks, {r['entities']} entities, {r['edges']} edges, dense backend {r['backend']}")
     return 0
 
 
@@ -82,6 +82,9 @@ def main(argv: list[str] | None = None) -> int:
     except ModelUnavailableError as e:
         print(e, file=sys.stderr)
         return 1
+    except StoreError as e:
+        print(e, file=sys.stderr)
+        return 1
     except ServiceError as e:
         print(f"completion service unavailable: {e}", file=sys.stderr)
         return 1

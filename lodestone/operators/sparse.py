@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,14 +14,17 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import tokens
+from lodestone.operators.address import MOST_ADDRESSES, SPAN, block_of, look_up, number_of_blocks, span_of
 from lodestone.operators.ranking import best_first, top_k
 from lodestone.schema import ORDER
-from lodestone.session import cut, drop, shuffles
+from lodestone.session import cut, shuffles
 
 #: Postings are stored in folders by this many values of a hash of the term: a search reads those of its terms.
 BUCKETS = 256
-#: Chunks whose postings of a term make one row, and that are scored together.
-BLOCK_CHUNKS = 4096
+#: Of a term's impacts in a block the greatest so many are stored beside its hits.
+TOPS = 20
+#: From so many blocks on, bounds are worked out first and only the blocks that can hold a result are scored.
+PRUNED_BLOCKS = 64
 #: Queries go to the postings in blocks of about so many queries and weighted terms at most.
 BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
 #: Terms of at least so many queries of a block are scored by a matrix product, the others one by one.
@@ -40,31 +44,48 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def invert(table: pa.Table) -> pa.Table:
-    """applyInArrow on a block of chunks (block, slot, dl, words): a row (block, term, hits) per term."""
-    table = table.combine_chunks()
-    words = table.column("words").combine_chunks()
-    coded = pc.dictionary_encode(words.flatten())
-    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * table.num_rows + row, return_counts=True)
-    term, row = np.divmod(cell, table.num_rows)
-    ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-    slot, dl = (table.column(c).to_numpy()[row].astype(np.int32) for c in ("slot", "dl"))
-    flat = pa.StructArray.from_arrays([pa.array(slot), pa.array(tf.astype(np.int32)), pa.array(dl)], names=["slot", "tf", "dl"])
-    block = np.full(len(coded.dictionary), table.column("block")[0].as_py(), np.int64)
-    return pa.table({"block": pa.array(block), "term": coded.dictionary, "hits": pa.ListArray.from_arrays(pa.array(ends), flat)})
+def impact(tf: np.ndarray, dl: np.ndarray, okapi: Okapi, average: float) -> np.ndarray:
+    return tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * dl / average))
+
+
+def inverter(okapi: Okapi, average: float) -> Callable[[pa.Table], pa.Table]:
+    def invert(table: pa.Table) -> pa.Table:
+        """applyInArrow on a block of chunks (block, slot, dl, words): a row (block, term, tops, hits) per term."""
+        table = table.combine_chunks()
+        words = table.column("words").combine_chunks()
+        coded = pc.dictionary_encode(words.flatten())
+        terms = len(coded.dictionary)
+        row = np.repeat(np.arange(table.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * table.num_rows + row, return_counts=True)
+        term, row = np.divmod(cell, table.num_rows)
+        ends = np.searchsorted(term, np.arange(terms + 1))
+        slot, dl = (table.column(c).to_numpy()[row].astype(np.int32) for c in ("slot", "dl"))
+        flat = pa.StructArray.from_arrays([pa.array(slot), pa.array(tf.astype(np.int32)), pa.array(dl)], names=["slot", "tf", "dl"])
+        gain = impact(tf, dl, okapi, average)
+        order = np.lexsort((-gain, term))  # a term's impacts stay at its places, the greatest first
+        top = order[np.arange(len(order)) - ends[term] < TOPS]
+        tops = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(np.diff(ends), TOPS)))).astype(np.int32)), pa.array(gain[top]))
+        block = np.full(terms, table.column("block")[0].as_py(), np.int64)
+        return pa.table({"block": pa.array(block), "term": coded.dictionary, "tops": tops, "hits": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)})
+
+    return invert
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """lengths(block, slot, chunk_id, paper, page, position, dl): chunks by blocks, and their places there;
-    hits(bucket, term, block, hits array<struct<slot, tf, dl>>): the postings, a row per term and block; terms(term, df, idf);
-    corpus: one row (n, avgdl).
+    """lengths(span, block, slot, chunk_id, paper, page, position, dl): chunks by blocks, and their places there;
+    hits(bucket, span, term, block, tops, hits array<struct<slot, tf, dl>>): the postings, a row per term and block, and the greatest
+    impacts among them; terms(term, df, idf); corpus: one row (n, avgdl).
 
     A search takes a bounded block of weighted queries. It reads the buckets of its terms, and of these the rows of its terms;
     they are shuffled by block of chunks, compact as they are, and a task scores a block of chunks against all queries at once.
     It passes on only its best chunks of each query, so what is shuffled then doesn't grow with the terms that queries and
-    chunks share, and what is read doesn't grow with the corpus but with its chunks that have a term.
+    chunks share. The chunks of the results are looked up by their blocks.
+
+    An index of many blocks is first read without its hits. A term's k-th greatest impact, times its weight, is a score that k chunks
+    reach by this term alone; the greatest of a query's terms is its floor. A block's greatest impacts, times their weights, add up to a bound
+    of all its scores. Blocks whose bound is below the floor aren't scored for the query, and those that no query needs aren't read: common terms then
+    cost no more than the blocks that a rarer one leaves.
     """
 
     lengths: DataFrame
@@ -75,18 +96,18 @@ class SparseIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, okapi: Okapi = Okapi()) -> SparseIndex:
-        """Chunks are tokenised once; the tables are written to the checkpoint folder."""
+        """Chunks are tokenised once; tokens and postings are written to the checkpoint folder."""
         words = cut(chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words")))
-        corpus = cut(words.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")))
-        blocks = max(1, -(-words.count() // BLOCK_CHUNKS))
-        slot = (F.row_number().over(W.partitionBy("block").orderBy("chunk_id", *ORDER)) - 1).cast("int")
-        placed = cut(words.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn("slot", slot))
-        spread = placed.select("block", "slot", "dl", "words").repartition(shuffles(chunks.sparkSession), "block")
-        inverted = spread.groupBy("block").applyInArrow(invert, "block long, term string, hits array<struct<slot:int,tf:int,dl:int>>")
-        hits = cut(inverted.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "hits"))
-        index = cls(cut(placed.drop("words")), hits, cut(weigh(hits, corpus, okapi)), corpus, okapi)
-        drop(words, placed)
-        return index
+        size = words.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+        n, average = size.first()
+        place = (F.row_number().over(W.partitionBy("block").orderBy("chunk_id", *ORDER)) - 1).cast("int")
+        spread = words.withColumn("block", block_of(F.col("chunk_id"), number_of_blocks(n))).repartition(shuffles(chunks.sparkSession), "block")
+        placed = spread.withColumn("slot", place)
+        inverted = placed.select("block", "slot", "dl", "words").groupBy("block").applyInArrow(inverter(okapi, average), "block long, term string, tops array<double>, hits array<struct<slot:int,tf:int,dl:int>>")
+        hits = cut(inverted.select(bucket_of(F.col("term")).alias("bucket"), span_of(F.col("block")).alias("span"), "term", "block", "tops", "hits"))
+        lengths = placed.select(span_of(F.col("block")).alias("span"), "block", "slot", "chunk_id", *ORDER, "dl")
+        corpus = chunks.sparkSession.createDataFrame([(n, average)], size.schema)
+        return cls(lengths, hits, weigh(hits, corpus, okapi), corpus, okapi)
 
     @property
     def postings(self) -> DataFrame:
@@ -115,24 +136,48 @@ class SparseIndex:
         blocks = max(1, -(-size["queries"] // BLOCK_QUERIES), -(-size["terms"] // BLOCK_TERMS))
         spark = queries.sparkSession
         kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("score", T.DoubleType())])
-        average = self.corpus.first()["avgdl"] if size["queries"] else None
+        corpus = self.corpus.first() if size["queries"] else None
         out = spark.createDataFrame([], kind)
         for b in range(blocks if size["queries"] else 0):
             own = weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
             rows = own.toArrow().combine_chunks()
             if len(rows):
-                scorer = Scorer(rows.column("q").combine_chunks(), rows.column("terms").to_pylist(), k, self.okapi, average)
-                out = out.union(self.matching(own).groupBy("block").applyInArrow(scorer.function(), kind))
+                scorer = Scorer(rows.column("q").combine_chunks(), rows.column("terms").to_pylist(), k, self.okapi, corpus["avgdl"])
+                # a bound is none where a weight is negative, which only happens in tiny collections
+                pruned = number_of_blocks(corpus["n"]) >= PRUNED_BLOCKS and scorer.weight.min() >= 0
+                read = self.matching(own, self.promising(own, k) if pruned else None)
+                out = out.union(read.groupBy("block").applyInArrow(scorer.function(), kind))
         best = F.rank().over(W.partitionBy("q").orderBy(best_first()))
-        return out.withColumn("n", best).where(F.col("n") <= k).join(self.lengths, ["block", "slot"]).select("q", "chunk_id", *ORDER, "score")
+        found = out.withColumn("n", best).where(F.col("n") <= k)
+        return look_up(found, self.lengths, ["block", "slot"], number_of_blocks(corpus["n"]) if corpus else 1).select("q", "chunk_id", *ORDER, "score")
 
-    def matching(self, weighted: DataFrame) -> DataFrame:
-        """The hits of the terms of a bounded block of queries (q, terms), with all rows of a block of chunks in one partition."""
+    def read(self, weighted: DataFrame) -> DataFrame:
+        """The rows of hits of a bounded block of queries' terms (q, terms)."""
         terms = weighted.select(F.explode("terms.term").alias("term")).distinct()
         buckets = [r["bucket"] for r in terms.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]  # 256 at most
-        read = self.hits.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term", "left_semi")  # BLOCK_TERMS at most
-        # work per row is more than its bytes tell: no partitions are put together
-        return read.repartition(shuffles(weighted.sparkSession), "block")
+        return self.hits.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term", "left_semi")  # BLOCK_TERMS at most
+
+    def promising(self, weighted: DataFrame, k: int) -> DataFrame:
+        """(block, terms): the blocks that can hold one of the k best chunks of a query (q, terms), and the terms of those queries."""
+        terms = weighted.select("q", F.explode("terms").alias("t")).select("q", "t.term", "t.weight")
+        peaks = self.read(weighted).select("term", "block", "tops")
+        kth = top_k(peaks.select("term", F.explode("tops").alias("impact")), ["term"], [F.col("impact").desc()], k, "n").where(F.col("n") == k)
+        floors = terms.join(F.broadcast(kth), "term").groupBy("q").agg(F.max(F.col("weight") * F.col("impact")).alias("floor"))
+        bounds = F.broadcast(terms).join(peaks, "term").groupBy("q", "block").agg(F.sum(F.col("weight") * F.col("tops")[0]).alias("bound"))
+        alive = bounds.join(F.broadcast(floors), "q", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
+        return alive.join(F.broadcast(terms), "q").groupBy("block").agg(F.collect_set("term").alias("terms"))
+
+    def matching(self, weighted: DataFrame, promising: DataFrame | None = None) -> DataFrame:
+        """The hits of the terms of a bounded block of queries (q, terms), with all rows of a block of chunks in one partition. promising: the blocks, and
+        their terms, that are enough."""
+        read, spread = self.read(weighted), shuffles(weighted.sparkSession)
+        if promising is None:
+            return read.repartition(spread, "block")  # work per row is more than its bytes tell: no partitions are put together
+        promising = cut(promising.withColumnRenamed("terms", "_terms"))
+        blocks = [r["block"] for r in promising.select("block").limit(MOST_ADDRESSES + 1).collect()]
+        if len(blocks) <= MOST_ADDRESSES:
+            read = read.where(F.col("span").isin(sorted({b // SPAN for b in blocks})) & F.col("block").isin(blocks))
+        return read.repartition(spread, "block").join(promising.repartition(spread, "block"), "block").where(F.array_contains("_terms", F.col("term"))).drop("_terms")
 
 
 class Scorer:
@@ -162,9 +207,9 @@ class Scorer:
         n = pc.list_value_length(hits).to_numpy(zero_copy_only=False)
         slot, tf, dl = (hits.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("slot", "tf", "dl"))
         term = np.repeat(pc.index_in(table.column("term").combine_chunks(), value_set=self.vocabulary).to_numpy(zero_copy_only=False), n)
-        impact = tf * (o.k1 + 1) / (tf + o.k1 * (1 - o.b + o.b * dl / self.average))
+        gain = impact(tf, dl, o, self.average)
         order = np.argsort(slot, kind="stable")
-        slot, term, impact = slot[order], term[order], impact[order]
+        slot, term, gain = slot[order], term[order], gain[order]
         chunks, row = np.unique(slot, return_inverse=True)
         dense = np.zeros((self.common, many))
         m = self.begin[self.common]
@@ -172,23 +217,23 @@ class Scorer:
         cuts = np.searchsorted(row, np.arange(0, len(chunks) + STEP, STEP))
         found = []
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            scores = self.scores(row[a:b] - i * STEP, term[a:b], impact[a:b], min(STEP, len(chunks) - i * STEP), dense)
+            scores = self.scores(row[a:b] - i * STEP, term[a:b], gain[a:b], min(STEP, len(chunks) - i * STEP), dense)
             q, at = self.kept(scores)
             found.append((q, at + i * STEP, scores[at, q]))
         q, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"q": self.names.take(pa.array(q)), "block": pa.array(np.full(len(q), table.column("block")[0].as_py(), np.int64)), "slot": pa.array(chunks[at].astype(np.int32)), "score": pa.array(score)})
 
-    def scores(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray, rows: int, dense: np.ndarray) -> np.ndarray:
+    def scores(self, row: np.ndarray, term: np.ndarray, gain: np.ndarray, rows: int, dense: np.ndarray) -> np.ndarray:
         """Chunks x queries."""
         many = len(self.names)
         common = term < self.common
         whole = np.zeros((rows, self.common))
-        whole[row[common], term[common]] = impact[common]
+        whole[row[common], term[common]] = gain[common]
         scores = whole @ dense
-        row, term, impact = row[~common], term[~common], impact[~common]
+        row, term, gain = row[~common], term[~common], gain[~common]
         n = self.begin[term + 1] - self.begin[term]
         at = np.repeat(self.begin[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return scores + np.bincount(np.repeat(row, n) * many + self.query[at], np.repeat(impact, n) * self.weight[at], rows * many).reshape(-1, many)
+        return scores + np.bincount(np.repeat(row, n) * many + self.query[at], np.repeat(gain, n) * self.weight[at], rows * many).reshape(-1, many)
 
     def kept(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Queries and chunks of the scores that are positive and among the k best of their query, or tie with these."""

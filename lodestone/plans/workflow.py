@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import entities
 from lodestone.operators import dense
+from lodestone.operators.address import block_of, look_up, number_of_blocks
 from lodestone.operators.fusion import merge_evidence, reciprocal_rank_fusion, rerank
 from lodestone.operators.ranking import top_k
 from lodestone.operators.select import select_evidence
@@ -25,7 +26,7 @@ from lodestone.plans.planning import RETRIEVERS, plan_questions
 from lodestone.schema import EVIDENCE, ORDER, PLAN, VERIFICATION
 from lodestone.session import Settings, cut
 from lodestone.sources.providers import Completer, Encoder, ModelUnavailableError, Scorer, ServiceError, encodings
-from lodestone.sources.store import Indexes
+from lodestone.sources.store import Indexes, same_encoder
 
 PER_QUERY, MAX_CANDIDATES = 8, 30
 
@@ -57,12 +58,25 @@ class RetrievalEngine:
         """queries (qid, text) -> (qid, rank, chunk_id, score)."""
         if self.encoder is None:
             raise ModelUnavailableError("no encoder given for queries")
+        same_encoder(self.indexes, self.encoder)
         encoded = encodings(self.encoder, queries.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "embedding")
-        placed = self.indexes.vectors.join(self.chunks.select(F.col("chunk_id").alias("id"), *ORDER), "id")
-        order = F.struct(*ORDER, F.col("id").alias("chunk_id"))  # ties in reading order
-        found = dense.search_many(encoded, placed.select(order.alias("id"), "embedding"), self.top_k)
+        if self.indexes.dense is not None:
+            found = self.indexes.dense.search_many(encoded, self.top_k)
+        else:
+            placed = self.indexes.vectors.join(self.chunks.select(F.col("chunk_id").alias("id"), *ORDER), "id")
+            order = F.struct(*ORDER, F.col("id").alias("chunk_id"))  # ties in reading order
+            found = dense.search_many(encoded, placed.select(order.alias("id"), "embedding"), self.top_k)
         return found.select("qid", "rank", "id.chunk_id", "score")
 
+    def passages(self, found: DataFrame) -> DataFrame:
+        """found (chunk_id, ...) with paper, page and text, which an index holds by the chunks' addresses."""
+        table = self.indexes.passages
+        if table is None:
+            return found.join(self.chunks.select("chunk_id", "paper", "page", "text"), "chunk_id")
+        blocks = number_of_blocks(self.indexes.sparse.corpus.first()["n"])
+        wanted = found.withColumn("block", block_of(F.col("chunk_id"), blocks))
+        return look_up(wanted, table.select("span", "block", "chunk_id", "paper", "page", "text"), ["block", "chunk_id"], blocks).drop("block")
+
     def graph_search(self, names: DataFrame) -> DataFrame:
         return self.indexes.graph.search(names, self.top_k)
 
@@ -107,7 +121,7 @@ def research(states: DataFrame, engine: RetrievalEngine, settings: Settings, sco
     """One round: retrieve, fuse, rerank, merge with earlier evidence, select. reranker: instead of fusion.rerank, with its contract."""
     queries = asked_queries(states)
     fused = reciprocal_rank_fusion(engine.rank_lists(queries)).where(F.col("fused_rank") <= MAX_CANDIDATES)
-    found = fused.select("qid", "fused_rank", "chunk_id").join(engine.chunks.select("chunk_id", "paper", "page", "text"), "chunk_id")
+    found = engine.passages(fused.select("qid", "fused_rank", "chunk_id"))
     scored = reranker(queries.select("qid", "query"), found, scorer)
     if "error" in scored.columns:
         scored = cut(scored)
