@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +23,39 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+#: Letters that got a lower case after Unicode 13, which a JVM may not know yet. Code points, ends included.
+LATE = ((0x1C89, 0x1C89), (0x2C2F, 0x2C2F), (0xA7C0, 0xA7C0), (0xA7CB, 0xA7DC), (0x10570, 0x10595), (0x10D50, 0x10D65))
+
+
+@functools.cache
+def folds() -> dict[str, str]:
+    """The characters whose full case folding isn't reached by lower case, with their folding."""
+    late = {c for first, last in LATE for c in range(first, last + 1)}
+    return {x: x.casefold() for c in range(sys.maxunicode + 1) if (x := chr(c)).casefold() != x and (x.lower() == x or c in late)}
+
+
+def ranges(characters: Iterable[str], gap: int = 16) -> str:
+    """A class of the characters and what lies between near ones: matching costs by its parts."""
+    parts: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if parts and c - parts[-1][1] <= gap:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in parts) + "]"
+
+
 def casefold(text: Column) -> Column:
-    """Lower case, sharp s as ss. Other characters whose full case folding differs from lower case are left as lower case."""
-    return F.lower(F.regexp_replace(text, "[ßẞ]", "ss"))
+    """Full case folding: lower case, then what folds() says. All but sharp s is looked for only in texts that may hold any: those
+    with a character beyond the western European ones, and of these those with one in certain ranges."""
+    low = F.lower(text)
+    one = {c: f for c, f in folds().items() if len(f) == 1}
+    # one literal, as this expression is in many places of a plan: each character before what it becomes
+    several = F.split(F.lit(" ".join(c + f for c, f in folds().items() if len(f) > 1)), " ")
+    rare = F.aggregate(several, F.translate(low, "".join(one), "".join(one.values())), lambda t, x: F.replace(t, F.left(x, F.lit(1)), F.substring(x, 2, 9)))
+    own = [c for c in folds() if c != "ß"]
+    beyond = rf"[µ\x{{{ord(min(c for c in own if c != 'µ')):X}}}-\x{{10FFFF}}]"
+    return F.when(F.rlike(low, F.lit(beyond)) & F.rlike(low, F.lit(ranges(own))), rare).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def tokens(text: Column) -> Column:

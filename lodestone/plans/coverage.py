@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.objects import covered_cells, unique_keys
 from lodestone.functions.text import casefold, target_matches, tokens
-from lodestone.plans.planning import string_items
 
 #: The target that stands for the whole question where none is named. Fixed value.
 OPEN_TARGET = "question"
@@ -30,19 +30,18 @@ def canonical(names: Column, raw: Column) -> Column:
 def sanitize_coverage(states: DataFrame, payload: str = "payload") -> DataFrame:
     """states (qid, targets, facets, evidence array, payload) -> cells (qid, target, facet, ids): valid evidence ids, each once.
 
-    Unknown targets and facets, ids that are malformed or out of range, and evidence that isn't of the target are dropped. Of
-    raw keys that differ only in case the greatest wins.
+    Unknown targets and facets, ids that are malformed or out of range, and evidence that isn't of the target are dropped. Of raw
+    keys that name the same cell the last in the payload with a valid id counts.
     """
-    raw = F.try_variant_get(F.try_parse_json(F.col(payload)), "$.covered", "map<string,variant>")
-    by_target = states.select("qid", "targets", "facets", "evidence", F.explode(raw).alias("raw_target", "v"))
-    by_facet = by_target.select("*", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("raw_facet", "w"))
-    cells = by_facet.select("qid", "targets", "evidence", "raw_target", "raw_facet", canonical(coverage_targets(F.col("targets")), F.col("raw_target")).alias("target"), canonical(F.col("facets"), F.col("raw_facet")).alias("facet"), string_items(F.try_variant_get("w", "$", "array<variant>")).alias("raw"))
+    read = states.select("qid", "targets", "facets", "evidence", covered_cells(F.col(payload)).alias("read"))
+    flat = read.select("qid", "targets", "facets", "evidence", F.explode("read").alias("c")).select("qid", "targets", "facets", "evidence", "c.*")
+    cells = flat.select("qid", "targets", "evidence", "place", canonical(coverage_targets(F.col("targets")), F.col("raw_target")).alias("target"), canonical(F.col("facets"), F.col("raw_facet")).alias("facet"), F.col("ids").alias("raw"))
     numbers = F.transform(F.filter("raw", lambda i: i.rlike(r"^E\d+\z")), lambda i: F.substring(i, F.lit(2), F.length(i)).try_cast("int"))
     item = lambda n: F.try_element_at("evidence", n)
     fits = lambda n: (n >= 1) & (n <= F.size("evidence")) & F.coalesce(matches_coverage_target(F.col("target"), F.col("targets"), item(n)["text"]), F.lit(False))
     ids = F.array_distinct(F.transform(F.filter(numbers, lambda n: F.coalesce(fits(n), F.lit(False))), lambda n: F.concat(F.lit("E"), n.cast("string"))))
-    good = cells.where("target is not null and facet is not null").select("qid", "raw_target", "raw_facet", "target", "facet", ids.alias("ids")).where(F.size("ids") > 0)
-    return good.groupBy("qid", "target", "facet").agg(F.max_by("ids", F.struct("raw_target", "raw_facet")).alias("ids"))
+    good = cells.where("target is not null and facet is not null").select("qid", "place", "target", "facet", ids.alias("ids")).where(F.size("ids") > 0)
+    return good.groupBy("qid", "target", "facet").agg(F.max_by("ids", "place").alias("ids"))
 
 
 def covers(cells: Column, target: Column, facet: Column) -> Column:
@@ -66,7 +65,8 @@ def covered_map(targets: Column, cells: Column) -> Column:
 
 def verify(states: DataFrame, payload: str = "payload") -> DataFrame:
     """states with a verification struct and verify_error. states: qid, plan, evidence, payload and more."""
-    p = F.try_parse_json(F.col(payload))
+    states = states.withColumn("_read", unique_keys(F.col(payload)))
+    p = F.try_parse_json("_read")
     flat = states.select("qid", "plan.targets", "plan.facets", "evidence", payload)
     cells = sanitize_coverage(flat, payload).groupBy("qid").agg(F.collect_list(F.struct("target", "facet", "ids")).alias("_cells"))
     rows = states.join(cells, "qid", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<target:string,facet:string,ids:array<string>>>")))
@@ -82,7 +82,7 @@ def verify(states: DataFrame, payload: str = "payload") -> DataFrame:
         gaps.alias("missing"),
         text.alias("corrective_query"),
     )
-    return rows.withColumn("verification", verification).withColumn("verify_error", error).drop("_cells")
+    return rows.withColumn("verification", verification).withColumn("verify_error", error).drop("_cells", "_read")
 
 
 def route_after_research(stop_reason: Column) -> Column:

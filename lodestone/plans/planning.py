@@ -1,7 +1,6 @@
 """Question plans: sanitising the planner's JSON payload with column expressions.
 
-Payloads are parsed to VARIANT, so one entry of a wrong type is dropped alone. Differences that follow: a payload with a
-repeated key is invalid, and keys have no order.
+Payloads are parsed to VARIANT, so one entry of a wrong type is dropped alone; of a repeated key the last value counts.
 """
 
 from __future__ import annotations
@@ -9,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.objects import unique_keys
 from lodestone.functions.text import ALNUM, casefold, target_matches, unique_strings
 
 # Fixed values.
@@ -57,7 +57,9 @@ def explicit_targets(values: Column, question: Column) -> Column:
 
 def plan_questions(questions: DataFrame, payload: str = "payload") -> DataFrame:
     """questions (qid, question, payload JSON) -> the columns given, plan (struct) and plan_error (null if the plan is good)."""
-    p = F.try_parse_json(F.col(payload))
+    names = questions.columns
+    questions = questions.withColumn("_read", unique_keys(F.col(payload)))
+    p = F.try_parse_json("_read")
     question = F.trim(F.col("question"))
     own = {k: unique_strings(strings(p, k), LIMITS[k]) for k in ("queries", "entities", "facets")}
     language = F.when(F.schema_of_variant(F.try_variant_get(p, "$.output_language", "variant")) == "STRING", F.trim(F.try_variant_get(p, "$.output_language", "string")))
@@ -77,4 +79,4 @@ def plan_questions(questions: DataFrame, payload: str = "payload") -> DataFrame:
         sanitize_retrievers(strings(p, "retrievers")).alias("retrievers"),
         language.alias("output_language"),
     )
-    return questions.select("*", plan.alias("plan"), error.alias("plan_error"))
+    return questions.select(*names, plan.alias("plan"), error.alias("plan_error"))

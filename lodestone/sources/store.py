@@ -7,6 +7,7 @@ sees the one before, and nothing of two.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -100,7 +101,7 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     if sizes["bad"] or invalid(chunks).head() is not None:
         worst = faults(spark, path).orderBy("file", "line").first()
         what = "duplicate chunk_id" if worst["reason"] == "duplicate chunk_id" else "invalid chunk"
-        raise StoreError(f"{what} at {worst['file'].removeprefix('file://')}:{worst['line']}: {worst['chunk_id'] if what.startswith('duplicate') else worst['reason']}")
+        raise StoreError(f"{what} at {re.sub('^file:(//)?', '', worst['file'])}:{worst['line']}: {worst['chunk_id'] if what.startswith('duplicate') else worst['reason']}")
     return chunks
 
 

@@ -1,0 +1,186 @@
+"""Stored indexes: what a search reads, generations, and where a store is at fault."""
+
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import address, dense, sparse
+from lodestone.operators.sparse import SparseIndex
+from lodestone.plans.workflow import RetrievalEngine
+from lodestone.sources import store
+from lodestone.sources.providers import ModelUnavailableError
+
+KIND = "chunk_id string, paper string, page int, position int, text string"
+
+
+def corpus(spark, n=3000):
+    """Common words everywhere, rare ones in few chunks."""
+    draw = random.Random(7)
+    rows = []
+    for i in range(n):
+        words = draw.choices(["the", "of", "model", "data"], [8, 5, 3, 2], k=draw.randint(5, 30)) + [f"w{draw.randint(0, 400)}" for _ in range(3)]
+        if i % 500 == 3:
+            words += ["rareword"] * draw.randint(1, 4) + ["the"] * draw.randint(0, 3)
+        rows.append((f"c{i:05}", f"p{i % 7}.pdf", i, 0, " ".join(words)))
+    return spark.createDataFrame(rows, KIND)
+
+
+def encoder(rows):
+    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.xxhash64("text", i) % 1000) / 1000.0).cast("float")).alias("embedding"))
+
+
+def other_encoder(rows):
+    return encoder(rows)
+
+
+@pytest.fixture
+def blocks(monkeypatch):
+    """Many small blocks, so that the plans of large indexes are taken."""
+    monkeypatch.setattr(address, "BLOCK_CHUNKS", 32)
+    monkeypatch.setattr(address, "SPAN", 8)
+    monkeypatch.setattr(sparse, "SPAN", 8)
+
+
+QUESTIONS = [("a", "rareword the of"), ("b", "the of model"), ("c", "w7 w8 the the"), ("d", "rareword"), ("e", "w1 w2 w3 w4 data"), ("f", "nothing here"), ("g", "w9")]
+
+
+def test_bounds_leave_the_results_and_skip_blocks(spark, tmp_path, monkeypatch, blocks):
+    chunks = corpus(spark).repartition(4)
+    store.save_indexes(store.build_indexes(chunks, encoder), str(tmp_path / "i"))
+    index = store.load_indexes(spark, str(tmp_path / "i"), 3000).sparse
+    asked = spark.createDataFrame(QUESTIONS, "qid string, text string")
+    rows = lambda k: sorted((r.qid, r.rank, r.chunk_id, round(r.score, 9)) for r in index.search(asked, k).collect())
+    monkeypatch.setattr(sparse, "PRUNED_BLOCKS", 10**9)
+    whole = {k: rows(k) for k in (3, 20)}
+    monkeypatch.setattr(sparse, "PRUNED_BLOCKS", 1)
+    assert {k: rows(k) for k in (3, 20)} == whole and whole[3]
+    weighted = asked.where("qid = 'a'").select(F.col("qid").alias("q"), F.explode(F.split("text", " ")).alias("term")).join(index.terms, "term").groupBy("q").agg(F.collect_list(F.struct("term", F.col("idf").alias("weight"))).alias("terms"))
+    read, everything = index.matching(weighted, index.promising(weighted, 3)), index.matching(weighted)
+    n, m = (x.agg(F.countDistinct("block")).first()[0] for x in (read, everything))
+    assert n <= 10 < 80 < m  # rareword is in 6 chunks
+    plan = index.lengths.where(F.col("span").isin(1) & F.col("block").isin(9, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(span" in plan and "PushedFilters: [In(block" in plan
+
+
+def test_results_are_looked_up_by_address(spark, tmp_path, blocks):
+    chunks = corpus(spark, 900)
+    built = store.build_indexes(chunks, encoder)
+    store.save_indexes(built, str(tmp_path / "i"))
+    loaded = store.load_indexes(spark, str(tmp_path / "i"))
+    found = spark.createDataFrame([("q", 1, "c00007"), ("q", 2, "c00450"), ("r", 1, "c00007"), ("r", 2, "missing")], "qid string, fused_rank int, chunk_id string")
+    want = sorted(map(tuple, found.join(chunks.select("chunk_id", "paper", "page", "text"), "chunk_id").select("qid", "fused_rank", "chunk_id", "paper", "page", "text").collect()))
+    for indexes in (built, loaded):
+        got = RetrievalEngine(chunks, indexes).passages(found)
+        assert sorted(map(tuple, got.select("qid", "fused_rank", "chunk_id", "paper", "page", "text").collect())) == want and len(want) == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "In(block" in plan
+
+
+@pytest.mark.parametrize("cells", [1, 7, 60])
+def test_cells_give_the_rows_of_a_scan(spark, cells):
+    draw = np.random.default_rng(cells)
+    centre = draw.normal(size=(30, 12))
+    x = centre[draw.integers(0, 30, 2000)] + 0.1 * draw.normal(size=(2000, 12))
+    x[:40] = x[0]  # ties
+    x[50] = 0
+    vectors = spark.createDataFrame([(i, r.astype("f4").tolist()) for i, r in enumerate(x)], "id int, embedding array<float>").repartition(5)
+    asked = vectors.where("id % 97 = 0 or id = 50").select(F.col("id").alias("qid"), "embedding").union(spark.createDataFrame([(-1, [-1.0] * 12)], "qid int, embedding array<float>"))
+    index = dense.DenseIndex.build(vectors, cells)
+    rows = lambda df: sorted((r.qid, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    for k in (1, 10, 60):
+        assert rows(index.search_many(asked, k)) == rows(dense.search_many(asked, vectors, k))
+    several = asked.select((F.col("qid") % 3).alias("qid"), F.col("qid").alias("query_no"), "embedding")
+    assert rows(index.search_max(several, 10)) == rows(dense.search_max(several, vectors, 10))
+    told = index.compared(asked, 10).collect()
+    assert {r.vectors for r in told} == {2000} and len(told) == asked.count()
+    if cells == 60:
+        assert sum(r.compared for r in told) < 0.3 * sum(r.vectors for r in told)
+    with pytest.raises(ValueError, match="differ"):
+        index.search_many(asked.select("qid", F.slice("embedding", 1, 3).alias("embedding")), 3).collect()
+
+
+def test_cells_of_few_and_no_vectors(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.5])], "qid string, embedding array<float>")
+    assert [(r.id, r.rank) for r in dense.DenseIndex.build(vectors).search_many(asked).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+    assert dense.DenseIndex.build(vectors.where("false")).search_many(asked).count() == 0
+    assert dense.DenseIndex.build(vectors).search_many(asked.where("false")).count() == 0
+    with pytest.raises(ValueError, match="several lengths"):
+        dense.DenseIndex.build(vectors.union(spark.createDataFrame([("c", [1.0])], "id string, embedding array<float>")))
+
+
+def test_generations(spark, tmp_path):
+    path = str(tmp_path / "i")
+    with pytest.raises(store.StoreError, match="no index"):
+        store.load_indexes(spark, path)
+    chunks = corpus(spark, 40)
+    first = store.save_indexes(store.build_indexes(chunks, encoder), path)
+    assert (first["generation"], first["chunks"], first["width"], first["backend"]) == (1, 40, 8, "injected") and first["model"].endswith("encoder")
+    reader = store.load_indexes(spark, path, 40)
+    # a second generation that isn't committed yet changes nothing for anyone
+    half = store.build_indexes(chunks.limit(5), encoder)
+    half.graph.nodes.write.parquet(f"{path}/generation-000002-half/graph/nodes")
+    assert store.load_indexes(spark, path).sparse.corpus.first()["n"] == 40
+    second = store.save_indexes(half, path)
+    assert second["generation"] == 2 and store.load_indexes(spark, path, 5).sparse.corpus.first()["n"] == 5
+    assert reader.sparse.lengths.count() == reader.dense.vectors.count() == 40  # pinned
+    with pytest.raises(store.StoreError, match="holds 5 chunks, the store 40"):
+        store.load_indexes(spark, path, 40)
+    store.save_indexes(half, path)
+    store.forget(path)
+    assert store.load_indexes(spark, path).sparse.lengths.count() == 5
+    assert [r.generation for r in store.manifests(spark, path).orderBy("generation").collect()] == [1, 2, 3]
+    assert sorted(p.name[:17] for p in (tmp_path / "i").iterdir() if p.name.startswith("gen")) == ["generation-000002", "generation-000003"]
+
+
+def test_an_index_belongs_to_its_encoder(spark, tmp_path):
+    chunks = corpus(spark, 30)
+    store.save_indexes(store.build_indexes(chunks, encoder), str(tmp_path / "i"))
+    indexes = store.load_indexes(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([("q", "the model")], "qid string, text string")
+    assert RetrievalEngine(chunks, indexes, encoder).dense_search_many(asked).count() > 0
+    with pytest.raises(ModelUnavailableError, match="built with .*encoder.*not .*other_encoder.*run index"):
+        RetrievalEngine(chunks, indexes, other_encoder).dense_search_many(asked)
+    with pytest.raises(store.StoreError, match="29 vectors for 30"):
+        store.build_indexes(chunks, lambda rows: encoder(rows.where("id <> 'c00003'")))
+    assert store.summary(chunks, indexes.graph, indexes.backend).first()["dense_backend"] == "injected"
+
+
+# ---------------------------------------------------------------- faults of a store
+
+
+def line(i, **more):
+    return json.dumps({"chunk_id": f"c{i}", "paper": "p.pdf", "page": 1, "text": f"text {i} " + "x" * (i % 90)} | more)
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("at", "bad", "what"), [(1, "nonsense", "invalid chunk at {}:1: no JSON"), (700, line(3, page=0), "invalid chunk at {}:700: page is below 1"), (1499, line(5), "duplicate chunk_id at {}:1499: c5"), (800, line(9, more=1), "invalid chunk at {}:800: other fields"), (1200, line(7, text=""), "invalid chunk at {}:1200: text is empty")])
+def test_faults_are_named_by_path_and_line(spark, tmp_path, small_splits, at, bad, what):
+    path = tmp_path / "chunks.jsonl"
+    lines = [line(i) if i % 50 else "" for i in range(1500)]  # blank lines count
+    lines[at - 1] = bad
+    path.write_text("\n".join(lines) + "\n" + line(20001, page="x") + "\n")
+    assert store.read_lines(spark, str(path)).select("start").distinct().count() > 10
+    with pytest.raises(store.StoreError) as e:
+        store.load_chunks(spark, str(path))
+    assert what.format(path) in str(e.value)  # the first, though there are more
+    path.write_text("\n".join(x for i, x in enumerate(lines) if i != at - 1))
+    assert store.load_chunks(spark, str(path)).count() == sum(bool(x) for i, x in enumerate(lines) if i != at - 1)
+
+
+def test_lines_are_numbered_file_by_file(spark, tmp_path, small_splits):
+    for name, n in (("a", 900), ("b", 1300)):
+        (tmp_path / f"{name}.jsonl").write_bytes("\r\n".join(f"{name}{i + 1}" + "y" * (i % 40) for i in range(n)).encode())
+    got = store.numbered_lines(store.read_lines(spark, str(tmp_path))).collect()
+    assert len(got) == 2200 and all(r.value.strip("y")[1:] == str(r.line) and f"/{r.value[0]}.jsonl" in r.file for r in got)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,40 @@ def test_models_are_required(spark):
 def test_initial_state_has_all_fields(spark):
     s = workflow.initial_states(spark.createDataFrame([("q", "?")], "qid string, question string")).first()
     assert s.asDict(recursive=True) == {"qid": "q", "question": "?", "plan": {"queries": [], "entities": [], "targets": [], "facets": [], "retrievers": ["sparse", "dense"], "output_language": "English"}, "evidence": [], "verification": {"status": "insufficient", "covered": {}, "missing": [], "corrective_query": ""}, "retry_count": 0, "stop_reason": "", "answer": ""}
+
+
+# ---------------------------------------------------------------- objects with repeated keys
+
+
+def test_of_repeated_keys_the_last_value_counts(spark):
+    text = '{"queries": ["first"], "facets": ["x"], "entities": [], "targets": [], "output_language": "French", "queries": ["last"], "output_language": "English"}'
+    r = plan(spark, text)
+    assert r.plan_error is None and r.plan.queries == ["last"] and r.plan.output_language == "English"
+    assert plan(spark, text.replace('"queries": ["last"]', '"queries": []')).plan_error == "no queries"
+    assert plan(spark, text.replace('["last"]', '[NaN, "q", Infinity]')).plan.queries == ["q"]
+
+
+def reference_coverage(payload, targets, facets, evidence):
+    """The rule by hand, on Python's own objects: keys in their order, later cells over earlier ones."""
+    out = {}
+    for raw_target, raw_facets in json.loads(payload)["covered"].items():
+        target = {t.casefold(): t for t in targets}.get(raw_target.casefold())
+        for raw_facet, ids in raw_facets.items() if target and isinstance(raw_facets, dict) else ():
+            facet = {f.casefold(): f for f in facets}.get(raw_facet.casefold())
+            good = [i for i in dict.fromkeys(ids) if isinstance(i, str) and i[1:].isdigit() and 1 <= int(i[1:]) <= evidence] if facet and isinstance(ids, list) else []
+            if good:
+                out[target, facet] = good
+    return out
+
+
+def test_of_keys_equal_but_for_case_the_last_with_an_id_counts(spark):
+    draw = random.Random(11)
+    for _ in range(6):
+        cell = lambda: json.dumps(draw.choice([["E1"], ["E2", "E1"], [], ["E9"], ["x", 3], "E1"]))
+        inner = lambda: "{" + ", ".join(f'"{draw.choice(["aim", "AIM", "Aim", "limits", "other"])}": {cell()}' for _ in range(draw.randint(1, 5))) + "}"
+        covered = "{" + ", ".join(f'"{draw.choice(["Straße", "STRASSE", "strasse", "ﬁt", "FIT", "none"])}": {draw.choice([inner(), inner(), inner(), "[]"])}' for _ in range(draw.randint(1, 5))) + "}"
+        payload = f'{{"covered": {{}}, "corrective_query": "", "covered": {covered}}}'
+        evidence = [("c1", "a.pdf", 1, "strasse fit", 1.0), ("c2", "b.pdf", 1, "strasse and fit", 1.0)]
+        state = spark.createDataFrame([("q", ["Straße", "ﬁt"], ["aim", "limits"], evidence, payload)], "qid string, targets array<string>, facets array<string>, evidence array<struct<chunk_id:string,paper:string,page:int,text:string,score:double>>, payload string")
+        got = {(r.target, r.facet): r.ids for r in coverage.sanitize_coverage(state).collect()}
+        assert got == reference_coverage(payload, ["Straße", "ﬁt"], ["aim", "limits"], 2), payload

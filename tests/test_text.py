@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,15 @@ def test_chunks_stay_on_their_page_and_have_stable_ids(spark):
     first = split_pages(pages).where("page = 4").first()
     assert first.chunk_id == hashlib.sha1(f"a.pdf\0{4}\0{0}\0{first.text}".encode()).hexdigest()[:16]
     assert len({g[3] for g in got}) == 3
+
+
+def test_every_character_folds_fully(spark):
+    """All letters with a case, so also every one whose folding differs from its lower case; and within texts."""
+    every = [x for c in range(0x110000) if unicodedata.category(x := chr(c)) not in ("Cn", "Cs") and (x.casefold() != x or x.lower() != x or x.upper() != x)]
+    got = spark.createDataFrame([(x,) for x in every], "t string").select("t", text.casefold(F.col("t")).alias("f")).collect()
+    assert len(got) > 2800 and [(hex(ord(r.t)), r.f) for r in got if r.f != r.t.casefold()] == []
+    special = list(text.folds())
+    assert len(special) > 100 and "ß" in special and "ς" in special
+    rows = [(f"Ab{x}C{y}Σ",) for x, y in zip(special, reversed(special), strict=True)] + [("ΟΔΟΣ ὈΔΥΣΣΕΎΣ ς",), ("Straße GROẞ",), ("ŉ ﬃx İI",)]
+    got = spark.createDataFrame(rows, "t string").select("t", text.casefold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in got] == [r.t.casefold() for r in got]
