@@ -2,17 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import compact_form, entities, word_form
-from lodestone.operators.ranking import top_k
-from lodestone.session import cut
+from lodestone.operators.ranking import placed, top_k
+from lodestone.session import cut, shuffles
 
 #: Compact names of fewer characters are not searched for as parts.
 LEAST_PART = 5
+#: Chunks in a block of places, and so bits in a bitmap.
+PLACES = 4096
+#: Questions whose scores in a block are added up in one group.
+QUESTIONS = 512
+
+
+def packed(slots: np.ndarray) -> bytes:
+    """Slots of a block, ascending: as 16-bit numbers, or a bitmap where that is shorter."""
+    if len(slots) < PLACES // 16:
+        return slots.astype("<u2").tobytes()
+    bits = np.zeros(PLACES, np.uint8)
+    bits[slots] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) == PLACES // 8 else np.frombuffer(raw, "<u2")
+
+
+def spots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in the order of their places (place, names) to (entity, block, slots). A task holds a block at a time."""
+    block, own = None, {}
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([block] * len(own), pa.int64()), pa.array([packed(np.array(s)) for s in own.values()], pa.binary())], names=["entity", "block", "slots"])
+
+    for batch in batches:
+        for place, names in zip(batch.column("place").to_pylist(), batch.column("names").to_pylist(), strict=True):
+            if place // PLACES != block:
+                if own:
+                    yield closed()
+                block, own = place // PLACES, {}
+            for name in names:
+                own.setdefault(name, []).append(place % PLACES)
+    if own:
+        yield closed()
+
+
+def best_of(k: int) -> Callable[[pa.Table], pa.Table]:
+    def best(table: pa.Table) -> pa.Table:
+        """applyInArrow on a block's slots of some questions' entities (no, block, part, slots): each question's k best places, ties by place."""
+        block = table.column("block")[0].as_py()
+        scores: dict[int, np.ndarray] = {}
+        for no, part, raw in zip(*(table.column(c).to_pylist() for c in ("no", "part", "slots")), strict=True):
+            if no not in scores:
+                scores[no] = np.zeros(PLACES)
+            scores[no][unpacked(raw)] += part  # multiples of a half: exact
+        found = []
+        for no, own in scores.items():
+            at = np.flatnonzero(own)
+            at = at[np.argsort(-own[at], kind="stable")[:k]]
+            found.append((np.full(len(at), no), block * PLACES + at, own[at]))
+        no, place, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"no": pa.array(no, pa.int64()), "place": pa.array(place, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return best
 
 
 def pieces(c: str, n: int) -> Column:
@@ -23,23 +82,31 @@ def pieces(c: str, n: int) -> Column:
 
 @dataclass(frozen=True)
 class EntityGraph:
-    """members(entity, chunk_id), nodes(entity, word_form, compact), edges(src, dst, weight), each edge once, src < dst."""
+    """members(entity, chunk_id), nodes(entity, word_form, compact), edges(src, dst, weight), each edge once, src < dst;
+    places(place, chunk_id): a number of each chunk that rises with its id; spots(entity, block, slots): an entity's chunks, packed by blocks of places.
+
+    A search adds up packed blocks: an entity of very many chunks sends a bitmap per block and question, not a row per chunk, and of each
+    block only a question's k best chunks go on.
+    """
 
     members: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    places: DataFrame
+    spots: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame) -> EntityGraph:
         """Names are found once; they are written to the checkpoint folder."""
-        named = cut(chunks.select("chunk_id", entities(F.col("text")).alias("names")))
+        named = placed(chunks.select("chunk_id", entities(F.col("text")).alias("names")), [F.col("chunk_id")])
         members = named.select(F.explode("names").alias("entity"), "chunk_id")
         e = F.col("entity")
-        nodes = members.select("entity").distinct().select("entity", word_form(e).alias("word_form"), compact_form(e).alias("compact"))
+        nodes = cut(members.select("entity").distinct().select("entity", word_form(e).alias("word_form"), compact_form(e).alias("compact")))
         # pairs are made inside the row (20 names at most), so nothing is joined
         ordered = named.select(F.array_sort("names").alias("names"))
         pairs = ordered.select(F.posexplode("names").alias("i", "src"), "names").select("src", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("dst"))
-        return cls(members, nodes, pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")))
+        spots = named.where(F.size("names") > 0).select("place", "names").mapInArrow(spots_of, "entity string, block long, slots binary")
+        return cls(members, nodes, pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")), named.select("place", "chunk_id"), spots)
 
     def node_lists(self, chunks: DataFrame) -> DataFrame:
         """(entity, chunks): each node's chunk ids in reading order."""
@@ -51,7 +118,8 @@ class EntityGraph:
         """names (qid, entity_no, name) -> (qid, entity_no, entity): nodes of equal word form; where there is none and the
         compact form is long enough, nodes that contain it or that it contains."""
         n = F.col("name")
-        asked = names.select("qid", "entity_no", word_form(n).alias("word_form"), compact_form(n).alias("compact"))
+        # written, so that the forms aren't worked out anew for every piece of a name
+        asked = cut(names.select("qid", "entity_no", word_form(n).alias("word_form"), compact_form(n).alias("compact")))
         equal = asked.join(self.nodes.select("entity", "word_form"), "word_form").select("qid", "entity_no", "entity")
         rest = asked.where(F.length("compact") >= LEAST_PART).join(equal.select("qid", "entity_no").distinct(), ["qid", "entity_no"], "left_anti")
         within = self.sharing_parts(rest.select("compact").distinct())
@@ -71,11 +139,15 @@ class EntityGraph:
     def search(self, names: DataFrame, k: int = 20) -> DataFrame:
         """names (qid, entity_no, name) -> (qid, rank, chunk_id, score): 1 per matched node's chunk, 0.5 per chunk of a neighbour,
         added up over names, nodes and neighbours. Edge weights don't count."""
-        matched = self.match(names)
+        matched = cut(self.match(names))
         both = self.edges.select("src", "dst").union(self.edges.select("dst", "src"))
         own = matched.select("qid", "entity", F.lit(1.0).alias("part"))
         near = matched.join(both, F.col("entity") == F.col("src")).select("qid", F.col("dst").alias("entity"), F.lit(0.5).alias("part"))
         # per node first: a node that many names reach meets its chunks once
-        weight = own.union(near).groupBy("qid", "entity").agg(F.sum("part").alias("part"))
-        scores = weight.join(self.members, "entity").groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
-        return top_k(scores, ["qid"], [F.col("score").desc(), F.col("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
+        weight = cut(own.union(near).groupBy("qid", "entity").agg(F.sum("part").alias("part")))
+        asked = placed(weight.select("qid").distinct(), [F.col("qid")], "no")
+        groups = max(1, -(-asked.count() // QUESTIONS))
+        sent = weight.join(asked, "qid").select("no", "entity", "part").join(self.spots, "entity").withColumn("group", F.pmod(F.xxhash64("no"), F.lit(groups)))
+        scores = sent.repartition(shuffles(names.sparkSession), "block", "group").groupBy("block", "group").applyInArrow(best_of(k), "no long, place long, score double")
+        best = top_k(scores, ["no"], [F.col("score").desc(), F.col("place")], k)
+        return best.join(asked, "no").join(self.places, "place").select("qid", "rank", "chunk_id", "score")

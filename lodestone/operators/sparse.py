@@ -107,7 +107,7 @@ class SparseIndex:
         hits = cut(inverted.select(bucket_of(F.col("term")).alias("bucket"), span_of(F.col("block")).alias("span"), "term", "block", "tops", "hits"))
         lengths = placed.select(span_of(F.col("block")).alias("span"), "block", "slot", "chunk_id", *ORDER, "dl")
         corpus = chunks.sparkSession.createDataFrame([(n, average)], size.schema)
-        return cls(lengths, hits, weigh(hits, corpus, okapi), corpus, okapi)
+        return cls(lengths, hits, cut(weigh(hits, corpus, okapi)), corpus, okapi)
 
     @property
     def postings(self) -> DataFrame:

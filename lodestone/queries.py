@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from lodestone.functions import citations as cite
 from lodestone.functions.chunking import split_pages
-from lodestone.functions.text import clean_text, entities, target_matches, tokens, unique_strings
+from lodestone.functions.text import casefold, clean_text, entities, folds, target_matches, tokens, unique_strings
 from lodestone.operators import dense
 from lodestone.operators.fusion import merge_evidence, reciprocal_rank_fusion, rerank, unique_counts
 from lodestone.operators.graph import EntityGraph
@@ -23,7 +23,7 @@ from lodestone.operators.select import select_evidence
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans import answering, coverage, planning, workflow
 from lodestone.session import Settings, cut, shared_folder
-from lodestone.sources.store import Indexes, build_indexes, invalid, load_chunks, load_indexes, save_chunks, save_indexes, summary
+from lodestone.sources.store import Indexes, build_indexes, faults, invalid, load_chunks, load_indexes, manifests, save_chunks, save_indexes, summary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,9 +253,38 @@ def store_chunks(spark, sf):
     return load_chunks(spark, path)
 
 
+@register(
+    """WITH d AS (SELECT doc_id, (doc_id % 4)::INTEGER AS part, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS line, text, CASE WHEN doc_id % 50 = 13 THEN 0 ELSE doc_id END AS own FROM documents),
+r AS (SELECT part, line, CASE WHEN doc_id % 50 = 7 THEN 'no JSON' WHEN text = '' THEN 'text is empty' WHEN doc_id % 50 = 11 THEN 'page is below 1'
+  WHEN row_number() OVER (PARTITION BY own, doc_id % 50 = 7 ORDER BY part, line) > 1 AND doc_id % 50 <> 7 THEN 'duplicate chunk_id' END AS reason FROM d)
+SELECT part, line, reason FROM r WHERE reason IS NOT NULL"""
+)
+def store_faults(spark, sf):
+    """Documents as stores of one file for each remainder by four, some lines cut off, on page 0 or with the chunk_id of another."""
+    own = F.concat(F.lit("d"), F.when(F.col("doc_id") % 50 == 13, 0).otherwise(F.col("doc_id")))
+    line = F.to_json(F.struct(own.alias("chunk_id"), F.lit("p.pdf").alias("paper"), F.when(F.col("doc_id") % 50 == 11, 0).otherwise(1).alias("page"), "text"))
+    lines = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("part"), "doc_id", F.when(F.col("doc_id") % 50 == 7, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    path = place(spark, "lines")
+    lines.repartition(4, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    return faults(spark, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "line", "reason")
+
+
 # ---------------------------------------------------------------- sparse
 
 
+SPECIAL = list(folds().items())
+
+
+@register(
+    f"""WITH f(i, c, f) AS (VALUES {", ".join(f"({i}, '{c}', '{f}')" for i, (c, f) in enumerate(SPECIAL))})
+SELECT doc_id, md5(replace(replace(lower(replace(text, 'e', chr(1))), 'ß', 'ss'), chr(1), f.f)) AS folded FROM documents JOIN f ON f.i = doc_id % {len(SPECIAL)}"""
+)
+def fold_texts(spark, sf):
+    """Texts in which every e is one of the characters that lower case doesn't fold."""
+    character = F.element_at(F.split(F.lit(" ".join(c for c, _ in SPECIAL)), " "), (F.col("doc_id") % len(SPECIAL) + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(casefold(F.replace("text", F.lit("e"), character))).alias("folded"))
+
+
 @register(with_(BM25, "SELECT term, chunk_id, tf FROM postings"))
 def tokenize_terms(spark, sf):
     return SparseIndex.build(chunks(spark, sf)).postings.select("term", "chunk_id", "tf")
@@ -282,6 +311,13 @@ def store_sparse(spark, sf):
     return stored_indexes(spark, sf)[1].sparse.search(questions(spark, sf)).select("qid", "rank", "chunk_id", r6("score"))
 
 
+@register(with_(GRAPH, "SELECT 1::BIGINT AS generation, 'lodestone.queries.letters' AS model, 'injected' AS backend, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS entities, (SELECT count(*) FROM edges) AS edges, 26 AS width"))
+def index_manifest(spark, sf):
+    path = place(spark, "indexes")
+    save_indexes(build_indexes(cut(chunks(spark, sf)), letters), path)
+    return manifests(spark, path).drop("folder")
+
+
 # ---------------------------------------------------------------- graph
 
 
@@ -344,6 +380,14 @@ def dense_search_max(spark, sf):
     return dense.search_max(e.select(F.col("label").alias("qid"), F.col("vec_id").alias("query_no"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding")).select("qid", "rank", "id", r6("score"))
 
 
+@register(SQL["dense_search_many"])
+def dense_cells(spark, sf):
+    """The same over an index of cells, of which only those that can matter are compared."""
+    e = table(spark, sf, "embeddings")
+    index = dense.DenseIndex.build(e.select(F.col("vec_id").alias("id"), "embedding"), 16)
+    return index.search_many(e.select(F.col("vec_id").alias("qid"), "embedding")).select("qid", "rank", "id", r6("score"))
+
+
 @register("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
 def dense_normalise(spark, sf):
     return dense.normalised(table(spark, sf, "embeddings")).select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
@@ -548,6 +592,17 @@ gaps AS (SELECT n.*, c.ids IS NULL AS gap FROM needed n LEFT JOIN cells c USING
 verified AS (SELECT qid, coalesce(string_agg(target || ': ' || facet, '|' ORDER BY o) FILTER (gap), '') AS missing, CASE WHEN count(*) FILTER (NOT gap) = 0 THEN 'insufficient' WHEN count(*) FILTER (gap) = 0 THEN 'complete' ELSE 'partial' END AS status FROM gaps GROUP BY qid)"""
 
 
+@register("SELECT doc_id AS qid, 'question' AS target, 'aim' AS facet, CASE WHEN doc_id % 3 > 0 THEN 'E' || (doc_id % 3) WHEN doc_id % 2 = 0 THEN 'E1' ELSE 'E2' END AS ids FROM documents")
+def coverage_repeated(spark, sf):
+    """Payloads whose keys repeat, or differ only in case: a repeated key has its last value at its first place, and later keys count."""
+    i = F.col("doc_id")
+    payload = F.format_string('{"covered": 1, "covered": {"question": {"aim": ["E9"]}, "QUESTION": {"Aim": [%s], "AIM": ["E%d"]}, "question": {"aim": ["E2"]}}}', F.when(i % 2 == 0, '"E1"').otherwise(""), i % 3)
+    item = F.struct(F.lit("c").alias("chunk_id"), F.lit("p.pdf").alias("paper"), F.lit(1).alias("page"), "text", F.lit(1.0).alias("score"))
+    none = F.array().cast("array<string>")
+    states = table(spark, sf, "documents").select(i.alias("qid"), none.alias("targets"), F.array(F.lit("aim")).alias("facets"), F.array(item, item).alias("evidence"), payload.alias("payload"))
+    return coverage.sanitize_coverage(states).select("qid", "target", "facet", F.array_join("ids", " ").alias("ids"))
+
+
 @register(with_(NEEDED, "SELECT qid, missing FROM verified"))
 def coverage_missing(spark, sf):
     return coverage.verify(states_of(spark, sf)).select("qid", F.array_join("verification.missing", "|").alias("missing"))

@@ -126,7 +126,7 @@ def identity(encoder) -> tuple[str, str]:
     return model, "injected" if load is None else load.__name__
 
 
-TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "dense": ("vectors", "cells"), "graph": ("members", "nodes", "edges")}
+TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "dense": ("vectors", "cells"), "graph": ("members", "nodes", "edges", "places", "spots")}
 MANIFEST = "generation long, folder string, model string, backend string, chunks long, entities long, edges long, width int"
 
 
@@ -159,7 +159,8 @@ def save_indexes(indexes: Indexes, index_dir: str) -> dict:
         elif name == "dense.vectors":
             indexes.dense.spread().sortWithinPartitions("cell").write.partitionBy("cell").parquet(path)
         else:
-            (df.sort("term") if t == "terms" else df).write.parquet(path)
+            by = {"terms": "term", "spots": "entity", "places": "place"}.get(t)
+            (df.sort(by) if by else df).write.parquet(path)
     graph = load_generation(spark, {"folder": folder, "model": indexes.model, "backend": indexes.backend}).graph
     width = F.size(F.first("centre")) if n else F.lit(0)
     told = indexes.dense.cells.agg(F.lit(newest + 1).cast("long").alias("generation"), F.lit(folder).alias("folder"), F.lit(indexes.model).cast("string").alias("model"), F.lit(indexes.backend).cast("string").alias("backend"), F.lit(n).cast("long").alias("chunks"), width.cast("int").alias("width"))

@@ -133,3 +133,26 @@ def test_selection_equals_greedy(spark):
     for r in select_evidence(df, F.col("targets")).orderBy("qid", "evidence_no").collect():
         got.setdefault(r.qid, []).append(r.chunk_id)
     assert {q: got.get(q, []) for q in want} == want
+
+
+def test_a_hub_is_sent_as_bitmaps_and_ties_keep_the_order_of_ids(spark):
+    draw = random.Random(2)
+    rows = [(f"c{i:05}", "p.pdf", i, 0, " ".join(draw.choices(["HUB", "Self-RAG", "CRAG", "BERT", "none"], [30, 2, 2, 1, 1], k=3))) for i in range(9000)]
+    g = EntityGraph.build(spark.createDataFrame(rows, "chunk_id string, paper string, page int, position int, text string").repartition(3))
+    names = spark.createDataFrame([(q, i, n) for q in range(6) for i, n in enumerate(draw.sample(["HUB", "self rag", "crag", "bert", "nobody"], 2))], "qid int, entity_no int, name string")
+    chunks = {i: {e.lower() for e in text.split()} - {"none"} for i, _, _, _, text in rows}
+    near = {e: {x for own in chunks.values() if e in own for x in own if x != e} for e in ("hub", "self-rag", "crag", "bert")}
+    want = []
+    for q in range(6):
+        parts = Counter()
+        for r in names.where(F.col("qid") == q).collect():
+            e = r.name.lower().replace(" ", "-")
+            for x in near.get(e, ()):
+                parts[x] += 0.5
+            parts[e] += e in near
+        scores = sorted((-s, i) for i, own in chunks.items() if (s := sum(parts[e] for e in own)) > 0)[:15]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert sorted(map(tuple, g.search(names, 15).collect())) == want
+    # 9,000 chunks, of which most hold the hub, are a few bitmaps
+    sent = g.spots.where("entity = 'hub'").agg(F.count("*"), F.sum(F.octet_length("slots"))).first()
+    assert sent[0] <= 8 and sent[1] <= 8 * 512
