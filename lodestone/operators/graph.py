@@ -31,8 +31,15 @@ def packed(slots: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) == PLACES // 8 else np.frombuffer(raw, "<u2")
+def cells(slots: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and slots of packed slots, all at once."""
+    ends = np.frombuffer(slots.buffers()[1], np.int32)[slots.offset : slots.offset + len(slots) + 1]
+    size, raw = np.diff(ends), np.frombuffer(slots.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    whole = size == PLACES // 8
+    of_byte = np.repeat(whole, size)
+    short = np.flatnonzero(~whole)
+    row, slot = np.nonzero(np.unpackbits(raw[of_byte].reshape(-1, PLACES // 8), axis=1))
+    return np.concatenate((np.repeat(short, size[short] // 2), np.flatnonzero(whole)[row])), np.concatenate((raw[~of_byte].view("<u2").astype(np.int64), slot))
 
 
 def spots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,20 +63,20 @@ def spots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def best_of(k: int) -> Callable[[pa.Table], pa.Table]:
     def best(table: pa.Table) -> pa.Table:
-        """applyInArrow on a block's slots of some questions' entities (no, block, part, slots): each question's k best places, ties by place."""
+        """applyInArrow on a block's slots of at most some QUESTIONS' entities (no, block, part, slots): each question's k best places, ties by place."""
+        table = table.combine_chunks()
         block = table.column("block")[0].as_py()
-        scores: dict[int, np.ndarray] = {}
-        for no, part, raw in zip(*(table.column(c).to_pylist() for c in ("no", "part", "slots")), strict=True):
-            if no not in scores:
-                scores[no] = np.zeros(PLACES)
-            scores[no][unpacked(raw)] += part  # multiples of a half: exact
-        found = []
-        for no, own in scores.items():
-            at = np.flatnonzero(own)
-            at = at[np.argsort(-own[at], kind="stable")[:k]]
-            found.append((np.full(len(at), no), block * PLACES + at, own[at]))
-        no, place, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"no": pa.array(no, pa.int64()), "place": pa.array(place, pa.int64()), "score": pa.array(score, pa.float64())})
+        names, question = np.unique(table.column("no").to_numpy(), return_inverse=True)
+        row, slot = cells(table.column("slots").combine_chunks().cast(pa.binary()))
+        # twice the score is a whole number, and with the slot behind it a key by which places of a question are ranked
+        twice = np.bincount(question[row] * PLACES + slot, 2 * table.column("part").to_numpy()[row], len(names) * PLACES).astype(np.int64).reshape(-1, PLACES)
+        key = twice * PLACES + np.arange(PLACES - 1, -1, -1)
+        own = np.argpartition(key, PLACES - k, axis=1)[:, PLACES - k :] if k < PLACES else np.tile(np.arange(PLACES), (len(names), 1))
+        no = np.repeat(np.arange(len(names)), own.shape[1])
+        at = own.ravel()
+        some = twice[no, at] > 0
+        no, at = no[some], at[some]
+        return pa.table({"no": pa.array(names[no]), "place": pa.array(block * PLACES + at), "score": pa.array(twice[no, at] / 2)})
 
     return best
 
@@ -140,7 +147,8 @@ class EntityGraph:
         """names (qid, entity_no, name) -> (qid, rank, chunk_id, score): 1 per matched node's chunk, 0.5 per chunk of a neighbour,
         added up over names, nodes and neighbours. Edge weights don't count."""
         matched = cut(self.match(names))
-        both = self.edges.select("src", "dst").union(self.edges.select("dst", "src"))
+        ends = F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        both = self.edges.select(ends.alias("e")).select("e.src", "e.dst")
         own = matched.select("qid", "entity", F.lit(1.0).alias("part"))
         near = matched.join(both, F.col("entity") == F.col("src")).select("qid", F.col("dst").alias("entity"), F.lit(0.5).alias("part"))
         # per node first: a node that many names reach meets its chunks once
