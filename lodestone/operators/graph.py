@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import compact_form, entities, word_form
 from lodestone.operators.ranking import placed, top_k
-from lodestone.session import cut, shuffles
+from lodestone.session import cut, drop, shuffles
 
 #: Compact names of fewer characters are not searched for as parts.
 LEAST_PART = 5
@@ -105,7 +105,9 @@ class EntityGraph:
     @classmethod
     def build(cls, chunks: DataFrame) -> EntityGraph:
         """Names are found once; they are written to the checkpoint folder."""
-        named = placed(chunks.select("chunk_id", entities(F.col("text")).alias("names")), [F.col("chunk_id")])
+        found = cut(chunks.select("chunk_id", entities(F.col("text")).alias("names")))  # sorting samples its input, which reads it twice
+        named = placed(found, [F.col("chunk_id")])
+        drop(found)
         members = named.select(F.explode("names").alias("entity"), "chunk_id")
         e = F.col("entity")
         nodes = cut(members.select("entity").distinct().select("entity", word_form(e).alias("word_form"), compact_form(e).alias("compact")))
