@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import batches_of, per_batch, text_bytes
+from lodestone.llm.common import batches_of, columns_of, per_batch, text_bytes
 
 NAMES = ("length", "capitals", "symbols", "exclamations", "digits", "punctuation", "word_length", "spread", "variety", "repeats", "lines", "worst_symbols", "worst_capitals", "worst_repeats", "marked_words", "longest")
 STRETCH = 48
@@ -206,10 +206,14 @@ def accepted(docs: DataFrame, model: Qda, threshold: float = 0.7) -> DataFrame:
 
 
 def teaching(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """The documents and labels to fit on: all labelled ones up to `most`, beyond that a sample of about as many by a hash of doc_id."""
+    """The documents and labels to fit on: all labelled ones up to `most`, beyond that a sample of about as many by a hash of doc_id. Documents
+    without a label are not among them, so only texts to learn from are described."""
     n = labels.where("doc_id is not null and quality in (0, 1)").count()
     some = lambda df: df.where(F.xxhash64(F.col("doc_id").cast("string")) / F.lit(2.0**64) + 0.5 <= min(1.0, most / max(1, n)))
-    return some(docs), some(labels)
+    ids = some(labels).where("doc_id is not null and quality in (0, 1)").select("doc_id").distinct()
+    # about `most` ids at most, by the hash; counted, for a join that moves no text
+    ids = F.broadcast(ids) if ids.count() <= 2 * most else ids
+    return some(docs).join(ids, "doc_id", "left_semi").select(*columns_of(docs)), some(labels)
 
 
 def taught(labels: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ NearCopies is the pipeline's stage: five-word shingles, distances as wide as a J
 check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, and no
 upper node prunes, so its buckets are shingles instead, compared flat: with the shingles of all texts in one order (common
 ones last), two sets of similarity 0.8 or more always share one of their first n - ceil(0.8 n) + 1. Texts of a bucket whose
-sizes allow the similarity and whose fingerprints link, by 64 bits and by 128, are candidates; each connected set of candidates
+sizes allow the similarity and whose fingerprints link, by 64 bits and by 128, are candidates. A bucket of more than `most_texts` is
+never held by one task: its rows are passed on, dealt by size, and blocks of them meet pairwise. Each connected set of candidates
 is compared in a task of its own, where a pair's shingle sets are intersected unless it is merged already. A set of more than
 a block's texts is cut into blocks: all are compared with its hubs, a few of its texts, first, and then only those that hubs
 did not put into the set's largest group with all blocks. So near copies of one text, however many, cost work in proportion. At a similarity of 0.8 a bit differs with a probability of 0.15, of short texts 0.2; the limits,
@@ -34,6 +35,7 @@ of any type that has an order, other columns of any type.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,6 +287,8 @@ class NearCopies:
     common: int = 1000
     sample: int = 20_000
     max_common: int = 100_000
+    #: Texts that share one first shingle are compared in one task up to so many, beyond that in blocks of so many.
+    most_texts: int = 8192
     block_texts: int = 1024
     block_bytes: int = 16 << 20
     #: Texts of a set of several blocks with which all others are compared first.
@@ -336,8 +340,12 @@ class NearCopies:
         return (near <= self.distance) & (wide <= self.wide_distance) & (np.minimum(size[a], size[b]) * below >= np.maximum(size[a], size[b]) * above)
 
     def candidates(self, texts: DataFrame) -> DataFrame:
-        """Edges (u, v) between nodes that share a first shingle and whose sizes and fingerprints allow the similarity; enough to connect all such."""
-        close, near = self.close, 64
+        """Edges (u, v) between nodes that share a first shingle and whose sizes and fingerprints allow the similarity; enough to connect all such.
+
+        A task passes on, as they come, the rows of a shingle that more than most_texts texts have. They are dealt into classes of size, each
+        text into its own and the next one (whose sizes the similarity can't reach farther), and classes into blocks that meet pairwise.
+        """
+        close, near, most = self.close, 64, self.most_texts
 
         def link(h: np.ndarray, node: np.ndarray, fps: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             out, starts = [], np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -362,29 +370,78 @@ class NearCopies:
                 out.append((node[a[hit]], node[b[hit]]))
             return out
 
+        def edges_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            return np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+
+        def rows_of(edges: np.ndarray, passed: list[np.ndarray] | None = None) -> pa.RecordBatch:
+            """Edges, after the rows that are passed on."""
+            passed = passed or [np.zeros(0, np.int64)] * len(names)
+            n, e = len(passed[0]), len(edges)
+            columns = [pa.array(np.concatenate([c, np.zeros(e, np.int64)])) for c in passed]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate([np.zeros(n, np.int64), c])) for c in edges.T), pa.array(np.arange(n + e) < n)], names=[*names, "u", "v", "passed"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held(None)
             rest: list[list[np.ndarray]] = []
+            kept, hot = 0, None
             for batch in itertools.chain(batches, [None]):
-                if batch is not None and not batch.num_rows:
-                    continue
                 if batch is not None:
-                    rest.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                    if rest[0][0][0] == rest[-1][0][-1]:
-                        continue  # one shingle so far, and perhaps beyond
+                    columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                    if hot is not None:  # more of a shingle whose rows are passed on
+                        n = int(np.searchsorted(columns[0], hot, "right"))
+                        if n:
+                            yield rows_of(np.zeros((0, 2), np.int64), [c[:n] for c in columns])
+                        columns = [c[n:] for c in columns]
+                    if not len(columns[0]):
+                        continue
+                    hot = None
+                    rest.append(columns)
+                    kept += len(columns[0])
+                    if rest[0][0][0] == columns[0][-1]:  # one shingle so far, and perhaps beyond
+                        if kept > most:
+                            hot = columns[0][-1]
+                            yield rows_of(np.zeros((0, 2), np.int64), [np.concatenate(c) for c in zip(*rest, strict=True)])
+                            rest, kept = [], 0
+                        continue
                 if not rest:
                     continue
                 columns = [np.concatenate(c) for c in zip(*rest, strict=True)]
-                h, node, fp, fp2, size = columns
+                h = columns[0]
                 end = len(h) if batch is None else int(np.flatnonzero(h != h[-1])[-1]) + 1
-                rest = [[c[end:] for c in columns]] if end < len(h) else []
-                pairs = link(h[:end], node[:end], (fp[:end].view(np.uint64), fp2[:end].view(np.uint64)), size[:end])
-                if pairs:
-                    edges = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["u", "v"])
-
-        sent = texts.select(F.explode("first").alias("h"), "node", "fp", "fp2", "size").repartition("h").sortWithinPartitions("h")
-        return sent.mapInArrow(run, "u long, v long").distinct()
+                rest, kept = ([[c[end:] for c in columns]], len(h) - end) if end < len(h) else ([], 0)
+                starts = np.flatnonzero(np.concatenate(([True], h[1:end] != h[: end - 1])))
+                lengths = np.diff(np.append(starts, end))
+                many = np.repeat(lengths > most, lengths)
+                passed = [c[:end][many] for c in columns]
+                h, node, fp, fp2, size = (c[:end][~many] for c in columns)
+                edges = edges_of(link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size)) if len(h) else edges_of([])
+                if len(edges) or len(passed[0]):
+                    yield rows_of(edges, passed)
+
+        names = ("h", "node", "fp", "fp2", "size")
+        own = texts.select(F.explode("first").alias("h"), "node", "fp", "fp2", "size").repartition("h").sortWithinPartitions("h")
+        found = cut(own.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "u", "v")) + ", passed boolean"))
+        edges, hot = found.where("not passed").select("u", "v"), found.where("passed").select(*names)
+        if hot.isEmpty():
+            return edges.distinct()
+        above, below = self.similar
+        step = math.log(below / above) * (1 + 1e-9)  # a little more: rounding must not put a size beyond the next class
+        own_class = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(step))
+        classes = hot.withColumn("class", F.explode(F.array(own_class, own_class + 1)))
+        blocks = cut(classes.groupBy("h", "class").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks")))
+        dealt = classes.join(blocks, ["h", "class"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ("h", "class", "low", "high")
+        met = dealt.select("h", "class", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *names[1:])
+
+        def compare(table: pa.Table) -> pa.Table:
+            held(None)
+            h, node, fp, fp2, size = (table.column(c).to_numpy() for c in names)
+            edges = edges_of(link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size))
+            return pa.table({"u": edges[:, 0].copy(), "v": edges[:, 1].copy()})
+
+        more = met.repartition(shuffles(texts.sparkSession), *keys).groupBy(*keys).applyInArrow(compare, "u long, v long")
+        return edges.union(more).distinct()
 
     def merged(self, docs: DataFrame, texts: DataFrame) -> DataFrame:
         """(node, component) of every text that is linked with another: pairs of candidates at the similarity or more."""

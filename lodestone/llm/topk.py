@@ -1,6 +1,7 @@
 """Exact top-k search by integer inner product, with a KD-tree per shard.
 
-Vectors become integers floor(scale * x). Rows are dealt into shards of about `shard_rows`; each shard's tree splits at the
+Vectors become integers floor(scale * x). Rows are dealt into shards of about `shard_rows` (more, up to `most_rows`, where there
+would be over `most_shards` shards: what is sent is queries x shards); each shard's tree splits at the
 median of the widest dimension down to leaves of `leaf_rows`, with tight bounding boxes. It is built once and written as one
 row of the index. Queries are packed into blocks of about `block_queries`, a row each. Every block meets every shard, as one
 join, twice. First a shard scores each query's most promising leaf; the k-th best of these scores over all shards is a lower
@@ -147,7 +148,10 @@ def matrix(rows: pa.Array, dim: int) -> np.ndarray:
 class TopK:
     k: int = 5
     scale: int = 256
+    #: Rows of a shard; from most_shards on shards grow to most_rows before there are more of them, as each query goes to every shard.
     shard_rows: int = 8192
+    most_shards: int = 1024
+    most_rows: int = 1 << 18
     leaf_rows: int = 256
     block_queries: int = 2048
 
@@ -162,7 +166,9 @@ class TopK:
         """(query_id, rank, vec_id, score): the k best vectors of each query. Both: columns vec_id, embedding."""
         rows = cut(self.integers(vectors).withColumn("dim", F.size("x")))
         asked = cut(self.integers(queries).withColumn("dim", F.size("x")).distinct())
-        sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("shards"))
+        n = F.count("*")
+        shards = F.greatest(F.least(F.ceil(n / self.shard_rows), F.lit(self.most_shards)), F.ceil(n / self.most_rows))
+        sizes = rows.groupBy("dim").agg(shards.cast("int").alias("shards"))
         sizes = cut(sizes.join(asked.groupBy("dim").agg(F.ceil(F.count("*") / self.block_queries).cast("int").alias("blocks")), "dim"))  # lengths of vectors: usually one
         total = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0)).alias("shards"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()
         # as many partitions as shards, up to a bound: rows are few, work per row is not

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_words import EDGES, WORD, docs_of, edge_docs
 
 from lodestone.llm import queries, secrets, simhash, tokens, urls
+from lodestone.llm.common import components
 
 # ---------------------------------------------------------------- near copies (pipeline)
 
@@ -49,7 +51,7 @@ def near_texts(seed):
     return texts + ["", "  \n", None]
 
 
-@pytest.mark.parametrize("method", [simhash.NearCopies(), simhash.NearCopies(block_texts=7, common=10**6, max_common=3), simhash.NearCopies(block_texts=7, hubs=1), simhash.NearCopies(block_bytes=3000)])
+@pytest.mark.parametrize("method", [simhash.NearCopies(), simhash.NearCopies(block_texts=7, common=10**6, max_common=3), simhash.NearCopies(block_texts=7, hubs=1), simhash.NearCopies(block_bytes=3000), simhash.NearCopies(most_texts=5, common=10**6)])
 def test_near_copies_equal_brute_force(spark, method):
     texts = near_texts(3)
     df = docs_of(spark, texts).repartition(3)
@@ -247,3 +249,38 @@ def test_histogram_query_answers_quantiles(spark, tmp_path):
     shares = [0.1, 0.5, 0.9, 1.0]
     want = {r.share: r.n_tokens for r in tokens.quantiles(tokens.limits(tokens.histogram(df)), shares).collect()}
     assert {q: next(r.context_limit for r in rows if r.share_within >= q) for q in shares} == want
+
+
+# ---------------------------------------------------------------- common shingles (pipeline)
+
+
+@pytest.mark.parametrize("most", [64, 700])
+def test_a_bucket_of_many_texts_is_cut_into_blocks(spark, most):
+    """3,000 texts in one bucket, a tenth of them near copies: blocks connect what one task would connect."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [draw.choices(words, k=draw.choice([20, 25, 31, 39, 49, 60])) for _ in range(2700)]
+    for _ in range(300):
+        near = list(draw.choice(texts))
+        near[draw.randrange(len(near))] = "other"
+        texts.append(near)
+    line = "one line that all texts share"
+    df = docs_of(spark, [line + " " + " ".join(t) for t in texts])
+    method = simhash.NearCopies(most_texts=most, common=10**9)
+    marked = method.described(df, np.zeros(0, np.uint64)).withColumn("node", F.col("doc_id"))
+    # one shingle of the common line stands first in every text
+    hot = marked.withColumn("first", F.concat(F.array(F.lit(7).cast("long")), "first"))
+    parts = lambda m: {(r.node, r.component) for r in components(m.candidates(hot), "u", "v").collect()}
+    want = parts(simhash.NearCopies(most_texts=10**9))
+    assert parts(method) == want and len(want) > 400
+
+
+def test_equal_and_unequal_fingerprints_over_blocks(spark):
+    n = 4000
+    rows = spark.range(n).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"), F.xxhash64("id", F.lit(1)).alias("fp2"), F.lit(100).cast("long").alias("size"), F.array(F.lit(5).cast("long")).alias("first"))
+    method = simhash.NearCopies(most_texts=500)
+    parts = lambda m: {(r.node, r.component) for r in components(m.candidates(rows), "u", "v").collect()}
+    assert parts(method) == parts(simhash.NearCopies(most_texts=n))
+    same = rows.withColumn("fp", F.lit(1).cast("long")).withColumn("fp2", F.lit(1).cast("long"))
+    got = components(method.candidates(same), "u", "v").collect()
+    assert len(got) == n and {r.component for r in got} == {0}
