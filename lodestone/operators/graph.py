@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,6 +18,10 @@ from lodestone.session import cut, drop, shuffles
 
 #: Compact names of fewer characters are not searched for as parts.
 LEAST_PART = 5
+#: What a key of a node is: its word form, a compact name below LEAST_PART, a longer one's first LEAST_PART characters, its other pieces of that length.
+FORM, SHORT, HEAD, INNER = range(4)
+#: Folders of the stored keys of a kind; short names, of which there can't be many, share one.
+KEY_BUCKETS = 128
 #: Chunks in a block of places, and so bits in a bitmap.
 PLACES = 4096
 #: Questions whose scores in a block are added up in one group.
@@ -87,13 +93,28 @@ def pieces(c: str, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
 
 
+def key(kind: int, value: Column) -> Column:
+    bucket = F.lit(0) if kind == SHORT else F.pmod(F.xxhash64(value), F.lit(KEY_BUCKETS)).cast("int")
+    return F.struct(F.lit(kind).alias("kind"), bucket.alias("bucket"), value.alias("key"))
+
+
+def keys_of(nodes: DataFrame) -> DataFrame:
+    """nodes (entity, word_form, compact) -> (kind, bucket, key, entity, own): a row per key by which a node is found; own is its compact form."""
+    own, head = F.col("compact"), F.substring("compact", 1, LEAST_PART)
+    form = F.array(key(FORM, F.col("word_form")))
+    short = F.filter(F.array(key(SHORT, own)), lambda k: F.length(k["key"]).between(1, LEAST_PART - 1))
+    long = F.filter(F.array(key(HEAD, head)), lambda k: F.length(k["key"]) == LEAST_PART)
+    inner = F.transform(F.array_remove(pieces("compact", LEAST_PART), head), lambda p: key(INNER, p))
+    return nodes.select(F.explode(F.concat(form, short, long, inner)).alias("k"), "entity", own.alias("own")).select("k.*", "entity", "own")
+
+
 @dataclass(frozen=True)
 class EntityGraph:
     """members(entity, chunk_id), nodes(entity, word_form, compact), edges(src, dst, weight), each edge once, src < dst;
-    places(place, chunk_id): a number of each chunk that rises with its id; spots(entity, block, slots): an entity's chunks, packed by blocks of places.
+    places(place, chunk_id): a number of each chunk that rises with its id; spots(entity, block, slots): an entity's chunks, packed by blocks of places; keys(kind, bucket, key, entity, own): what nodes are found by.
 
     A search adds up packed blocks: an entity of very many chunks sends a bitmap per block and question, not a row per chunk, and of each
-    block only a question's k best chunks go on.
+    block only a question's k best chunks go on. Names are looked up by key: of a stored graph's keys only the asked buckets' folders are read, never all nodes.
     """
 
     members: DataFrame
@@ -101,6 +122,7 @@ class EntityGraph:
     edges: DataFrame
     places: DataFrame
     spots: DataFrame
+    keys: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame) -> EntityGraph:
@@ -115,7 +137,7 @@ class EntityGraph:
         ordered = named.select(F.array_sort("names").alias("names"))
         pairs = ordered.select(F.posexplode("names").alias("i", "src"), "names").select("src", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("dst"))
         spots = named.where(F.size("names") > 0).select("place", "names").mapInArrow(spots_of, "entity string, block long, slots binary")
-        return cls(members, nodes, pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")), named.select("place", "chunk_id"), spots)
+        return cls(members, nodes, pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")), named.select("place", "chunk_id"), spots, keys_of(nodes))
 
     def node_lists(self, chunks: DataFrame) -> DataFrame:
         """(entity, chunks): each node's chunk ids in reading order."""
@@ -129,21 +151,34 @@ class EntityGraph:
         n = F.col("name")
         # written, so that the forms aren't worked out anew for every piece of a name
         asked = cut(names.select("qid", "entity_no", word_form(n).alias("word_form"), compact_form(n).alias("compact")))
-        equal = asked.join(self.nodes.select("entity", "word_form"), "word_form").select("qid", "entity_no", "entity")
+        equal = self.keyed(asked.select("qid", "entity_no", key(FORM, F.col("word_form")).alias("k"))).select("qid", "entity_no", "entity")
         rest = asked.where(F.length("compact") >= LEAST_PART).join(equal.select("qid", "entity_no").distinct(), ["qid", "entity_no"], "left_anti")
         within = self.sharing_parts(rest.select("compact").distinct())
         return equal.unionByName(rest.join(within, "compact").select("qid", "entity_no", "entity"))
 
+    def folders(self, asked: DataFrame) -> DataFrame:
+        """The keys of the buckets that asked (k) names."""
+        buckets: dict[int, list[int]] = {}
+        for r in asked.select("k.kind", "k.bucket").distinct().collect():  # 3 * KEY_BUCKETS + 1 at most
+            buckets.setdefault(r["kind"], []).append(r["bucket"])
+        some = [(F.col("kind") == kind) & F.col("bucket").isin(sorted(own)) for kind, own in sorted(buckets.items())]
+        return self.keys.where(functools.reduce(operator.or_, some, F.lit(False)))
+
+    def keyed(self, asked: DataFrame) -> DataFrame:
+        """asked (k, ...) with the nodes of its keys: (..., entity, own)."""
+        asked = cut(asked)
+        return asked.select("*", "k.*").drop("k").join(self.folders(asked), ["kind", "bucket", "key"]).drop("kind", "bucket", "key")
+
     def sharing_parts(self, names: DataFrame) -> DataFrame:
         """names (compact, of LEAST_PART characters or more, each once) -> (compact, entity): nodes whose compact form contains the name's or
         is contained in it. Of two names of which one contains the other, the larger holds the smaller's first LEAST_PART
-        characters, or, if that is shorter, all of it: equal pieces are joined, and what they bring together is verified."""
-        asked, nodes = names.select(F.col("compact").alias("part")), self.nodes.select("entity", F.col("compact").alias("own"))
-        larger = nodes.where(F.length("own") >= LEAST_PART).select("entity", "own", F.explode(pieces("own", LEAST_PART)).alias("piece")).join(asked.withColumn("piece", F.substring("part", 1, LEAST_PART)), "piece")
-        smaller = asked.withColumn("piece", F.explode(F.flatten(F.array(*[pieces("part", n) for n in range(1, LEAST_PART + 1)])))).join(nodes.withColumn("piece", F.substring("own", 1, LEAST_PART)), "piece")
-        # a piece of fewer characters than LEAST_PART is a whole name; a longer name begins with its piece
-        found = larger.where(F.col("own").contains(F.col("part"))).select("part", "entity").unionByName(smaller.where(F.col("part").contains(F.col("own"))).select("part", "entity"))
-        return found.distinct().withColumnRenamed("part", "compact")
+        characters, or, if that is shorter, all of it: what equal keys bring together is verified."""
+        c, own = F.col("compact"), F.col("own")
+        within = F.transform(pieces("compact", LEAST_PART), lambda p: key(HEAD, p))
+        short = F.transform(F.flatten(F.array(*[pieces("compact", n) for n in range(1, LEAST_PART)])), lambda p: key(SHORT, p))
+        around = F.array(key(INNER, F.substring("compact", 1, LEAST_PART)))  # as a larger name's own head it is among the former
+        found = self.keyed(names.select("compact", F.explode(F.concat(within, short, around)).alias("k")))
+        return found.where(own.contains(c) | c.contains(own)).select("compact", "entity").distinct()
 
     def search(self, names: DataFrame, k: int = 20) -> DataFrame:
         """names (qid, entity_no, name) -> (qid, rank, chunk_id, score): 1 per matched node's chunk, 0.5 per chunk of a neighbour,

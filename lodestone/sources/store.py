@@ -126,7 +126,7 @@ def identity(encoder) -> tuple[str, str]:
     return model, "injected" if load is None else load.__name__
 
 
-TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "dense": ("vectors", "cells"), "graph": ("members", "nodes", "edges", "places", "spots")}
+TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "dense": ("vectors", "cells"), "graph": ("members", "nodes", "edges", "places", "spots", "keys")}
 MANIFEST = "generation long, folder string, model string, backend string, chunks long, entities long, edges long, width int"
 
 
@@ -158,6 +158,9 @@ def save_indexes(indexes: Indexes, index_dir: str) -> dict:
             df.repartition(spread, "span", F.col("block") % spread).sortWithinPartitions("span", "block").write.partitionBy("span").parquet(path)
         elif name == "dense.vectors":
             indexes.dense.spread().sortWithinPartitions("cell").write.partitionBy("cell").parquet(path)
+        elif t == "keys":  # by ranges, so that a key of very many names isn't one task's
+            by = ("kind", "bucket", "key", "entity")
+            df.repartitionByRange(spread, *by).sortWithinPartitions(*by).write.partitionBy("kind", "bucket").parquet(path)
         else:
             by = {"terms": "term", "spots": "entity", "places": "place"}.get(t)
             (df.sort(by) if by else df).write.parquet(path)

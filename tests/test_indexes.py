@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import address, dense, sparse
+from lodestone.operators import graph as graph_module
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans.workflow import RetrievalEngine
 from lodestone.sources import store
@@ -184,3 +186,31 @@ def test_lines_are_numbered_file_by_file(spark, tmp_path, small_splits):
         (tmp_path / f"{name}.jsonl").write_bytes("\r\n".join(f"{name}{i + 1}" + "y" * (i % 40) for i in range(n)).encode())
     got = store.numbered_lines(store.read_lines(spark, str(tmp_path))).collect()
     assert len(got) == 2200 and all(r.value.strip("y")[1:] == str(r.line) and f"/{r.value[0]}.jsonl" in r.file for r in got)
+
+
+NAMED = ["html", "ml", "self-rag", "Selfless RAG Models", "rag", "straße", "parser", "html parser", "model", "models of models", "e5", "c++", "aaaaaa", "aaaaaaa", "baaaaab"]
+SOUGHT = ["htmlparser", "HTML", "pars", "Self  RAG", "large models of models of text", "aaaaa", "xaaaaaax", "STRASSE", "parse", "e5 base", "nothing", "", "+++++"]
+
+
+def test_stored_names_are_found_by_key_and_not_by_reading_nodes(spark, tmp_path):
+    rows = [(f"n{i:04}", f"zz{i * 7919 % 10007} unit{i}") for i in range(600)]
+    nodes = spark.createDataFrame([(n,) for n in NAMED] + [(x,) for _, x in rows], "entity string").select("entity", text.word_form(F.col("entity")).alias("word_form"), text.compact_form(F.col("entity")).alias("compact"))
+    path = str(tmp_path / "keys")
+    by = ("kind", "bucket", "key", "entity")
+    graph_module.keys_of(nodes).repartitionByRange(4, *by).sortWithinPartitions(*by).write.partitionBy("kind", "bucket").parquet(path)
+    stored = graph_module.EntityGraph(None, None, None, None, None, spark.read.parquet(path))
+    names = spark.createDataFrame([("q", i, n) for i, n in enumerate(SOUGHT)], "qid string, entity_no int, name string")
+    forms = {r.entity: (r.word_form, r.compact) for r in nodes.collect()}
+    asked = [tuple(r) for r in names.select("entity_no", text.word_form(F.col("name")), text.compact_form(F.col("name"))).collect()]
+    want = set()
+    for no, form, part in asked:
+        own = {e for e, (f, _) in forms.items() if f == form}
+        if not own and len(part) >= graph_module.LEAST_PART:
+            own = {e for e, (_, c) in forms.items() if c and (part in c or c in part)}
+        want |= {(no, e) for e in own}
+    got = [(r.entity_no, r.entity) for r in stored.match(names).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    one = spark.range(1).select(F.explode(F.array(graph_module.key(graph_module.INNER, F.lit("units")), graph_module.key(graph_module.HEAD, F.lit("html")))).alias("k"))
+    files = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+    assert 0 < len({f.rpartition("/")[0] for f in files(stored.folders(one))}) <= 2 < len(files(stored.keys)) / 10
+    assert stored.match(names.limit(0)).count() == 0
