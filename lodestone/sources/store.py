@@ -127,6 +127,8 @@ def identity(encoder) -> tuple[str, str]:
 
 
 TABLES = {"sparse": ("lengths", "hits", "terms", "corpus"), "dense": ("vectors", "cells"), "graph": ("members", "nodes", "edges", "places", "spots", "keys")}
+#: Given, for a table in folders that has no rows has no file either, and chunks may name nothing.
+KEYS = "kind int, bucket int, key string, entity string, own string"
 MANIFEST = "generation long, folder string, model string, backend string, chunks long, entities long, edges long, width int"
 
 
@@ -192,7 +194,7 @@ def load_indexes(spark: SparkSession, index_dir: str, n_chunks: int | None = Non
 
 
 def load_generation(spark: SparkSession, manifest: dict, okapi: Okapi = Okapi()) -> Indexes:
-    t = {name: spark.read.parquet(path) for name, path in index_paths(manifest["folder"]).items()}
+    t = {name: (spark.read.schema(KEYS) if name == "graph.keys" else spark.read).parquet(path) for name, path in index_paths(manifest["folder"]).items()}
     sparse, dense, graph = ([t[f"{kind}.{name}"] for name in TABLES[kind]] for kind in TABLES)
     dense = DenseIndex(*dense)
     return Indexes(SparseIndex(*sparse, okapi), plain(dense), EntityGraph(*graph), dense, t["passages"], manifest["model"], manifest["backend"])
