@@ -14,10 +14,11 @@ adds up the differing bits on the way and drops a whole group once they exceed t
 within a task are merged at once, and the task returns one edge per fingerprint to its local group's smallest, not pairs.
 
 NearCopies is the pipeline's stage: five-word shingles, distances as wide as a Jaccard similarity of 0.8 needs, and an exact
-check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, and no
-upper node prunes, so its buckets are shingles instead, compared flat: with the shingles of all texts in one order (common
-ones last), two sets of similarity 0.8 or more always share one of their first n - ceil(0.8 n) + 1. Texts of a bucket whose
-sizes allow the similarity and whose fingerprints link, by 64 bits and by 128, are candidates. A bucket of more than `most_texts` is
+check of that similarity before anything is merged. No choice of blocks tells fingerprints apart at such a distance, so its
+buckets are shingles instead: with the shingles of all texts in one order (common
+ones last), two sets of similarity 0.8 or more always share one of their first n - ceil(0.8 n) + 1. A bucket's fingerprints are
+searched by its Gray-order tree, all buckets of a task at once; a node all of whose texts are connected with the query already is dropped as a distant one is.
+Texts of a bucket whose fingerprints link, by 64 bits and by 128, and whose sizes allow the similarity are candidates. A bucket of more than `most_texts` is
 never held by one task: its rows are passed on, dealt by size, and blocks of them meet pairwise. Each connected set of candidates
 is compared in a task of its own, where a pair's shingle sets are intersected unless it is merged already. A set of more than
 a block's texts is cut into blocks: all are compared with its hubs, a few of its texts, first, and then only those that hubs
@@ -119,44 +120,99 @@ def bits_first(x: np.ndarray, mask: int) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (own mask, pattern) from the top down; the last level is the fingerprints themselves."""
-
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        level = fps[self.order]
-        masks, patterns = [np.full(len(level), ~np.uint64(0))], [level]
-        while len(patterns[-1]) > FAN_OUT:
-            at = np.arange(0, len(patterns[-1]), FAN_OUT)
+    """Levels of (own mask, pattern, children) from the top down; the last level is the fingerprints themselves. The children of a node i of the level above are
+    nodes children[i] to children[i + 1]. Where buckets are given, each has a tree of its own in these levels."""
+
+    def __init__(self, fps: np.ndarray, bucket: np.ndarray | None = None):
+        bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
+        self.order = np.lexsort((gray_rank(fps), bucket))
+        own, children, self.groups = bucket[self.order], [], []
+        masks, patterns = [np.full(len(fps), ~np.uint64(0))], [fps[self.order]]
+        while True:
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            sizes = np.diff(np.append(starts, len(own)))
+            if sizes.max() <= FAN_OUT:
+                break
+            begins = (np.arange(len(own)) - np.repeat(starts, sizes)) % FAN_OUT == 0
+            at, group = np.flatnonzero(begins), np.cumsum(begins) - 1
             first = patterns[-1][at]
-            differ = np.bitwise_or.reduceat(patterns[-1] ^ np.repeat(first, FAN_OUT)[: len(patterns[-1])], at)
+            differ = np.bitwise_or.reduceat(patterns[-1] ^ first[group], at)
             mask = np.bitwise_and.reduceat(masks[-1], at) & ~differ
             masks.append(mask)
             patterns.append(first & mask)
-        own = [m & ~np.repeat(up, FAN_OUT)[: len(m)] for m, up in zip(masks, masks[1:], strict=False)] + [masks[-1]]
-        self.levels = list(zip(own, patterns, strict=True))[::-1]
+            children.append(np.append(at, len(own)))
+            self.groups.append(group)
+            own = own[at]
+        #: Of each top node the end of its bucket's top nodes.
+        self.ends = np.repeat(starts + sizes, sizes)
+        own_masks = [m & ~up[group] for m, up, group in zip(masks, masks[1:], self.groups, strict=False)] + [masks[-1]]
+        self.levels = list(zip(own_masks, patterns, [*children, None], strict=True))[::-1]
+
+    def below(self, q: np.ndarray, who: np.ndarray, node: np.ndarray, distance: int, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+        """From pairs of a query and a top node down to pairs within the distance: differing bits are added up on the way, and a group is dropped once they
+        exceed it. wanted(depth, who, node): which pairs are looked for at all."""
+        acc = np.zeros(len(who), np.uint8)
+        for depth, (own, pattern, children) in enumerate(self.levels):
+            if depth:
+                n = children[node + 1] - children[node]
+                node = np.repeat(children[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                who, acc = np.repeat(who, n), np.repeat(acc, n)
+            if wanted is not None:
+                some = wanted(depth, who, node)
+                who, node, acc = who[some], node[some], acc[some]
+            acc = acc + np.bitwise_count((q[who] ^ pattern[node]) & own[node])
+            close = acc <= distance
+            who, node, acc = who[close], node[close], acc[close]
+            if not who.size:
+                break
+        return who, node
 
     def search(self, queries: np.ndarray, distance: int, chunk: int = 2048):
-        """Yields (query positions, index positions) of all pairs within the distance; both as given, not as sorted."""
+        """Yields (query positions, index positions) of all pairs within the distance; both as given, not as sorted. For an index of one bucket."""
         for q0 in range(0, len(queries), chunk):
             q = queries[q0 : q0 + chunk]
             for top in range(len(self.levels[0][0])):
-                who, node, acc = np.arange(len(q)), np.full(len(q), top), np.zeros(len(q), np.uint8)
-                for depth, (own, pattern) in enumerate(self.levels):
-                    if depth:
-                        size = len(own)
-                        node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                        who, acc = np.repeat(who, FAN_OUT), np.repeat(acc, FAN_OUT)
-                        if node.size and node[-1] >= size or node.max(initial=0) >= size:
-                            there = node < size
-                            who, node, acc = who[there], node[there], acc[there]
-                    acc = acc + np.bitwise_count((q[who] ^ pattern[node]) & own[node])
-                    close = acc <= distance
-                    who, node, acc = who[close], node[close], acc[close]
-                    if not who.size:
-                        break
+                who, node = self.below(q, np.arange(len(q)), np.full(len(q), top), distance)
                 if who.size:
                     yield who + q0, self.order[node]
 
+    def linked(self, distance: int, close, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (a, b), as given: edges that connect all pairs of one bucket that are within the distance and close(a, b). About `most` pairs at a time at most
+        are looked at, and then groups in which all is connected with the query are dropped like distant ones."""
+        n = len(self.order)
+        place = top = np.arange(n)
+        ends = [place + 1]  # of each node the end of what is below it
+        for group, (_, _, children) in zip(self.groups, self.levels[:0:-1], strict=True):
+            top = group[top]
+            ends.append(ends[-1][children[1:] - 1])
+        ends = ends[::-1]
+        parent, fps = place.copy(), self.levels[-1][1]
+        # a query meets what follows it in its bucket
+        weight = ends[0][self.ends[top] - 1] - place
+        cuts = np.flatnonzero(np.diff(np.cumsum(weight) // most, prepend=-1))
+        whole = None
+        for begin, end in zip(cuts, np.append(cuts[1:], n), strict=True):
+            some = place[begin:end]
+            if whole is None:
+                whole = self.connected(parent)
+            many = self.ends[top[some]] - top[some]
+            node = np.repeat(top[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            known = parent
+            who, at = self.below(fps, np.repeat(some, many), node, distance, lambda depth, who, node, whole=whole, known=known: (ends[depth][node] - 1 > who) & (whole[depth][node] != known[who]))
+            good = close(self.order[who], self.order[at])
+            if good.any():
+                parent, whole = merge(parent, who[good], at[good]), None
+        joined = np.flatnonzero(parent != place)
+        return self.order[joined], self.order[parent[joined]]
+
+    def connected(self, parent: np.ndarray) -> list[np.ndarray]:
+        """For the levels from the top down: the group that all below a node is in, or -1."""
+        out = [parent]
+        for _, _, children in self.levels[:0:-1]:
+            low, high = (f.reduceat(out[-1], children[:-1]) for f in (np.minimum, np.maximum))
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
 
 def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union of the groups of a[i] and b[i]; parent[i] is the smallest position of i's group, before and after."""
@@ -339,39 +395,24 @@ class NearCopies:
         wide = near + np.bitwise_count(fps[1][a] ^ fps[1][b])
         return (near <= self.distance) & (wide <= self.wide_distance) & (np.minimum(size[a], size[b]) * below >= np.maximum(size[a], size[b]) * above)
 
+    def links(self, h: np.ndarray, node: np.ndarray, fps: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> np.ndarray:
+        """Of rows in the order of their shingles h: edges (u, v), each once, that connect all nodes of a shingle which close() allows. The shingles' Gray-order trees find them."""
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(h)))
+        some = np.flatnonzero(np.repeat(lengths > 1, lengths))
+        if not len(some):
+            return np.zeros((0, 2), np.int64)
+        node, size, fps = node[some], size[some], (fps[0][some], fps[1][some])
+        a, b = GrayIndex(fps[0], h[some]).linked(self.distance, lambda a, b: self.close(fps, size, a, b))
+        return np.unique(np.stack([node[a], node[b]], axis=1), axis=0)
+
     def candidates(self, texts: DataFrame) -> DataFrame:
         """Edges (u, v) between nodes that share a first shingle and whose sizes and fingerprints allow the similarity; enough to connect all such.
 
         A task passes on, as they come, the rows of a shingle that more than most_texts texts have. They are dealt into classes of size, each
         text into its own and the next one (whose sizes the similarity can't reach farther), and classes into blocks that meet pairwise.
         """
-        close, near, most = self.close, 64, self.most_texts
-
-        def link(h: np.ndarray, node: np.ndarray, fps: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            out, starts = [], np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            lengths = np.diff(np.append(starts, len(h)))
-            for start, n in zip(starts[lengths > near].tolist(), lengths[lengths > near].tolist(), strict=True):
-                own, z, at = tuple(f[start : start + n] for f in fps), size[start : start + n], np.arange(n)
-                parent = at.copy()
-                for i in range(n - 1):
-                    others = at[i + 1 :][parent[i + 1 :] != parent[i]]  # what is connected already needs no other edge
-                    hit = others[close(own, z, i, others)]
-                    parent = merge(parent, hit, np.full(len(hit), i))
-                joined = np.flatnonzero(parent != at)
-                out.append((node[start + joined], node[start + parent[joined]]))
-            few = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= near), lengths))
-            for step in range(1, min(near, len(few))):
-                a, b = few[:-step], few[step:]
-                same = h[a] == h[b]
-                if not same.any():
-                    break
-                a, b = a[same], b[same]
-                hit = close(fps, size, a, b)
-                out.append((node[a[hit]], node[b[hit]]))
-            return out
-
-        def edges_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-            return np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        most, link = self.most_texts, self.links
 
         def rows_of(edges: np.ndarray, passed: list[np.ndarray] | None = None) -> pa.RecordBatch:
             """Edges, after the rows that are passed on."""
@@ -414,7 +455,7 @@ class NearCopies:
                 many = np.repeat(lengths > most, lengths)
                 passed = [c[:end][many] for c in columns]
                 h, node, fp, fp2, size = (c[:end][~many] for c in columns)
-                edges = edges_of(link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size)) if len(h) else edges_of([])
+                edges = link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size)
                 if len(edges) or len(passed[0]):
                     yield rows_of(edges, passed)
 
@@ -437,7 +478,7 @@ class NearCopies:
         def compare(table: pa.Table) -> pa.Table:
             held(None)
             h, node, fp, fp2, size = (table.column(c).to_numpy() for c in names)
-            edges = edges_of(link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size))
+            edges = link(h, node, (fp.view(np.uint64), fp2.view(np.uint64)), size)
             return pa.table({"u": edges[:, 0].copy(), "v": edges[:, 1].copy()})
 
         more = met.repartition(shuffles(texts.sparkSession), *keys).groupBy(*keys).applyInArrow(compare, "u long, v long")

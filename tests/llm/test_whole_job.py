@@ -284,3 +284,22 @@ def test_equal_and_unequal_fingerprints_over_blocks(spark):
     same = rows.withColumn("fp", F.lit(1).cast("long")).withColumn("fp2", F.lit(1).cast("long"))
     got = components(method.candidates(same), "u", "v").collect()
     assert len(got) == n and {r.component for r in got} == {0}
+
+
+@pytest.mark.parametrize("most", [50, 1 << 20])
+def test_buckets_of_near_copies_are_searched_by_their_gray_order_trees(most, monkeypatch):
+    draw, method, trees = np.random.default_rng(5), simhash.NearCopies(), []
+    h = np.sort(np.repeat(draw.integers(-(2**62), 2**62, 40), [1, 2, 16, 17, 300] * 8))
+    fps = tuple(draw.integers(0, 2**63, len(h), dtype=np.uint64) for _ in range(2))
+    near = draw.random(len(h)) < 0.5
+    for f in fps:
+        f[near] = f[0] ^ (np.uint64(1) << draw.integers(0, 60, near.sum()).astype(np.uint64))
+    size, node = draw.integers(90, 130, len(h)), np.arange(len(h))
+    linked = simhash.GrayIndex.linked
+    monkeypatch.setattr(simhash.GrayIndex, "linked", lambda self, distance, close: trees.append(distance) or linked(self, distance, close, most))
+    edges = method.links(h, node, fps, size)
+    a, b = np.triu_indices(len(h), 1)
+    some = (h[a] == h[b]) & method.close(fps, size, a, b)
+    want = simhash.merge(node.copy(), a[some], b[some])
+    assert some.sum() > 1000 and (simhash.merge(node.copy(), edges[:, 0], edges[:, 1]) == want).all()
+    assert trees == [method.distance] and len(edges) == (want != node).sum()
