@@ -23,7 +23,7 @@ from lodestone.operators.select import select_evidence
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans import answering, coverage, planning, workflow
 from lodestone.session import Settings, cut, shared_folder
-from lodestone.sources.store import Indexes, build_indexes, faults, invalid, load_chunks, load_indexes, manifests, save_chunks, save_indexes, summary
+from lodestone.sources.store import Indexes, build_indexes, faults, invalid, load_chunks, load_indexes, manifests, read_lines, save_chunks, save_indexes, summary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,13 +260,17 @@ r AS (SELECT part, line, CASE WHEN doc_id % 50 = 7 THEN 'no JSON' WHEN text = ''
 SELECT part, line, reason FROM r WHERE reason IS NOT NULL"""
 )
 def store_faults(spark, sf):
-    """Documents as stores of one file for each remainder by four, some lines cut off, on page 0 or with the chunk_id of another."""
+    """Documents as stores for each remainder by four, some lines cut off, on page 0 or with the chunk_id of another. A store's files follow one
+    another by name, and its lines are counted through them."""
     own = F.concat(F.lit("d"), F.when(F.col("doc_id") % 50 == 13, 0).otherwise(F.col("doc_id")))
     line = F.to_json(F.struct(own.alias("chunk_id"), F.lit("p.pdf").alias("paper"), F.when(F.col("doc_id") % 50 == 11, 0).otherwise(1).alias("page"), "text"))
     lines = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("part"), "doc_id", F.when(F.col("doc_id") % 50 == 7, F.substring(line, 1, 20)).otherwise(line).alias("value"))
     path = place(spark, "lines")
-    lines.repartition(4, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
-    return faults(spark, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "line", "reason")
+    lines.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part")
+    earlier = F.sum("n").over(W.partitionBy("part").orderBy("file").rowsBetween(W.unboundedPreceding, -1))  # a row per file
+    starts = read_lines(spark, path).groupBy("file").agg(F.count("*").alias("n")).select("*", part).select("file", F.coalesce(earlier, F.lit(0)).alias("start"))
+    return faults(spark, path).join(F.broadcast(starts), "file").select(part, (F.col("start") + F.col("line")).alias("line"), "reason")
 
 
 # ---------------------------------------------------------------- sparse

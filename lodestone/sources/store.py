@@ -69,7 +69,7 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per split
     placed = splits.select("file", "start", "first", before.alias("before"))
-    return lines.join(placed, ["file", "start"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).drop("before", "first")
+    return lines.join(F.broadcast(placed), ["file", "start"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).drop("before", "first")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def faults(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, chunk_id, reason): every line of a store that is no valid chunk, and every repetition of a chunk_id."""
     rows = parsed(numbered_lines(read_lines(spark, path)))
     own = rows.select("file", "line", "malformed", F.when(F.col("malformed").isNull(), F.col("c")).alias("c")).select("file", "line", "malformed", "c.*")
-    reason = F.coalesce("malformed", *blank_fields(), F.when(F.row_number().over(W.partitionBy("chunk_id").orderBy("file", "line")) > 1, "duplicate chunk_id"))
-    return own.withColumn("reason", reason).where("reason is not null").select("file", "line", "chunk_id", "reason")
+    # texts stay where they are read: what is sorted by chunk_id is an address and a reason
+    told = own.select("file", "line", "chunk_id", F.coalesce("malformed", *blank_fields()).alias("reason"))
+    copy = F.when(F.row_number().over(W.partitionBy("chunk_id").orderBy("file", "line")) > 1, "duplicate chunk_id")
+    return told.withColumn("reason", F.coalesce("reason", copy)).where("reason is not null").select("file", "line", "chunk_id", "reason")
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
