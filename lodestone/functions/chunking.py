@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from lodestone.functions.text import clean_text
 
 MAX_CHARS, OVERLAP, ID_LENGTH = 1200, 150, 16
+#: Pages that a worker holds as Python strings at a time.
+STEP = 256
 
 
 def windows(text: str, max_chars: int, overlap: int) -> Iterator[str]:
@@ -43,7 +45,7 @@ def split_pages(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
     runs over Arrow batches; cleaning and ids stay in the JVM. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             row, position, text = [], [], []
             for i, page in enumerate(batch.column("text").to_pylist()):
                 for k, piece in enumerate(windows(page or "", max_chars, overlap)):

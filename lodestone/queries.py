@@ -43,9 +43,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Documents of one source are numbered in blocks of so many doc_ids.
+PAGE_IDS = 4096
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    page = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf, "documents").select(F.concat("source", F.lit(".pdf")).alias("paper"), page.alias("page"), "text")
+    """A source's documents are numbered within blocks of doc_ids, and a block begins where those before it end: no task holds a source."""
+    block = F.floor(F.col("doc_id") / PAGE_IDS)
+    # keys without nulls, for the join
+    keys = [F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), F.coalesce(block, F.lit(2**63 - 1)).alias("_block")]  # null ids last
+    docs = table(spark, sf, "documents").select("*", *keys)
+    by = ("_source", "_none", "_block")
+    earlier = F.sum("n").over(W.partitionBy("_source", "_none").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = docs.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(earlier, F.lit(0)).alias("_start"))
+    numbered = docs.withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy("doc_id"))).join(starts, list(by))
+    return numbered.select(F.concat("source", F.lit(".pdf")).alias("paper"), (F.col("_start") + F.col("_place")).cast("int").alias("page"), "text")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
