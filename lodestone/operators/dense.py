@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,39 @@ from lodestone.session import cut, shuffles
 
 #: Queries are sent to the vectors in blocks of so many (2,048 x 384 floats: 3 MB).
 BLOCK = 2048
+#: Vectors that a task scores at a time: with a block of queries 16 MB of scores.
+STEP = 1024
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def stepped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, STEP) for batch in batches for i in range(0, batch.num_rows, STEP))
+
+
+class Floors:
+    """What a task knows of each query's k-th best score: the greatest k-th best of what it has scored. Scores below it by more than rounding can make up aren't among the k best."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k = floor.copy(), k
+
+    def kept(self, scores: np.ndarray, own: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (of the queries own) and columns of the scores that are positive and may be among the k best, ties at 9 decimals included."""
+        floor = self.floor[own]
+        row, at = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+        n = np.bincount(row, minlength=len(scores))
+        full = np.flatnonzero(n >= self.k)  # only these can raise their floor or lose any
+        if len(full):
+            least = np.full(len(scores), -np.inf)
+            least[full] = np.partition(np.round(scores[full], 9), -self.k, axis=1)[:, -self.k]
+            self.floor[own] = np.maximum(floor, least - SLACK)
+            keep = np.round(scores[row, at], 9) >= least[row]
+            row, at = row[keep], at[keep]
+        return row, at
+
+
 def candidates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(q, id, score): for each query vector (q, embedding) each partition's k best vectors (id, embedding) of positive score."""
     kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
@@ -38,18 +65,13 @@ def candidates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         asked = matrix(own.column("embedding").combine_chunks(), width)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, width=width, asked=asked) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            floors = Floors(np.zeros(len(asked)), k)
+            for batch in stepped(batches):
                 given = batch.column("embedding")
                 if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(given), width)).as_py():
                     raise ValueError("query and index vectors differ in length")
                 scores = asked @ matrix(given, width).T
-                q, i = np.nonzero(scores > 0)
-                if scores.shape[1] > k:  # rounded: equal scores stay together and are cut later
-                    rounded = np.round(scores, 9)
-                    least = np.partition(rounded, -k, axis=1)[:, -k]
-                    q, i = np.nonzero((rounded >= least[:, None]) & (scores > 0))
+                q, i = floors.kept(scores)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("id").take(pa.array(i)), pa.array(scores[q, i])], names=["q", "id", "score"])
 
         part = vectors.select("id", "embedding").mapInArrow(run, kind)
@@ -210,19 +232,15 @@ class DenseIndex:
         width = asked.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floors = Floors(floor, k)
             for batch in batches:
                 cells = batch.column("cell").to_numpy()
                 for c in np.unique(cells).tolist():
-                    rows = np.flatnonzero(cells == c)
-                    part = batch.take(pa.array(rows)) if len(rows) < batch.num_rows else batch
-                    q = queries[c]
-                    scores = asked[q] @ matrix(part.column("embedding"), width).T
-                    keep = (scores > 0) & (scores >= floor[q][:, None])
-                    if scores.shape[1] > k:
-                        rounded = np.round(scores, 9)
-                        keep &= rounded >= np.partition(rounded, -k, axis=1)[:, -k][:, None]
-                    i, at = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q[i])), part.column("id").take(pa.array(at)), pa.array(scores[i, at])], names=["q", "id", "score"])
+                    rows, q = np.flatnonzero(cells == c), queries[c]
+                    for part in stepped([batch.take(pa.array(rows)) if len(rows) < batch.num_rows else batch]):
+                        scores = asked[q] @ matrix(part.column("embedding"), width).T
+                        i, at = floors.kept(scores, q)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q[i])), part.column("id").take(pa.array(at)), pa.array(scores[i, at])], names=["q", "id", "score"])
 
         return self.vectors.where(F.col("cell").isin(list(queries))).select("cell", "id", "embedding").mapInArrow(run, kind)
 

@@ -2,9 +2,12 @@
 
 import contextlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone import queries
+from lodestone.operators import dense
 
 
 @contextlib.contextmanager
@@ -54,3 +57,21 @@ def test_a_store_of_several_files_counts_its_lines_through_them(spark, tmp_path,
     assert got == want
     files = spark.read.text(store).groupBy(F.input_file_name()).count().collect()
     assert len(files) > 4 and max(r["count"] for r in files) < 150
+
+
+def test_vectors_are_scored_a_few_at_a_time(monkeypatch):
+    """A block of 2,048 queries and a batch of 10,000 vectors were one matrix of scores, several times over."""
+    draw, largest = np.random.default_rng(4), []
+    kept = dense.Floors.kept
+    monkeypatch.setattr(dense.Floors, "kept", lambda self, scores, own=slice(None): largest.append(scores.shape[1]) or kept(self, scores, own))
+    vectors, asked = draw.integers(-3, 4, (10_000, 8)) / 4, draw.integers(-3, 4, (50, 8)) / 4
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(vectors.tolist())], names=["id", "embedding"])
+    floors, found = dense.Floors(np.zeros(50), 20), []
+    for start, part in enumerate(dense.stepped([batch])):
+        row, at = floors.kept(asked @ dense.matrix(part.column("embedding"), 8).T)
+        found += zip(row.tolist(), (at + start * dense.STEP).tolist(), strict=True)
+    whole = asked @ vectors.T
+    for q in range(50):  # many ties: all that reach the 20th best score are there
+        least = np.sort(whole[q])[-20]
+        assert set(np.flatnonzero(whole[q] >= least).tolist()) <= {i for r, i in found if r == q}
+    assert max(largest) == dense.STEP and len(found) < 50 * 10_000 / 10
