@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import clean_text
-
 MAX_CHARS, OVERLAP, ID_LENGTH = 1200, 150, 16
 #: Pages that a worker holds as Python strings at a time.
 STEP = 256
@@ -42,19 +40,20 @@ def chunk_id(paper: Column, page: Column, position: Column, text: Column) -> Col
 
 def split_pages(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """pages (paper, page, text) -> (chunk_id, paper, page, position, text). The loop depends on the data at every step, so it
-    runs over Arrow batches; cleaning and ids stay in the JVM. Nothing is shuffled."""
+    runs over Arrow batches; ids stay in the JVM. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             row, position, text = [], [], []
-            for i, page in enumerate(batch.column("text").to_pylist()):
-                for k, piece in enumerate(windows(page or "", max_chars, overlap)):
+            for i, page in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                # as clean_text(): both take the same characters for white space
+                for k, piece in enumerate(windows(" ".join((page or b"").decode(errors="replace").split()), max_chars, overlap)):
                     row.append(i)
                     position.append(k)
                     text.append(piece)
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("paper").take(at), batch.column("page").take(at), pa.array(position, pa.int32()), pa.array(text, pa.string())], names=["paper", "page", "position", "text"])
 
-    cleaned = pages.select(F.col("paper").cast("string"), F.col("page").cast("int"), clean_text(F.col("text")).alias("text"))
-    kind = T.StructType([*cleaned.schema.fields[:2], T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType())])
-    return cleaned.mapInArrow(run, kind).select(chunk_id(F.col("paper"), F.col("page"), F.col("position"), F.col("text")).alias("chunk_id"), "paper", "page", "position", "text")
+    given = pages.select(F.col("paper").cast("string"), F.col("page").cast("int"), F.col("text").cast("string"))
+    kind = T.StructType([*given.schema.fields[:2], T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType())])
+    return given.mapInArrow(run, kind).select(chunk_id(F.col("paper"), F.col("page"), F.col("position"), F.col("text")).alias("chunk_id"), "paper", "page", "position", "text")

@@ -6,6 +6,8 @@ import functools
 import sys
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def casefold(text: Column) -> Column:
     rare = F.aggregate(several, F.translate(low, "".join(one), "".join(one.values())), lambda t, x: F.replace(t, F.left(x, F.lit(1)), F.substring(x, 2, 9)))
     own = [c for c in folds() if c != "ß"]
     beyond = rf"[µ\x{{{ord(min(c for c in own if c != 'µ')):X}}}-\x{{10FFFF}}]"
-    return F.when(F.rlike(low, F.lit(beyond)) & F.rlike(low, F.lit(ranges(own))), rare).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+    some = F.octet_length(low) > F.char_length(low)  # no need to look for them in ASCII
+    return F.when(some & F.rlike(low, F.lit(beyond)) & F.rlike(low, F.lit(ranges(own))), rare).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def tokens(text: Column) -> Column:
@@ -63,6 +66,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(casefold(text), F.lit(TOKEN), F.lit(0))
 
 
+def flat_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings or binaries, nulls as empty ones, and where each begins and the last ends."""
+    values = values.cast(pa.binary()).fill_null(b"")
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """tokens() of texts, worked out on all their bytes at once. What folds into a letter or digit of a token is the same for Java and Python."""
+    data, ends = flat_bytes(pa.array([(t or b"").decode(errors="replace").casefold() for t in texts.cast(pa.binary()).to_pylist()], pa.string()))
+    alnum = (data - np.uint8(ord("a")) < 26) | (data - np.uint8(ord("0")) < 10)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    starts = np.flatnonzero(alnum & (edge[:-1] | ~np.concatenate(([False], alnum[:-1]))))
+    stops = np.flatnonzero(alnum & (edge[1:] | ~np.concatenate((alnum[1:], [False])))) + 1
+    own = np.searchsorted(ends, starts, "right") - 1
+    # of runs that single hyphens join, the first takes the second, the third the fourth
+    joint = np.zeros(len(starts), bool)
+    joint[:-1] = (stops[:-1] + 1 == starts[1:]) & (own[:-1] == own[1:])
+    joint[joint] = data[stops[joint]] == ord("-")
+    place = np.arange(len(starts))
+    alone = ~np.concatenate(([False], joint[:-1]))[: len(starts)]
+    first = (place - np.maximum.accumulate(np.where(alone, place, 0))) % 2 == 0
+    joint &= first
+    stop = stops.copy()
+    stop[joint] = stops[np.flatnonzero(joint) + 1]
+    alnum[stops[joint]] = True
+    size = np.concatenate(([0], np.cumsum((stop - starts)[first]))).astype(np.int32)
+    words = pa.StringArray.from_buffers(int(first.sum()), pa.py_buffer(size), pa.py_buffer(data[alnum]))
+    many = np.bincount(own[first], minlength=len(texts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), words)
+
+
 def normalize_entity(name: Column) -> Column:
     return clean_text(casefold(name))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import flat_bytes, token_lists, tokens
 from lodestone.operators.address import MOST_ADDRESSES, SPAN, block_of, look_up, number_of_blocks, span_of
 from lodestone.operators.ranking import best_first, top_k
 from lodestone.schema import ORDER
-from lodestone.session import cut, shuffles
+from lodestone.session import cut, shuffles, stored
 
 #: Postings are stored in folders by this many values of a hash of the term: a search reads those of its terms.
 BUCKETS = 256
@@ -31,6 +31,10 @@ BLOCK_QUERIES, BLOCK_TERMS = 256, 30_000
 COMMON = 8
 #: Chunks scored at a time.
 STEP = 512
+#: Chunks whose texts are cut into words at a time, and rows of postings that are unpacked at a time.
+TEXTS, ROWS = 1024, 256
+#: Bytes of a posting: slot, tf and dl as 32-bit numbers.
+HIT = 12
 
 
 @dataclass(frozen=True)
@@ -48,11 +52,47 @@ def impact(tf: np.ndarray, dl: np.ndarray, okapi: Okapi, average: float) -> np.n
     return tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * dl / average))
 
 
+def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks (..., text) to (..., words, dl): the words joined by spaces, and their number."""
+    for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+        words = token_lists(batch.column("text"))
+        own = [batch.column(c) for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*own, pc.binary_join(words, " "), pc.list_value_length(words)], names=[*(c for c in batch.schema.names if c != "text"), "words", "dl"])
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def impacts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hits (term, tops) to (term, impact)."""
+    for batch in batches:
+        data, ends = flat_bytes(batch.column("tops"))
+        row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends) // 8))
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(row), pa.array(data.view("<f8"))], names=["term", "impact"])
+
+
+def unpacked(hits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many postings each row packs, and all of them (slot, tf, dl)."""
+    data, ends = flat_bytes(hits)
+    return np.diff(ends) // HIT, data.view("<i4").reshape(-1, 3)
+
+
+def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hits (term, block, hits) to (term, block, slot, tf)."""
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        n, hit = unpacked(batch.column("hits"))
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(row), batch.column("block").take(row), pa.array(hit[:, 0]), pa.array(hit[:, 1].astype(np.int64))], names=["term", "block", "slot", "tf"])
+
+
 def inverter(okapi: Okapi, average: float) -> Callable[[pa.Table], pa.Table]:
     def invert(table: pa.Table) -> pa.Table:
-        """applyInArrow on a block of chunks (block, slot, dl, words): a row (block, term, tops, hits) per term."""
-        table = table.combine_chunks()
-        words = table.column("words").combine_chunks()
+        """applyInArrow on a block of chunks (block, slot, dl, words): a row (block, term, n, peak, tops, hits) per term."""
+        block = table.column("block")[0].as_py()
+        table = table.filter(pc.greater(table.column("dl"), 0)).combine_chunks()
+        words = pc.split_pattern(table.column("words"), " ").combine_chunks()
         coded = pc.dictionary_encode(words.flatten())
         terms = len(coded.dictionary)
         row = np.repeat(np.arange(table.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
@@ -60,13 +100,13 @@ def inverter(okapi: Okapi, average: float) -> Callable[[pa.Table], pa.Table]:
         term, row = np.divmod(cell, table.num_rows)
         ends = np.searchsorted(term, np.arange(terms + 1))
         slot, dl = (table.column(c).to_numpy()[row].astype(np.int32) for c in ("slot", "dl"))
-        flat = pa.StructArray.from_arrays([pa.array(slot), pa.array(tf.astype(np.int32)), pa.array(dl)], names=["slot", "tf", "dl"])
+        n = np.diff(ends).astype(np.int32)
+        hits = binaries(np.stack([slot, tf, dl], axis=1).astype("<i4"), HIT * n)
         gain = impact(tf, dl, okapi, average)
         order = np.lexsort((-gain, term))  # a term's impacts stay at its places, the greatest first
         top = order[np.arange(len(order)) - ends[term] < TOPS]
-        tops = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(np.diff(ends), TOPS)))).astype(np.int32)), pa.array(gain[top]))
-        block = np.full(terms, table.column("block")[0].as_py(), np.int64)
-        return pa.table({"block": pa.array(block), "term": coded.dictionary, "tops": tops, "hits": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)})
+        tops = binaries(gain[top].astype("<f8"), 8 * np.minimum(n, TOPS))
+        return pa.table({"block": pa.array(np.full(terms, block, np.int64)), "term": coded.dictionary, "n": pa.array(n), "peak": pa.array(gain[order[ends[:-1]]]), "tops": tops, "hits": hits})
 
     return invert
 
@@ -74,8 +114,8 @@ def inverter(okapi: Okapi, average: float) -> Callable[[pa.Table], pa.Table]:
 @dataclass(frozen=True)
 class SparseIndex:
     """lengths(span, block, slot, chunk_id, paper, page, position, dl): chunks by blocks, and their places there;
-    hits(bucket, span, term, block, tops, hits array<struct<slot, tf, dl>>): the postings, a row per term and block, and the greatest
-    impacts among them; terms(term, df, idf); corpus: one row (n, avgdl).
+    hits(bucket, span, term, block, n, peak, tops, hits): the n postings, a row per term and block, packed (slot, tf, dl), the greatest
+    impact and, packed, the greatest ones among them; terms(term, df, idf); corpus: one row (n, avgdl).
 
     A search takes a bounded block of weighted queries. It reads the buckets of its terms, and of these the rows of its terms;
     they are shuffled by block of chunks, compact as they are, and a task scores a block of chunks against all queries at once.
@@ -97,14 +137,15 @@ class SparseIndex:
     @classmethod
     def build(cls, chunks: DataFrame, okapi: Okapi = Okapi()) -> SparseIndex:
         """Chunks are tokenised once; tokens and postings are written to the checkpoint folder."""
-        words = cut(chunks.select("chunk_id", *ORDER, tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words")))
+        texts = chunks.select("chunk_id", *ORDER, "text")
+        words = stored(texts.mapInArrow(worded, T.StructType([*texts.schema.fields[:-1], T.StructField("words", T.StringType()), T.StructField("dl", T.IntegerType())])))
         size = words.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
         n, average = size.first()
         place = (F.row_number().over(W.partitionBy("block").orderBy("chunk_id", *ORDER)) - 1).cast("int")
         spread = words.withColumn("block", block_of(F.col("chunk_id"), number_of_blocks(n))).repartition(shuffles(chunks.sparkSession), "block")
         placed = spread.withColumn("slot", place)
-        inverted = placed.select("block", "slot", "dl", "words").groupBy("block").applyInArrow(inverter(okapi, average), "block long, term string, tops array<double>, hits array<struct<slot:int,tf:int,dl:int>>")
-        hits = cut(inverted.select(bucket_of(F.col("term")).alias("bucket"), span_of(F.col("block")).alias("span"), "term", "block", "tops", "hits"))
+        inverted = placed.select("block", "slot", "dl", "words").groupBy("block").applyInArrow(inverter(okapi, average), "block long, term string, n int, peak double, tops binary, hits binary")
+        hits = stored(inverted.select(bucket_of(F.col("term")).alias("bucket"), span_of(F.col("block")).alias("span"), "term", "block", "n", "peak", "tops", "hits"))
         lengths = placed.select(span_of(F.col("block")).alias("span"), "block", "slot", "chunk_id", *ORDER, "dl")
         corpus = chunks.sparkSession.createDataFrame([(n, average)], size.schema)
         return cls(lengths, hits, cut(weigh(hits, corpus, okapi)), corpus, okapi)
@@ -112,7 +153,7 @@ class SparseIndex:
     @property
     def postings(self) -> DataFrame:
         """(term, chunk_id, tf)"""
-        flat = self.hits.select("term", "block", F.explode("hits").alias("h")).select("term", "block", "h.slot", F.col("h.tf").cast("long").alias("tf"))
+        flat = self.hits.select("term", "block", "hits").mapInArrow(unpacking, "term string, block long, slot int, tf long")
         return flat.join(self.lengths.select("block", "slot", "chunk_id"), ["block", "slot"]).select("term", "chunk_id", "tf")
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -160,10 +201,10 @@ class SparseIndex:
     def promising(self, weighted: DataFrame, k: int) -> DataFrame:
         """(block, terms): the blocks that can hold one of the k best chunks of a query (q, terms), and the terms of those queries."""
         terms = weighted.select("q", F.explode("terms").alias("t")).select("q", "t.term", "t.weight")
-        peaks = self.read(weighted).select("term", "block", "tops")
-        kth = top_k(peaks.select("term", F.explode("tops").alias("impact")), ["term"], [F.col("impact").desc()], k, "n").where(F.col("n") == k)
+        peaks = self.read(weighted).select("term", "block", "peak", "tops")
+        kth = top_k(peaks.select("term", "tops").mapInArrow(impacts, "term string, impact double"), ["term"], [F.col("impact").desc()], k, "n").where(F.col("n") == k)
         floors = terms.join(F.broadcast(kth), "term").groupBy("q").agg(F.max(F.col("weight") * F.col("impact")).alias("floor"))
-        bounds = F.broadcast(terms).join(peaks, "term").groupBy("q", "block").agg(F.sum(F.col("weight") * F.col("tops")[0]).alias("bound"))
+        bounds = F.broadcast(terms).join(peaks, "term").groupBy("q", "block").agg(F.sum(F.col("weight") * F.col("peak")).alias("bound"))
         alive = bounds.join(F.broadcast(floors), "q", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
         return alive.join(F.broadcast(terms), "q").groupBy("block").agg(F.collect_set("term").alias("terms"))
 
@@ -203,9 +244,9 @@ class Scorer:
     def best(self, table: pa.Table) -> pa.Table:
         """For applyInArrow on a block's hits: of each query the k best chunks, more where scores tie at 9 decimals."""
         table = table.combine_chunks()
-        hits, o, many = table.column("hits").combine_chunks(), self.okapi, len(self.names)
-        n = pc.list_value_length(hits).to_numpy(zero_copy_only=False)
-        slot, tf, dl = (hits.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("slot", "tf", "dl"))
+        o, many = self.okapi, len(self.names)
+        n, hit = unpacked(table.column("hits").combine_chunks())
+        slot, tf, dl = hit.T
         term = np.repeat(pc.index_in(table.column("term").combine_chunks(), value_set=self.vocabulary).to_numpy(zero_copy_only=False), n)
         gain = impact(tf, dl, o, self.average)
         order = np.argsort(slot, kind="stable")
@@ -246,7 +287,7 @@ class Scorer:
 
 def weigh(hits: DataFrame, corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     """(term, df, idf). Negative idf becomes epsilon times the mean of all idf before the replacement."""
-    df = hits.groupBy("term").agg(F.sum(F.size("hits").cast("long")).alias("df"))
+    df = hits.groupBy("term").agg(F.sum(F.col("n").cast("long")).alias("df"))
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * okapi.epsilon).otherwise(F.col("raw")).alias("idf"))

@@ -8,21 +8,25 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lodestone.functions import citations as cite
 from lodestone.functions.chunking import split_pages
-from lodestone.functions.text import casefold, clean_text, entities, folds, target_matches, tokens, unique_strings
+from lodestone.functions.text import casefold, clean_text, entities, flat_bytes, folds, target_matches, tokens, unique_strings
 from lodestone.operators import dense
 from lodestone.operators.fusion import merge_evidence, reciprocal_rank_fusion, rerank, unique_counts
 from lodestone.operators.graph import EntityGraph
 from lodestone.operators.select import select_evidence
 from lodestone.operators.sparse import SparseIndex
 from lodestone.plans import answering, coverage, planning, workflow
-from lodestone.session import Settings, cut, shared_folder
+from lodestone.session import Settings, cut, shared_folder, stored
 from lodestone.sources.store import Indexes, build_indexes, faults, invalid, load_chunks, load_indexes, manifests, read_lines, save_chunks, save_indexes, summary
 
 QUERIES: dict = {}
@@ -237,10 +241,19 @@ def place(spark: SparkSession, name: str) -> str:
 
 def letters(rows: DataFrame) -> DataFrame:
     """An encoder that needs no model: how often each letter occurs, as a unit vector."""
-    low = F.lower("text")
-    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
-    norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("id", counts.alias("counts")).select("id", F.transform("counts", lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")).alias("embedding"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in dense.stepped(batches):
+            data, ends = flat_bytes(batch.column("text"))
+            letter = data - np.uint8(ord("a"))
+            own = np.repeat(np.arange(batch.num_rows) * 26, np.diff(ends))[letter < 26]
+            counts = np.bincount(own + letter[letter < 26], minlength=batch.num_rows * 26).reshape(-1, 26)
+            norm = np.sqrt((counts * counts).sum(axis=1, dtype=np.float64))
+            units = (counts / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, units.size + 1, 26, dtype=np.int32)), pa.array(units.ravel()))], names=["id", "embedding"])
+
+    kind = T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return rows.select("id", F.lower("text").alias("text")).mapInArrow(counted, kind)
 
 
 LETTERS = """counts(key, c) AS ({source}), letters AS (SELECT key, list_transform(c, lambda x: (CASE WHEN list_inner_product(c, c) > 0 THEN x / sqrt(list_inner_product(c, c)) ELSE x END)::FLOAT::DOUBLE) AS v FROM counts)"""
@@ -252,7 +265,7 @@ def letters_sql(name: str, key: str, text: str, source: str) -> str:
 
 
 def stored_indexes(spark, sf) -> tuple[DataFrame, Indexes]:
-    c = cut(chunks(spark, sf))
+    c = stored(chunks(spark, sf))
     path = place(spark, "indexes")
     save_indexes(build_indexes(c, letters), path)
     return c, load_indexes(spark, path, c.count())
@@ -330,7 +343,7 @@ def store_sparse(spark, sf):
 @register(with_(GRAPH, "SELECT 1::BIGINT AS generation, 'lodestone.queries.letters' AS model, 'injected' AS backend, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS entities, (SELECT count(*) FROM edges) AS edges, 26 AS width"))
 def index_manifest(spark, sf):
     path = place(spark, "indexes")
-    save_indexes(build_indexes(cut(chunks(spark, sf)), letters), path)
+    save_indexes(build_indexes(stored(chunks(spark, sf)), letters), path)
     return manifests(spark, path).drop("folder")
 
 
@@ -424,7 +437,7 @@ def store_dense(spark, sf):
 
 
 def rank_lists_of(spark, sf, c: DataFrame | None = None) -> DataFrame:
-    c = c or cut(chunks(spark, sf))
+    c = c or stored(chunks(spark, sf))
     sparse = SparseIndex.build(c).search(questions(spark, sf)).select("qid", F.lit("sparse").alias("retriever"), F.lit(0).alias("list_ord"), "rank", "chunk_id", "score")
     graph = EntityGraph.build(c).search(names(spark, sf)).select("qid", F.lit("graph").alias("retriever"), F.lit(2000).alias("list_ord"), "rank", "chunk_id", "score")
     return sparse.unionByName(graph).where(F.col("rank") <= workflow.PER_QUERY)
@@ -445,14 +458,14 @@ def overlap(query: Column, text: Column) -> Column:
 
 
 def reranked_of(spark, sf, fused: DataFrame | None = None, c: DataFrame | None = None) -> DataFrame:
-    c = c or cut(chunks(spark, sf))
+    c = c or stored(chunks(spark, sf))
     top = (fused or fused_of(spark, sf, c)).where(F.col("fused_rank") <= workflow.MAX_CANDIDATES).select("qid", "fused_rank", "chunk_id")
     return rerank(asked_of(spark, sf), top.join(c.select("chunk_id", "paper", "page", "text"), "chunk_id"), overlap)
 
 
 def two_rounds(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The ten best fused candidates, and the ten best reranked ones."""
-    c = cut(chunks(spark, sf))
+    c = stored(chunks(spark, sf))
     fused = cut(fused_of(spark, sf, c))
     return fused.where(F.col("fused_rank") <= 10), reranked_of(spark, sf, fused, c).where(F.col("rank") <= 10)
 
@@ -731,7 +744,7 @@ def hybrid_dense(spark, sf):
 
 
 def _engine(spark, sf, vectors: bool = False) -> workflow.RetrievalEngine:
-    c = cut(chunks(spark, sf))
+    c = stored(chunks(spark, sf))
     none = spark.createDataFrame([], "id string, embedding array<float>")
     return workflow.RetrievalEngine(c, Indexes(SparseIndex.build(c), letters(c.select(F.col("chunk_id").alias("id"), "text")) if vectors else none, EntityGraph.build(c)), letters)
 

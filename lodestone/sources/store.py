@@ -197,6 +197,8 @@ def load_indexes(spark: SparkSession, index_dir: str, n_chunks: int | None = Non
 
 def load_generation(spark: SparkSession, manifest: dict, okapi: Okapi = Okapi()) -> Indexes:
     t = {name: (spark.read.schema(KEYS) if name == "graph.keys" else spark.read).parquet(path) for name, path in index_paths(manifest["folder"]).items()}
+    if "peak" not in t["sparse.hits"].columns:
+        raise StoreError("the index is of an earlier form; run index")
     sparse, dense, graph = ([t[f"{kind}.{name}"] for name in TABLES[kind]] for kind in TABLES)
     dense = DenseIndex(*dense)
     return Indexes(SparseIndex(*sparse, okapi), plain(dense), EntityGraph(*graph), dense, t["passages"], manifest["model"], manifest["backend"])
