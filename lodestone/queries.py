@@ -245,15 +245,20 @@ def letters(rows: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in dense.stepped(batches):
             data, ends = flat_bytes(batch.column("text"))
-            letter = data - np.uint8(ord("a"))
-            own = np.repeat(np.arange(batch.num_rows) * 26, np.diff(ends))[letter < 26]
-            counts = np.bincount(own + letter[letter < 26], minlength=batch.num_rows * 26).reshape(-1, 26)
+            letter = (data | 32) - np.uint8(ord("a"))  # either case
+            for character, low in (("\u212a", "k"), ("\u0130", "i")):  # the only others whose lower case holds one of the letters
+                own = character.encode()
+                n = max(0, len(data) - len(own) + 1)
+                there = np.logical_and.reduce([data[i : i + n] == b for i, b in enumerate(own)])
+                letter[:n][there] = ord(low) - ord("a")
+            of = np.repeat(np.arange(batch.num_rows) * 26, np.diff(ends))[letter < 26]
+            counts = np.bincount(of + letter[letter < 26], minlength=batch.num_rows * 26).reshape(-1, 26)
             norm = np.sqrt((counts * counts).sum(axis=1, dtype=np.float64))
             units = (counts / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, units.size + 1, 26, dtype=np.int32)), pa.array(units.ravel()))], names=["id", "embedding"])
 
     kind = T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return rows.select("id", F.lower("text").alias("text")).mapInArrow(counted, kind)
+    return rows.select("id", "text").mapInArrow(counted, kind)
 
 
 LETTERS = """counts(key, c) AS ({source}), letters AS (SELECT key, list_transform(c, lambda x: (CASE WHEN list_inner_product(c, c) > 0 THEN x / sqrt(list_inner_product(c, c)) ELSE x END)::FLOAT::DOUBLE) AS v FROM counts)"""

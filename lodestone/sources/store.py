@@ -157,7 +157,8 @@ def save_indexes(indexes: Indexes, index_dir: str) -> dict:
         kind, _, t = name.partition(".")
         df = getattr(getattr(indexes, kind), t) if t else getattr(indexes, name)
         if t == "hits":
-            df.repartition("bucket", "span").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket", "span").parquet(path)
+            packed = {f"parquet.enable.dictionary#{c}": "false" for c in ("hits", "tops")}  # they hardly repeat
+            df.repartition("bucket", "span").sortWithinPartitions("bucket", "term", "block").write.options(**packed).partitionBy("bucket", "span").parquet(path)
         elif t == "lengths" or name == "passages":
             df.repartition(spread, "span", F.col("block") % spread).sortWithinPartitions("span", "block").write.partitionBy("span").parquet(path)
         elif name == "dense.vectors":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.functions.chunking import split_pages
-from lodestone.functions.text import clean_text, token_lists, tokens
+from lodestone.functions.text import ENTITY, clean_text, entities, token_lists, tokens
 from lodestone.operators.sparse import HIT, SparseIndex
 
 
@@ -26,12 +26,14 @@ def test_words_of_all_bytes_at_once_are_those_of_the_pattern(spark):
 
 
 def test_letters_are_counted_in_one_pass(spark):
-    texts = ["", "aab", "Zebra ÄÖ K", "123", "xyz" * 500]
+    every = [c for c in map(chr, range(1, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["", "aab", "Zebra ÄÖ K", "123", "xyz" * 500, "@[`{ \u212a", "\u0130"] + ["".join(every[i : i + 5000]) for i in range(0, len(every), 5000)]
     rows = queries.letters(spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "id string, text string"))
     assert "replace(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # 26 copies of each text
     got = {r.id: r.embedding for r in rows.collect()}
-    for i, t in enumerate(texts):
-        n = np.array([t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"], float)
+    low = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(F.lower("text")).collect()]
+    for i, t in enumerate(low):
+        n = np.array([t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"], float)
         assert got[f"c{i}"] == (n / (np.sqrt((n * n).sum()) or 1)).astype(np.float32).tolist()
 
 
@@ -55,3 +57,13 @@ def test_postings_are_packed(spark):
     assert {(r.term, r.chunk_id): r.tf for r in index.postings.collect()} == want
     assert {r.term: r.df for r in index.terms.collect()} == {w: sum(k[0] == w for k in want) for w in ("a", "b-c", "dd", "e1")}
     assert {r.chunk_id: r.dl for r in index.lengths.collect()} == {f"c{i:03}": len(t.split()) for i, t in enumerate(texts)}
+
+
+def test_names_begin_with_a_capital_whatever_stands_before(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["A", "Bc", "-", " ", "é", "É", "_", "x", "GPT", "1", "\u0301"]) for _ in range(draw.randint(0, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_extract_all("text", F.lit("(?U)" + ENTITY), F.lit(0))
+    capital = F.regexp_extract_all("text", F.lit("(?U)(?=[A-Z])" + ENTITY), F.lit(0))
+    assert rows.where(plain != capital).count() == 0 and rows.where(F.size(plain) > 0).count() > 100
+    assert "(?=[A-Z])" in rows.select(entities(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
