@@ -17,7 +17,8 @@ do nothing else in between.
 
 Memory: texts are worked on by slices of about SLICE characters, a query gets a bounded number of rows and of rows times steps,
 and a long text is decoded part by part, so a text may be as long as its row. Each Python worker holds one DuckDB connection of
-bounded memory and a bounded cache of pieces; both can be lost at any time. Nothing is written to disk.
+bounded memory and a bounded cache of pieces; both can be lost at any time. What a batch took goes back to the system after it, as
+a worker shares its executor's limit with the JVM, whose heap earlier stages have grown. Nothing is written to disk.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; ids are decoded to bytes (base64 of nothing,
 no replacement characters), so parts of characters survive; an id outside the vocabulary raises; a null list of ids
@@ -40,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import batches_of, held
+from lodestone.llm.common import batches_of, give_back, held
 
 #: Words of more bytes are contracted in windows of so many, each beginning so many after the one before.
 LONG = WINDOW = 96
@@ -50,16 +51,18 @@ RESTART = 4096
 #: A worker forgets its pieces beyond this number, or beyond so many characters.
 PIECES, PIECES_CHARS = 300_000, 50 << 20
 #: A worker remembers the ids of contracted words (of LONG bytes at most): so many that were used lately, and as many from before.
-WORDS = 120_000
+WORDS = 60_000
 #: Rows for one query: bytes of words, ids to decode. A query of words also gets so many rows times bytes of its longest word at most.
 STEP_ROWS, STEP_WORK = 150_000, 2_000_000
 #: Characters of a text that are worked on at a time.
 SLICE = 1 << 20
+#: Bytes of texts that are encoded at a time (fewer take less memory and more queries), and pieces whose ids are put together at a time.
+BATCH, PLACES = 4 << 20, 1 << 16
 
 # pos counts bytes over all words; next is the place of the token that follows, -1 after a word's last one
 CONTRACT = """
 WITH RECURSIVE t(w, pos, next, tok, step) AS (
-  SELECT w, pos, if(pos = last, -1, pos + 1), tok, 0 FROM (SELECT *, max(pos) OVER (PARTITION BY w) AS last FROM given)
+  SELECT w, pos::INTEGER, if(pos = last, -1, pos + 1)::INTEGER, tok, 0 FROM (SELECT *, max(pos) OVER (PARTITION BY w) AS last FROM given)
   UNION ALL
   SELECT t.w, t.pos, if(t.pos = b.best & 4294967295, b.next, t.next), if(t.pos = b.best & 4294967295, (b.best >> 32)::INTEGER, t.tok), t.step + 1
   FROM t JOIN (SELECT l.w, min((m.ab::BIGINT << 32) | l.pos) AS best, arg_min(r.pos, (m.ab::BIGINT << 32) | l.pos) AS gone, arg_min(r.next, (m.ab::BIGINT << 32) | l.pos) AS next
@@ -335,9 +338,10 @@ class Codec:
                 raise
         places = np.array(places, np.int64)
         self.uses += np.bincount(places, minlength=len(self.uses))
-        ids, n = taken(self.flat, self.begin, np.diff(self.begin), places)
-        edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(edges)
+        sizes = np.diff(self.begin)
+        ids = [taken(self.flat, self.begin, sizes, places[at : at + PLACES])[0] for at in range(0, len(places), PLACES)]
+        edges = np.concatenate(([0], np.cumsum(sizes[places])))[np.concatenate(([0], np.cumsum(counts)))]
+        return np.concatenate((NOTHING, *ids)), np.diff(edges)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each list of ids; ids holds all lists one after the other."""
@@ -397,6 +401,7 @@ def codec(path: str, pattern: str) -> Codec:
     """This process's codec for a rank file."""
     codecs = held("bpe")
     if (path, pattern) not in codecs:
+        give_back()  # what stages before have left
         codecs[path, pattern] = Codec(path, pattern)
     return codecs[path, pattern]
 
@@ -415,20 +420,21 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text", owner="bpe"):
+        for batch in batches_of(batches, "text", BATCH, owner="bpe"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, ids, decoded) of every document, decoded from the ids: encode and decode in one worker, which holds the tables once."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, limit: int = BATCH) -> DataFrame:
+    """(doc_id, ids, decoded) of every document, decoded from the ids: encode and decode in one worker, which holds the tables once.
+    limit: bytes of texts at a time."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches_of(batches, "text", owner="bpe"):
+        for batch in batches_of(batches, "text", limit, owner="bpe"):
             ids, counts = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, counts), pa.array(own.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "decoded"])
 
